@@ -1,0 +1,24 @@
+"""Size checks behind every "small enough" decision."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_PLAN_BYTES = 32 * 1024 * 1024
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of a plan, or None where the session does not expose it.
+
+    The estimate never shrinks on filters and multiplies on joins, so a small value
+    is a safe sign of a small input.
+    """
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
+def is_small(df: DataFrame, limit: int = SMALL_PLAN_BYTES) -> bool:
+    size = plan_bytes(df)
+    return size is not None and size <= limit
