@@ -116,7 +116,7 @@ def two_decimals(c: Column) -> Column:
     error = (high * 1000 - near) + low * 1000
     below = F.floor(near / 10)
     tie_cents = F.when(error > 0, below + 1).when(error < 0, below).otherwise(below + F.pmod(below, F.lit(2)))
-    is_tie = (scaled == near) & (F.pmod(near, F.lit(10.0)) == 5)
+    is_tie = (F.abs(scaled - near) <= scaled * 1e-15) & (F.pmod(near, F.lit(10.0)) == 5)
     plain = F.bround(x.cast("decimal(38,15)"), 2).cast("decimal(38,2)")
     rounded = F.when(is_tie, (tie_cents.cast("decimal(20,0)") / 100).cast("decimal(38,2)")).otherwise(plain)
     sign = F.when(c.cast("double") < 0, "-").otherwise("")

@@ -56,11 +56,11 @@ def top_then_resort(rates: DataFrame, n: int = 15) -> DataFrame:
     return rates.orderBy(F.desc("flights"), key).limit(n).orderBy("delay_rate", key)
 
 
-def count_mean_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Non-null count, mean and exact median per key (null key included), rounded to 2."""
-    basic = df.groupBy(key).agg(F.count(value).alias("count"), F.round(exact_mean(F.col(value)), 2).alias("mean"))
+def count_mean_median(df: DataFrame, key: str, value: str, digits: int = 2) -> DataFrame:
+    """Non-null count, mean and exact median per key (null key included), rounded."""
+    basic = df.groupBy(key).agg(F.count(value).alias("count"), F.round(exact_mean(F.col(value)), digits).alias("mean"))
     medians = exact_quantiles(df, [value], [0.5], keys=[key]).select(
-        F.col(key).alias("__key"), F.round("quantile", 2).alias("median")
+        F.col(key).alias("__key"), F.round("quantile", digits).alias("median")
     )
     return basic.join(medians, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
 

@@ -11,12 +11,12 @@ from punctual.operators.scan import OrderedScan
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: dict[str, str]) -> DataFrame:
-    """Left join of some dimension columns under new names.
+    """Left join of some dimension columns (source: new name).
 
     No hint is given: Catalyst broadcasts the dimension when its measured size allows and
     otherwise joins by shuffle, where adaptive execution splits a hot key.
     """
-    renamed = dim.select(F.col(dim_key).alias("__dim"), *[F.col(s).alias(n) for n, s in columns.items()])
+    renamed = dim.select(F.col(dim_key).alias("__dim"), *[F.col(s).alias(n) for s, n in columns.items()])
     return df.join(renamed, F.col(key) == F.col("__dim"), "left").drop("__dim")
 
 

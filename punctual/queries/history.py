@@ -97,8 +97,8 @@ def entity_hours(spark, sf_dir):
 _ASOF_SQL = with_views(TRIPS, OBS) + """
 , l AS (SELECT * FROM trips WHERE carrier <> 'view')
 SELECT l.trip_id,
-       CASE WHEN o.obs_ts >= l.dep_ts - INTERVAL 3 HOUR THEN o.obs_id END AS obs_id,
-       CASE WHEN o.obs_ts >= l.dep_ts - INTERVAL 3 HOUR THEN epoch_us(o.obs_ts) END AS obs_us,
+       CASE WHEN o.obs_ts >= l.dep_ts - INTERVAL 3 HOUR THEN CAST(o.obs_id AS DOUBLE) END AS obs_id,
+       CASE WHEN o.obs_ts >= l.dep_ts - INTERVAL 3 HOUR THEN CAST(epoch_us(o.obs_ts) AS DOUBLE) END AS obs_us,
        CASE WHEN o.obs_ts >= l.dep_ts - INTERVAL 3 HOUR THEN o.tmp_raw END AS tmp_raw
 FROM l ASOF LEFT JOIN obs o ON l.origin = o.station AND l.dep_ts >= o.obs_ts"""
 
@@ -108,7 +108,10 @@ def _asof(spark, sf_dir, buckets=None):
     payload = {"obs_id": "obs_id", "obs_us": "obs_ts", "tmp_raw": "tmp_raw"}
     return join.asof_join(
         left, obs(spark, sf_dir), "origin", "station", "dep_ts", "obs_ts", payload, "3 HOURS", buckets=buckets
-    ).select("trip_id", "obs_id", F.unix_micros("obs_us").alias("obs_us"), "tmp_raw")
+    ).select(
+        "trip_id", F.col("obs_id").cast("double").alias("obs_id"),
+        F.unix_micros("obs_us").cast("double").alias("obs_us"), "tmp_raw",
+    )
 
 
 @query("asof_backward_tolerance", _ASOF_SQL)

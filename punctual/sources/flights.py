@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.contracts import FLIGHT_CODE_COLUMNS, FLIGHT_COLUMNS, FLIGHT_HEADER_FIXES
+from punctual.operators.join import union_all
 from punctual.operators.project import filter_date_range, filter_in, normalize_columns
 
 _MONTH = r"(\d{4})_(\d{1,2})(?!\d)"
@@ -60,10 +61,11 @@ def read_flights(
 
     Columns are matched by header name and read as text, then typed; the file name gives
     ``source_csv``, ``data_year`` and ``data_month``.  Text that is no number becomes null.
+    Files below one path must share a header (others raise); a list of paths may differ.
     """
-    raw = spark.read.option("header", True).csv(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    raw = raw.select("*", name.alias("source_csv"))
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source_csv")
+    raw = union_all([reader.csv(p).select("*", name) for p in ([path] if isinstance(path, str) else path)])
     frame = normalize_columns(raw, FLIGHT_COLUMNS, FLIGHT_HEADER_FIXES, FLIGHT_CODE_COLUMNS, "FlightDate")
     kinds = dict(FLIGHT_COLUMNS) | dict(extra)
     typed = []

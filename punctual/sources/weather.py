@@ -17,14 +17,16 @@ from punctual.operators.aggregate import dedupe_keep_first
 from punctual.operators.project import project_contract
 
 
-def read_weather_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def read_weather_json(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """Station-year JSON arrays as text columns.
 
     Text keeps leading zeros of station ids; fields a file lacks are null; an empty file
-    gives no rows.  One file is one station and year, so a file is a bounded unit.
+    gives no rows.  A file with one array is read as a whole; it holds one station and year,
+    so it is a bounded unit.  Files with one record or array per line (``multi_line=False``)
+    are split like any text.
     """
     schema = struct_of([(c, "string") for c in WEATHER_RAW_COLUMNS])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def clean_weather(raw: DataFrame, reference_compat: bool = False) -> DataFrame:
