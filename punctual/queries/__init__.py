@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from punctual.queries import history, learning, profile, resolving, tables, values  # noqa: F401
+from punctual.queries import history, learning, pipeline, profile, resolving, tables, values  # noqa: F401
 from punctual.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
