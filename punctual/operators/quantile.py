@@ -32,16 +32,9 @@ def exact_quantiles(
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     counts = long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
     group = [*keys, "feature"]
-    scan = OrderedScan(counts, group, ["value"], buckets).prior_sums({"before": F.col("n")})
-    placed = scan.result().withColumn("before", F.coalesce("before", F.lit(0)))
-
-    totals = counts.groupBy(*group).agg(F.sum("n").alias("total"))
-    match = None
-    for i, k in enumerate(group):
-        totals = totals.withColumnRenamed(k, f"__k{i}")
-        part = F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        match = part if match is None else match & part
-    joined = placed.join(totals, match)
+    scan = OrderedScan(counts, group, ["value"], buckets)
+    joined = scan.prior_sums({"before": F.col("n")}).key_totals({"total": F.col("n")}).result()
+    joined = joined.withColumn("before", F.coalesce("before", F.lit(0)))
 
     # the few wanted positions of the group that fall on this value
     wanted = F.array(*[

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from punctual.contracts import MAPPING_COLUMNS
-from punctual.operators.aggregate import prefer_if_any
 from punctual.operators.join import match_candidates, name_match
 from punctual.operators.project import project_contract
 
@@ -65,13 +66,16 @@ def confidence(score: Column) -> Column:
     return F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
 
 
-def best_per_group(df: DataFrame, key: list[str], score: str, tie: str) -> DataFrame:
+def best_per_group(df: DataFrame, key: list[str], score: str, tie: str, prefer: Sequence[Column] = ()) -> DataFrame:
     """The best-scored row per key; ties go to the smaller tie value.
 
-    An aggregate: candidates of a key collapse map-side.
+    ``prefer`` conditions come before the score, in their order: picking the best of the
+    preferred rows if a key has any is the same as ordering by the condition first.  An
+    aggregate, so candidates of a key collapse map-side.
     """
     rest = [c for c in df.columns if c not in key]
-    lead = F.struct((-F.col(score)).alias("__s"), F.col(tie).alias("__t"))
+    flags = [F.when(F.coalesce(p, F.lit(False)), 0).otherwise(1).alias(f"__p{i}") for i, p in enumerate(prefer)]
+    lead = F.struct(*flags, (-F.col(score)).alias("__s"), F.col(tie).alias("__t"))
     best = df.groupBy(*key).agg(F.min_by(F.struct(*rest), lead).alias("__best"))
     return best.select(*key, "__best.*")
 
@@ -91,13 +95,10 @@ def resolve_entities(
         "station_id", "station_name", "icao", "call", "country", "begin_date", "end_date", "latitude", "longitude",
         F.col("state").alias("station_state"),
     )
-    same_state = F.col("station_state") == F.col("state")
     by_code = match_candidates(entities, records)
     unmatched = entities.join(by_code.select(*key).distinct(), key, "left_anti")
     by_name = name_match(unmatched, records)
-    candidates = prefer_if_any(by_code.unionByName(by_name), key, same_state)
-    candidates = prefer_if_any(candidates, key, F.col("country") == HOME_COUNTRY)
-
+    candidates = by_code.unionByName(by_name)
     if year_hits is None:
         candidates = candidates.withColumn("year_hits", F.lit(0).cast("bigint"))
     else:
@@ -114,8 +115,11 @@ def resolve_entities(
     scored = candidates.select(
         *key, "station_id", "station_name", "latitude", "longitude",
         score.alias("confidence_score"), details.alias("match_details"),
+        (F.col("station_state") == F.col("state")).alias("same_state"), (F.col("country") == HOME_COUNTRY).alias("at_home"),
     )
-    best = best_per_group(scored, key, "confidence_score", "station_id")
+    best = best_per_group(
+        scored, key, "confidence_score", "station_id", prefer=[F.col("same_state"), F.col("at_home")]
+    ).drop("same_state", "at_home")
     level = confidence(F.col("confidence_score"))
     mapped = entities.select(*key).join(best, key, "left")
     found = F.col("confidence_score").isNotNull()

@@ -228,5 +228,25 @@ class OrderedScan:
         )
         return self
 
+    def key_totals(self, sums: dict[str, Column]) -> OrderedScan:
+        """Add the sum of each expression over all rows of the key."""
+        if not self.bucketed:
+            whole = Window.partitionBy(*self.keys)
+            self.df = self.df.withColumns({n: F.sum(e).over(whole) for n, e in sums.items()})
+            return self
+        per_key = self.source.groupBy(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(self.keys)]).agg(
+            *[F.sum(e).alias(n) for n, e in sums.items()]
+        )
+        if not self.keys:
+            self.df = self.df.withColumns({n: per_key.select(n).scalar() for n in sums})
+            return self
+        match = F.lit(True)
+        for i, k in enumerate(self.keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"__t{i}"))
+        # one row per key against all rows: adaptive execution broadcasts the totals if they are
+        # small and splits the rows of a hot key if not
+        self.df = self.df.join(per_key, match).drop(*[f"__t{i}" for i in range(len(self.keys))])
+        return self
+
     def result(self) -> DataFrame:
         return self.df.drop(_BUCKET)

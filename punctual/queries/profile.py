@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from punctual.operators import aggregate, quantile, split
+from punctual.operators import aggregate, project, quantile, split
 from punctual.plans import quality
 from punctual.queries.registry import query
 from punctual.queries.views import OBS, TRIPS, obs, table, trips, with_views
@@ -261,9 +261,16 @@ def quality_report(spark, sf_dir):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("feature_type_counts")
+@query("feature_type_counts", with_views(TRIPS) + """
+SELECT 'categorical' AS feature_type, CASE WHEN count(tail) > 0 THEN 2 ELSE 1 END::BIGINT AS count FROM trips
+UNION ALL SELECT 'numeric', (CASE WHEN count(dep_delay) > 0 THEN 1 ELSE 0 END + CASE WHEN count(distance) > 0 THEN 1 ELSE 0 END)::BIGINT FROM trips
+UNION ALL SELECT 'total_model_features', (CASE WHEN count(tail) > 0 THEN 2 ELSE 1 END + CASE WHEN count(dep_delay) > 0 THEN 1 ELSE 0 END
+                  + CASE WHEN count(distance) > 0 THEN 1 ELSE 0 END)::BIGINT FROM trips""")
 def feature_type_counts(spark, sf_dir):
-    return quality.feature_type_counts(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], _LI)
+    """Features of each kind that are left after columns without any value are dropped."""
+    t = trips(spark, sf_dir).withColumn("void", F.lit(None).cast("double"))
+    live = project.non_null_features(t, ["dep_delay", "void", "distance"])
+    return quality.feature_type_counts(t, ["tail", "origin"], live)
 
 
 @query("sample_cap_rows", "SELECT count(*) AS rows, 0 AS outside FROM (SELECT 1 FROM lineitem LIMIT 20000)")
