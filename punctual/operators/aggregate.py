@@ -146,11 +146,21 @@ def skewness_table(df: DataFrame, columns: Sequence[str], top: int | None = None
     return long if top is None else long.orderBy(F.desc(F.abs("skew")), "feature").limit(top)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows that have both values; null where one of them does not vary.
+
+    Spark's ``corr`` raises on a constant column in ANSI mode.
+    """
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def pearson_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete correlation of all column pairs, one pass; tidy (left, right, corr)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(
-        *[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
+        *[pearson(F.col(a), F.col(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)]
     )
     cells = [
         F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"`{i}`").alias("corr"))
@@ -167,7 +177,7 @@ def pearson_with(df: DataFrame, columns: Sequence[str], targets: Sequence[str])
     """Correlation of each column with each target, one row per column."""
     wide = df.agg(
         *[
-            F.corr(F.col(c).cast("double"), F.col(t).cast("double")).alias(f"{i}_{j}")
+            pearson(F.col(c).cast("double"), F.col(t).cast("double")).alias(f"{i}_{j}")
             for i, c in enumerate(columns)
             for j, t in enumerate(targets)
         ]
