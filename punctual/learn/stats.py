@@ -20,7 +20,10 @@ def group_stats(df: DataFrame, group: str, value: str, keys: list[str] | None =
 
 
 def anova_from_stats(stats: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """F, both degrees of freedom and the pooled variance from per-group n, mean and var."""
+    """F, both degrees of freedom and the pooled variance from per-group n, mean and var.
+
+    F is null where it is not defined (one group, or no variation within groups).
+    """
     keys = keys or []
     n, mean = F.col("n"), F.col("mean")
     sums = stats.groupBy(*keys).agg(
@@ -29,8 +32,9 @@ def anova_from_stats(stats: DataFrame, keys: list[str] | None = None) -> DataFra
     )
     between = F.col("s2") - F.col("s1") * F.col("s1") / F.col("total")
     df1, df2 = F.col("groups") - 1, F.col("total") - F.col("groups")
-    mse = F.col("within") / df2
-    return sums.select(*keys, df1.alias("df1"), df2.alias("df2"), mse.alias("mse"), (between / df1 / mse).alias("f_statistic"))
+    mse = F.try_divide(F.col("within"), df2)
+    f = F.try_divide(F.try_divide(between, df1), mse)
+    return sums.select(*keys, df1.alias("df1"), df2.alias("df2"), mse.alias("mse"), f.alias("f_statistic"))
 
 
 def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -47,7 +51,7 @@ def _pairs(stats: DataFrame, mse: Column, group: str, keys: list[str]) -> DataFr
     spread = F.sqrt(F.col("mse") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
     return both.select(
         *keys, F.col("a.g").alias("group1"), F.col("b.g").alias("group2"), diff.alias("meandiff"),
-        (F.abs(diff) / spread).alias("q_statistic"),
+        F.try_divide(F.abs(diff), spread).alias("q_statistic"),
     )
 
 

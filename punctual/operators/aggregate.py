@@ -228,8 +228,8 @@ def stage_reduction(stages: DataFrame, position: str = "position", rows: str = "
     return stages.select(
         "*",
         (before - F.col(rows)).alias("rows_removed_from_previous"),
-        (F.col(rows) / before).alias("share_retained_from_previous"),
-        (F.col(rows) / F.first(rows).over(w)).alias("share_retained_from_full"),
+        F.try_divide(F.col(rows), before).alias("share_retained_from_previous"),
+        F.try_divide(F.col(rows), F.first(rows).over(w)).alias("share_retained_from_full"),
     )
 
 

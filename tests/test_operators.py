@@ -142,6 +142,12 @@ def test_skewness_and_median(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,), (None,)], "x double")
     assert df.agg(aggregate.corrected_skewness(F.col("x"))).first()[0] == pytest.approx(1.763632614803888)
     assert quantile.exact_quantiles(df, ["x"], [0.5]).first()["quantile"] == 2.5
+    two = spark.createDataFrame([(1.0, 3.0, 1), (2.0, 3.0, 1)], "a double, b double, c int")
+    assert aggregate.skewness_table(two, ["a", "b"]).count() == 0
+    three = two.unionAll(two)
+    assert aggregate.skewness_table(three, ["a"]).first()["skew"] == pytest.approx(0.0)
+    flat = {r["feature"]: r["a"] for r in aggregate.pearson_with(three, ["a", "b", "c"], ["a"]).collect()}
+    assert flat == {"a": pytest.approx(1.0), "b": None, "c": None}
 
 
 @pytest.mark.parametrize("buckets", [1, 6])
