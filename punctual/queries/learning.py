@@ -323,9 +323,6 @@ def model_rows(spark, sf_dir):
     return split.temporal_split(t, "trip_date")
 
 
-SMALL = models.Settings(trees=20, tree_depth=6, rounds=10, boost_depth=4, net_iterations=20)
-
-
 @query("majority_scores", with_views(TRIPS) + """
 , m AS (SELECT delayed AS label FROM trips GROUP BY 1 ORDER BY count(*) DESC, delayed LIMIT 1)
 SELECT delayed AS y, CAST(label AS DOUBLE) AS score, count(*) AS rows FROM trips, m GROUP BY 1, 2""")
@@ -350,7 +347,7 @@ def linear_fit(spark, sf_dir):
 def model_grid(spark, sf_dir):
     """Four classifier families on a temporal split, compared."""
     train, test, _ = model_rows(spark, sf_dir)
-    return models.run_classification(train, test, CATEGORICAL, NUMERIC, "delayed", ["trip_id"], settings=SMALL).metrics
+    return models.run_classification(train, test, CATEGORICAL, NUMERIC, "delayed", ["trip_id"]).metrics
 
 
 @query("fold_grid")
@@ -358,13 +355,13 @@ def fold_grid(spark, sf_dir):
     """Linear and net models on expanding folds."""
     train, test, _ = model_rows(spark, sf_dir)
     names = ["logistic_regression_balanced", "mlp_classifier"]
-    return models.run_fold_grid(train.unionByName(test), "trip_date", 2, CATEGORICAL, NUMERIC, "delayed", ["trip_id"], names, SMALL)
+    return models.run_fold_grid(train.unionByName(test), "trip_date", 2, CATEGORICAL, NUMERIC, "delayed", ["trip_id"], names)
 
 
 @query("regression_grid")
 def regression_grid(spark, sf_dir):
     train, test, _ = model_rows(spark, sf_dir)
-    metrics, _ = models.run_regression(train, test, CATEGORICAL, NUMERIC, "late_minutes", ["trip_id"], settings=SMALL)
+    metrics, _ = models.run_regression(train, test, CATEGORICAL, NUMERIC, "late_minutes", ["trip_id"])
     return metrics
 
 
@@ -423,7 +420,7 @@ def feature_ranking(spark, sf_dir):
 @query("tree_importance")
 def tree_importance(spark, sf_dir):
     train, _, _ = model_rows(spark, sf_dir)
-    fitted = models.fit_classifier("random_forest_balanced", train, CATEGORICAL, NUMERIC, "delayed", SMALL)
+    fitted = models.fit_classifier("random_forest_balanced", train, CATEGORICAL, NUMERIC, "delayed")
     return importance.model_importance(spark, fitted)
 
 
