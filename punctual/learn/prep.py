@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
@@ -85,47 +86,56 @@ def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFr
 
 
 # --- the fitted preparation ---------------------------------------------------------------
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 @dataclass
 class Prep:
     """Fitted preparation.  ``kind`` is ``onehot`` (scaled numbers, one-hot codes), ``ordinal``
     (raw numbers, ordinal codes) or ``pca`` (projected numbers, one-hot codes)."""
 
     kind: str
-    categorical: list[str]
-    numeric: list[str]
-    modes: dict[str, str]
-    medians: dict[str, float]
-    moments: dict[str, tuple[float, float]]
-    indexer: StringIndexerModel | None = None
+    book: PrepBook
     stages: list[Transformer] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
     components: int | None = None
 
-    def impute(self, df: DataFrame) -> DataFrame:
-        filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(self.modes.get(c, ""))) for c in self.categorical}
-        for c in self.numeric:
-            value = F.col(c).cast("double")
-            filled[c] = F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(self.medians[c]))
-        return df.withColumns(filled)
+    @property
+    def categorical(self) -> list[str]:
+        return self.book.categorical
+
+    @property
+    def numeric(self) -> list[str]:
+        return self.book.numeric
 
     def numbers(self, df: DataFrame) -> DataFrame:
         """Filled frame with the number columns as the model sees them, prefixed ``__n_``."""
-        df = self.impute(df)
-        raw = self.kind == "ordinal"
-        return df.withColumns({
-            f"__n_{c}": F.col(c) if raw else scaled(F.col(c), *self.moments[c]) for c in self.numeric
-        })
+        df = self.book.impute(df)
+        shown = {}
+        for c in self.numeric:
+            if self.kind == "ordinal":
+                shown[f"__n_{c}"] = F.col(c)
+            else:
+                mean, deviation = self.book.moments[c]
+                divisor = f"/ {_number(deviation)}" if deviation else "* 0.0D"
+                shown[f"__n_{c}"] = F.expr(f"(`{c}` - {_number(mean)}) {divisor}")
+        return df.withColumns(shown) if shown else df
 
     def codes(self, df: DataFrame) -> DataFrame:
-        """Ordinal code columns ``__c_x``; with ``ordinal`` unknown values become -1."""
+        """Code columns ``__c_x``; with ``ordinal`` also ``__o_x``, where unknown values are -1."""
         if not self.categorical:
             return df
-        df = self.indexer.transform(df)
+        df = self.book.indexer.transform(df)
         if self.kind == "ordinal":
-            known = {c: len(labels) for c, labels in zip(self.categorical, self.indexer.labelsArray)}
+            known = {c: len(labels) for c, labels in zip(self.categorical, self.book.indexer.labelsArray)}
             df = df.withColumns({
-                f"__o_{c}": F.when(F.col(f"__c_{c}") >= known[c], F.lit(-1.0)).otherwise(F.col(f"__c_{c}"))
-                for c in self.categorical
+                f"__o_{c}": F.expr(f"CASE WHEN `__c_{c}` >= {known[c]} THEN -1.0D ELSE `__c_{c}` END") for c in self.categorical
             })
         return df
 
@@ -135,47 +145,80 @@ class Prep:
         return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
+class PrepBook:
+    """What one training frame teaches, shared by all model families trained on it.
+
+    Modes, medians, moments and category lists are found once, however many models follow.
+    """
+
+    def __init__(self, train: DataFrame, categorical: Sequence[str], numeric: Sequence[str]):
+        self.train = train
+        self.categorical, self.numeric = list(categorical), list(numeric)
+        self.modes = {r["feature"]: r["mode"] for r in column_modes(train, self.categorical).collect()} if categorical else {}
+        self.medians = {r["feature"]: r["median"] for r in column_medians(train, self.numeric).collect()} if numeric else {}
+        # a column without any training value teaches nothing
+        self.categorical = [c for c in self.categorical if c in self.modes]
+        self.numeric = [c for c in self.numeric if c in self.medians]
+        self._kinds: dict[str, Prep] = {}
+
+    def impute(self, df: DataFrame) -> DataFrame:
+        filled = {c: F.expr(f"coalesce(cast(`{c}` as string), {_text(self.modes[c])})") for c in self.categorical}
+        for c in self.numeric:
+            value = f"cast(`{c}` as double)"
+            filled[c] = F.expr(f"coalesce(CASE WHEN NOT isnan({value}) THEN {value} END, {_number(self.medians[c])})")
+        return df.withColumns(filled) if filled else df
+
+    @cached_property
+    def moments(self) -> dict[str, tuple[float, float]]:
+        return mean_and_deviation(self.impute(self.train), self.numeric) if self.numeric else {}
+
+    @cached_property
+    def indexer(self) -> StringIndexerModel:
+        return StringIndexer(
+            inputCols=self.categorical, outputCols=[f"__c_{c}" for c in self.categorical],
+            handleInvalid="keep", stringOrderType="alphabetAsc",
+        ).fit(self.impute(self.train).select(*self.categorical))
+
+    def prep(self, kind: str) -> Prep:
+        if kind not in self._kinds:
+            self._kinds[kind] = self._fit(kind)
+        return self._kinds[kind]
+
+    def _fit(self, kind: str) -> Prep:
+        prep = Prep(kind, self)
+        number_columns = [f"__n_{c}" for c in self.numeric]
+        if kind == "ordinal":
+            inputs = [f"__o_{c}" for c in self.categorical] + number_columns
+            prep.names = [*self.categorical, *self.numeric]
+        else:
+            inputs = []
+            if self.categorical:
+                # the encoder learns only the number of categories, from the column's metadata
+                some = prep.codes(self.impute(self.train))
+                hot = [f"__h_{c}" for c in self.categorical]
+                prep.stages.append(OneHotEncoder(inputCols=[f"__c_{c}" for c in self.categorical], outputCols=hot).fit(some))
+                inputs += hot
+                for c, labels in zip(self.categorical, self.indexer.labelsArray):
+                    prep.names += [f"{c}_{label}" for label in labels]
+            if kind == "pca":
+                packed = VectorAssembler(inputCols=number_columns, outputCol="__numbers")
+                ready = packed.transform(prep.numbers(self.train).select(*number_columns))
+                model, keep, _ = fit_pca(ready, "__numbers", "__all_components", len(self.numeric))
+                cut = VectorSlicer(inputCol="__all_components", outputCol="__components", indices=list(range(keep)))
+                prep.stages += [packed, model, cut]
+                prep.components = keep
+                inputs.append("__components")
+                prep.names += [f"pc{i + 1}" for i in range(keep)]
+            else:
+                inputs += number_columns
+                prep.names += self.numeric
+        prep.stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
+        return prep
+
+
 def fit_prep(train: DataFrame, categorical: Sequence[str], numeric: Sequence[str], kind: str) -> Prep:
     """Learn the preparation of one model family."""
-    categorical, numeric = list(categorical), list(numeric)
-    modes = {r["feature"]: r["mode"] for r in column_modes(train, categorical).collect()} if categorical else {}
-    medians = {r["feature"]: r["median"] for r in column_medians(train, numeric).collect()} if numeric else {}
-    prep = Prep(kind, categorical, numeric, modes, medians, {})
-    filled = prep.impute(train)
-    if kind != "ordinal" and numeric:
-        prep.moments = mean_and_deviation(filled, numeric)
-    code_columns = [f"__c_{c}" for c in categorical]
-    if categorical:
-        prep.indexer = StringIndexer(
-            inputCols=categorical, outputCols=code_columns, handleInvalid="keep", stringOrderType="alphabetAsc"
-        ).fit(filled)
-    ready = prep.codes(prep.numbers(train))
-    number_columns = [f"__n_{c}" for c in numeric]
-
-    if kind == "ordinal":
-        inputs = [f"__o_{c}" for c in categorical] + number_columns
-        prep.names = [*categorical, *numeric]
-    else:
-        inputs = []
-        if categorical:
-            encoder = OneHotEncoder(inputCols=code_columns, outputCols=[f"__h_{c}" for c in categorical]).fit(ready)
-            prep.stages.append(encoder)
-            inputs += [f"__h_{c}" for c in categorical]
-            for c, labels in zip(categorical, prep.indexer.labelsArray):
-                prep.names += [f"{c}_{label}" for label in labels]
-        if kind == "pca":
-            packed = VectorAssembler(inputCols=number_columns, outputCol="__numbers")
-            model, keep, _ = fit_pca(packed.transform(ready), "__numbers", "__all_components", len(numeric))
-            cut = VectorSlicer(inputCol="__all_components", outputCol="__components", indices=list(range(keep)))
-            prep.stages += [packed, model, cut]
-            prep.components = keep
-            inputs.append("__components")
-            prep.names += [f"pc{i + 1}" for i in range(keep)]
-        else:
-            inputs += number_columns
-            prep.names += numeric
-    prep.stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
-    return prep
+    return PrepBook(train, categorical, numeric).prep(kind)
 
 
 # --- projection -----------------------------------------------------------------------------
@@ -193,11 +236,14 @@ def fit_pca(df: DataFrame, column: str, output: str, size: int, kept: float = VA
     return model, selected, cumulative
 
 
-def pca_report(train: DataFrame, numeric: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def pca_report(
+    train: DataFrame, numeric: Sequence[str], book: PrepBook | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(variance curve, top loadings): shares per component, and for the first five at most the
     ten features with the largest loadings."""
-    prep = fit_prep(train, [], numeric, "onehot")
-    ready = prep.transform(train.select(*numeric))
+    prep = (book or PrepBook(train, [], numeric)).prep("onehot")
+    columns = [f"__n_{c}" for c in numeric]
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(prep.numbers(train).select(*columns))
     model, selected, cumulative = fit_pca(ready, "features", "components", len(numeric))
     shares = model.explainedVariance.toArray()
     spark = train.sparkSession
@@ -267,11 +313,11 @@ def binned_mutual_information(
 
 def feature_ranking(
     train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
-    label: str = "dep_delayed_15", minutes: str = "dep_delay_minutes",
+    label: str = "dep_delayed_15", minutes: str = "dep_delay_minutes", book: PrepBook | None = None,
 ) -> DataFrame:
     """Per feature: correlation with both targets, mutual information, F, missing share, rank."""
     names = [*categorical, *numeric]
-    prep = fit_prep(train, categorical, numeric, "ordinal")
+    prep = (book or PrepBook(train, categorical, numeric)).prep("ordinal")
     encoded = prep.codes(prep.numbers(train)).select(
         label, *[F.col(f"__o_{c}").alias(c) for c in categorical], *[F.col(f"__n_{c}").alias(c) for c in numeric]
     )

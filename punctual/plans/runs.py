@@ -105,21 +105,22 @@ def final_models(
     got = features.build_model_frames(loaded, top_origins, train_cap, test_cap, IDENTITY)
     train, test = staged(got.train), staged(got.test)
     cats, nums = got.features.categorical, got.features.numeric
-    run = models.run_classification(train, test, cats, nums, LABEL, IDENTITY, settings=settings)
+    book = prep.PrepBook(train, cats, nums)
+    run = models.run_classification(train, test, cats, nums, LABEL, IDENTITY, settings=settings, book=book)
     best = run.predictions.where(F.col("model") == run.best)
-    regression, _ = models.run_regression(train, test, cats, nums, LATE, IDENTITY, settings=settings)
+    regression, _ = models.run_regression(train, test, cats, nums, LATE, IDENTITY, settings=settings, book=book)
     grow = lambda df: smote.smote_nc(df, [f"__n_{c}" for c in nums], [f"__o_{c}" for c in cats], LABEL, IDENTITY)
-    curve, loadings = prep.pca_report(train, nums)
+    curve, loadings = prep.pca_report(train, nums, book)
     summary = quality.preprocessing_summary(train, test, got.features.features, nums)
     parts = {
         "model_metrics": run.metrics,
         "threshold_metrics": run.thresholds,
         "regression_metrics": regression,
-        "pca_comparison": models.run_pca_comparison(train, test, cats, nums, LABEL, IDENTITY),
+        "pca_comparison": models.run_pca_comparison(train, test, cats, nums, LABEL, IDENTITY, book),
         "pca_curve": curve,
         "pca_loadings": loadings,
-        "imbalance_metrics": models.run_imbalance(train, test, cats, nums, LABEL, IDENTITY, grow),
-        "feature_ranking": prep.feature_ranking(train, cats, nums, LABEL, MINUTES),
+        "imbalance_metrics": models.run_imbalance(train, test, cats, nums, LABEL, IDENTITY, grow, book),
+        "feature_ranking": prep.feature_ranking(train, cats, nums, LABEL, MINUTES, book),
         "delay_histogram": aggregate.histogram(train, LATE),
         "correlations": aggregate.pearson_matrix(train, HEATMAP_COLUMNS),
         "curve_points": evaluate.curve_points(best, ["model"]),
@@ -198,9 +199,10 @@ def supplement(
         test, pairs = stats.significance(grid, "model", metric, ["model", "fold"], rounds)
         parts[f"anova_{metric}"], parts[f"pairwise_{metric}"] = test, pairs
     train, test_rows, _ = split.temporal_split(frame, "FlightDate")
+    book = prep.PrepBook(train, cats, nums)
     for name in ("random_forest_balanced", "boosted_trees_classifier"):
         if name in names:
-            fitted = models.fit_classifier(name, train, cats, nums, LABEL, settings)
+            fitted = models.fit_classifier(name, train, cats, nums, LABEL, settings, book)
             parts[f"importance_{name}"] = importance.model_importance(spark, fitted)
             parts[f"permutation_{name}"] = importance.permutation_importance(fitted, test_rows, IDENTITY)
     profile = aggregate.entity_profile(frame, "Origin", LABEL, PROFILE_MEANS)

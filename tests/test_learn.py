@@ -137,11 +137,19 @@ def test_prep_kinds(spark):
     codes = {r["id"]: r["f"][0] for r in ordinal.transform(fresh).select("id", vector_to_array("features").alias("f")).collect()}
     assert codes[1] == -1.0 and codes[2] in (0.0, 1.0, 2.0)
     known = np.sort([r["x"] for r in df.select("x").dropna().collect()])
-    assert ordinal.medians["x"] == pytest.approx(np.median(known))
+    assert ordinal.book.medians["x"] == pytest.approx(np.median(known))
     projected = prep.fit_prep(df, ["c"], ["x", "z", "t"], "pca")
     assert projected.components == 2 and projected.names[-2:] == ["pc1", "pc2"]
 
 
+def test_prep_drops_empty_columns(spark):
+    df = training(spark).withColumns({"void": F.lit(None).cast("double"), "blank": F.lit(None).cast("string"), "quote": F.lit("it's a \\ b")})
+    fitted = prep.fit_prep(df, ["c", "blank", "quote"], ["x", "void"], "onehot")
+    assert fitted.names == ["c_a", "c_b", "c_c", "quote_it's a \\ b", "x"]
+    first = fitted.transform(df.withColumn("quote", F.lit(None).cast("string"))).select(vector_to_array("features")[3]).first()
+    assert first[0] == 1.0
+
+
 def test_prep_learns_from_train_only(spark):
     df = training(spark)
     fitted = prep.fit_prep(df, ["c"], ["x"], "onehot")
