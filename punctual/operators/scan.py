@@ -75,24 +75,27 @@ def range_borders(df: DataFrame, names: Sequence[str], buckets: int) -> list[tup
     return [points[i] for i in picks if i < len(points)]
 
 
-def range_bucket(df: DataFrame, names: Sequence[str], borders: Sequence[tuple]) -> Column:
-    """The bucket number of a row: how many borders are at or below it (binary search)."""
+def with_range_bucket(df: DataFrame, names: Sequence[str], borders: Sequence[tuple]) -> DataFrame:
+    """Add the bucket number of each row: how many borders are at or below it.
+
+    A binary search with one column per step, so that all of it is generated code.  Beyond the
+    end of the border array a step reads null and does not move.
+    """
     if not borders:
-        return F.lit(0)
-    row = F.struct(*_comparable(df, names))
-    kind = df.select(row.alias("s")).schema["s"].dataType.simpleString()
+        return df.withColumn(_BUCKET, F.lit(0))
+    df = df.withColumn("__place", F.struct(*_comparable(df, names)))
+    kind = df.schema["__place"].dataType.simpleString()
     table = F.from_json(
         F.lit(json.dumps([{f"c{i}": v for i, v in enumerate(p)} for p in borders])), f"array<{kind}>"
     )
-    total = len(borders)
-    steps = F.array(*[F.lit(1 << s) for s in reversed(range(total.bit_length()))])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(
-            (low + step <= total) & (F.get(table, low + step - 1) <= row), low + step
-        ).otherwise(low),
-    )
+    low: Column = F.lit(0)
+    steps = list(reversed(range(len(borders).bit_length())))
+    for i, s in enumerate(steps):
+        step = 1 << s
+        reached = F.get(table, low + (step - 1)) <= F.col("__place")
+        df = df.withColumn(f"__step{i}", low + F.when(reached, step).otherwise(0))
+        low = F.col(f"__step{i}")
+    return df.withColumn(_BUCKET, low).drop("__place", *[f"__step{i}" for i in range(len(steps))])
 
 
 class OrderedScan:
@@ -124,8 +127,8 @@ class OrderedScan:
         if self.bucketed:
             names = self.keys + self.order
             borders = range_borders(source, names, wanted)
-            self.df = df.withColumn(_BUCKET, range_bucket(df, names, borders))
-            self.source = source.withColumn(_BUCKET, range_bucket(source, names, borders))
+            self.df = with_range_bucket(df, names, borders)
+            self.source = with_range_bucket(source, names, borders)
             self.group = [*self.keys, _BUCKET]
 
     # -- helpers ---------------------------------------------------------------------
