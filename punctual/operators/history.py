@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from punctual.functions.clock import floor_hour
 from punctual.functions.values import EXACT, exact
+from punctual.operators.aggregate import exact_mean
 from punctual.operators.scan import OrderedScan, bucket_count
-from punctual.session import staged
-from punctual.sizing import is_small
 
 _LAST_INSTANT = 9223372036854775807
 
@@ -110,52 +109,26 @@ def previous_period_features(
     ``entities`` maps an entity column to the prefix of its features; the rate is added for the
     prefixes in ``rolling``.
 
-    Facts are reduced map-side to exact sums per (all entities, hour).  That table, in long form
-    (kind, entity, hour), serves all entities with one aggregate and one window, whose groups
-    hold a row per hour.  The features then meet on the distinct entity combinations, so the
-    facts are shuffled for one join only, whatever the number of entities.  Unless the input is
-    small the reduced table is written once to the shared folder, so the facts are read twice.
+    Per entity the facts are reduced map-side to exact sums per hour, always from the facts
+    themselves, so the work grows with the number of entities and not with its powers.  The
+    windows over the hours hold at most one row per hour.  The hour tables join back without a
+    hint: small ones are broadcast by measured size, and for large ones adaptive execution splits
+    a crowded (entity, hour).
     """
     facts = df.withColumn(hour, floor_hour(F.col(time).cast("timestamp")))
-    columns = list(entities)
-    keys = [*columns, hour]
-    base = facts.groupBy(*keys).agg(
-        F.sum(exact(F.col(delay))).alias("__sum"),
-        F.count(exact(F.col(delay))).alias("__n"),
-        F.sum(F.col(flag).cast("bigint")).alias("__flags"),
-        F.count(flag).alias("__nf"),
-    )
-    if len(columns) > 1 and not is_small(df):
-        base = staged(base)
-    kinds = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("kind"), F.col(c).cast("string").alias("entity")) for i, c in enumerate(columns)
-    ]))
-    long = base.withColumn("__e", kinds).where(F.col("__e.entity").isNotNull() & F.col(hour).isNotNull())
-    hourly = long.groupBy(F.col("__e.kind").alias("__kind"), F.col("__e.entity").alias("__entity"), F.col(hour).alias("__h")).agg(
-        (F.sum("__sum").cast("double") / F.sum("__n")).alias("avg_delay"),
-        (F.sum("__flags") / F.sum("__nf")).alias("delay_rate"),
-    )
-    by_hour = Window.partitionBy("__kind", "__entity").orderBy("__h")
-    shifted = hourly.select(
-        "__kind", "__entity", "__h",
-        F.lag("avg_delay").over(by_hour).alias("__delay"),
-        F.avg("delay_rate").over(by_hour.rowsBetween(-3, -1)).alias("__rate"),
-    )
-    same = (F.col("__e.kind") == F.col("__kind")) & (F.col("__e.entity") == F.col("__entity")) & (F.col(hour) == F.col("__h"))
-    features = []
-    for i, prefix in enumerate(entities.values()):
-        mine = F.col("__kind") == i
-        features.append(F.max(F.when(mine, F.col("__delay"))).alias(f"{prefix}_avg_dep_delay_prev_hour"))
+    out = facts
+    for entity, prefix in entities.items():
+        hourly = (
+            facts.where(F.col(entity).isNotNull() & F.col(hour).isNotNull())
+            .groupBy(F.col(entity).alias("__e"), F.col(hour).alias("__h"))
+            .agg(exact_mean(F.col(delay)).alias("avg_delay"), F.avg(flag).alias("delay_rate"))
+        )
+        by_hour = Window.partitionBy("__e").orderBy("__h")
+        features = [F.lag("avg_delay").over(by_hour).alias(f"{prefix}_avg_dep_delay_prev_hour")]
         if prefix in rolling:
-            features.append(F.max(F.when(mine, F.col("__rate"))).alias(f"{prefix}_delay_rate_prev_3h"))
-    lookup = (
-        long.select(*keys, "__e")
-        .join(shifted, same)
-        .groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)])
-        .agg(*features)
-    )
-    match = None
-    for i, c in enumerate(keys):
-        part = F.col(c).eqNullSafe(F.col(f"__k{i}"))
-        match = part if match is None else match & part
-    return facts.join(lookup, match, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+            recent = by_hour.rowsBetween(-3, -1)
+            features.append(F.avg("delay_rate").over(recent).alias(f"{prefix}_delay_rate_prev_3h"))
+        shifted = hourly.select("__e", "__h", *features)
+        same = (F.col(entity) == F.col("__e")) & (F.col(hour) == F.col("__h"))
+        out = out.join(shifted, same, "left").drop("__e", "__h")
+    return out
