@@ -36,3 +36,13 @@ def test_entry(spark):
 def test_names_and_columns():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
     assert len(entry_points.queries()) > 120
+
+
+def test_feature_frame_does_not_depend_on_the_path(spark):
+    from punctual.plans import features
+    from punctual.queries.pipeline import analysis_table
+
+    frame = features.analysis_frame(analysis_table(spark, SF))
+    plain, cut = (features.build_feature_frame(frame, ["trip_id"], buckets=b).frame for b in (1, 7))
+    assert sorted(plain.columns) == sorted(cut.columns)
+    assert plain.exceptAll(cut.select(plain.columns)).count() == 0 and plain.count() == cut.count()
