@@ -119,7 +119,7 @@ def two_decimals(c: Column) -> Column:
     is_tie = (F.abs(scaled - near) <= scaled * 1e-15) & (F.pmod(near, F.lit(10.0)) == 5)
     plain = F.bround(x.cast("decimal(38,15)"), 2).cast("decimal(38,2)")
     rounded = F.when(is_tie, (tie_cents.cast("decimal(20,0)") / 100).cast("decimal(38,2)")).otherwise(plain)
-    sign = F.when(c.cast("double") < 0, "-").otherwise("")
+    sign = F.when(F.startswith(c.cast("double").cast("string"), F.lit("-")), "-").otherwise("")
     return F.coalesce(F.concat(sign, rounded.cast("string")), F.lit("NA"))
 
 

@@ -88,7 +88,7 @@ def test_buckets(one):
 
 
 def test_two_decimals_equals_python(one):
-    numbers = [0.125, 2.675, 4.055, 1.005, -0.375, 12.0, 1e6 + 0.005, 0.0, 1.115, 107 / 40, 33 / 8, 2.5e-4, 99.995]
+    numbers = [0.125, 2.675, 4.055, 1.005, -0.375, 12.0, 1e6 + 0.005, 0.0, 1.115, 107 / 40, 33 / 8, 2.5e-4, 99.995, -0.0, -0.001]
     numbers += [i / 200 for i in range(1, 400)] + [i * 0.0375 for i in range(200)] + [-i / 8 for i in range(1, 60)]
     assert one(numbers, "double", values.two_decimals(X)) == [f"{n:.2f}" for n in numbers]
     assert one([None], "double", values.two_decimals(X)) == ["NA"]
