@@ -1,7 +1,7 @@
 """Quality score from compressed sizes under a good and a bad dictionary.
 
 A text is first written as one byte a word: how long the word is, how it is cased, what it ends
-with and whether it repeats the word before.  Pieces of 64 such bytes are compressed with a
+with and whether it repeats the word before.  Pieces of 64 or 32 such bytes are compressed with a
 zstandard dictionary made of good and with one made of bad labelled texts; the difference of the
 two total sizes over the larger one, put through a logistic curve fitted on labelled texts, is the
 score.  So the letters themselves, and with them the language, matter little.
@@ -28,8 +28,11 @@ SAMPLE_ROWS = 4000
 DICTIONARY_BYTES = 120_000
 SLICE = 2048
 SHORT_SLICE = 128
-PIECE_WORDS = 64
 LEVEL = 12
+#: Views of a shape: which bits of a word's byte count, and words compressed at once.  Few labels
+#: only carry the view without word lengths; the fit takes the view that does better on texts
+#: kept aside.
+VIEWS = ((0xFF, 64), (0xCF, 32))
 
 _KIND = np.zeros(256, np.uint8)  # 0 letters and digits, 1 sentence marks, 2 other signs
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
@@ -58,10 +61,12 @@ def shape(text: str | None) -> bytes:
 class Sizes:
     """Compressed-size difference under two dictionaries, from -1 (like good text) to 1."""
 
-    def __init__(self, good: bytes, bad: bytes):
+    def __init__(self, good: bytes, bad: bytes, view: tuple[int, int]):
+        mask, self.piece = view
+        self.seen = bytes(i & mask for i in range(256))
         self.of = []
         for content in (good, bad):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content.translate(self.seen), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.of.append((c, len(c.compress(b""))))
@@ -69,7 +74,8 @@ class Sizes:
     def difference(self, shaped: bytes) -> float:
         if not shaped:
             return 0.0
-        pieces = [shaped[i : i + PIECE_WORDS] for i in range(0, len(shaped), PIECE_WORDS)]
+        shaped = shaped.translate(self.seen)
+        pieces = [shaped[i : i + self.piece] for i in range(0, len(shaped), self.piece)]
         good, bad = (sum(len(c.compress(p)) - empty for p in pieces) for c, empty in self.of)
         return (good - bad) / max(good, bad, 1)
 
@@ -80,6 +86,7 @@ class Model:
 
     good: bytes = b""
     bad: bytes = b""
+    view: tuple[int, int] = VIEWS[0]
     slope: float = 0.0
     offset: float = 0.0
     constant: float | None = None
@@ -87,7 +94,7 @@ class Model:
     def scorer(self):
         if self.constant is not None:
             return lambda text: (0.0, self.constant)
-        sizes, slope, offset = Sizes(self.good, self.bad), self.slope, self.offset
+        sizes, slope, offset = Sizes(self.good, self.bad, self.view), self.slope, self.offset
 
         def score(text):
             d = sizes.difference(shape(text))
@@ -157,20 +164,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         return Model(constant=(counts[1] + 1) / (counts[0] + counts[1] + 2))
     made = {}
 
-    def difference(shaped, fold):
+    def differences(shaped, fold):
         if fold not in made:
-            made[fold] = Sizes(*parts[fold])
-        return (made[fold].difference(bytes(shaped)),)
+            made[fold] = [Sizes(*parts[fold], view) for view in VIEWS]
+        return tuple(sizes.difference(bytes(shaped)) for sizes in made[fold])
 
     # the curve is fitted on texts that the dictionaries used for them don't hold:
-    # one number for each sampled text, at most 2 * SAMPLE_ROWS
-    fields = T.StructType([T.StructField("d", T.DoubleType())])
-    got = per_row(sample.withColumn("fold", _fold()), ["shape", "fold"], fields, difference, ["y"]).toPandas()
+    # two numbers for each sampled text, at most 2 * SAMPLE_ROWS texts
+    fields = T.StructType([T.StructField(f"d{i}", T.DoubleType()) for i in range(len(VIEWS))])
+    got = per_row(sample.withColumn("fold", _fold()), ["shape", "fold"], fields, differences, ["y"]).toPandas()
     y = got["y"].to_numpy(float)
     share = {v: counts[v] / max(1, int((y == v).sum())) for v in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    slope, offset = _logistic(got["d"].to_numpy(float), y, weight * len(y) / weight.sum())
-    return Model(*parts[None], slope, offset)
+    weight *= len(y) / weight.sum()
+    best = None
+    for i, view in enumerate(VIEWS):
+        x = got[f"d{i}"].to_numpy(float)
+        slope, offset = _logistic(x, y, weight)
+        loss = (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (slope * x + offset))).sum()
+        if best is None or loss < best[0]:
+            best = loss, Model(*parts[None], view, slope, offset)
+    return best[1]
 
 
 def _fold():
