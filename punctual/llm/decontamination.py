@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.llm.arrow import rows_of
-from punctual.llm.hashing import mix, powers
+from punctual.llm.hashing import powers
 
 Q = 8
 ERRORS = 0.08
@@ -61,13 +61,17 @@ def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
-    if len(codes) < Q:
+    """Hash of the q characters from each place on."""
+    n = len(codes) - Q + 1
+    if n < 1:
         return np.empty(0, np.uint64)
-    up, _ = powers(Q)
-    total = np.zeros(len(codes) - Q + 1, np.uint64)
-    for i in range(Q):
-        total += codes[i : len(codes) - Q + 1 + i].astype(np.uint64) * up[i]
-    return mix(total)
+    up, down = powers(len(codes))
+    prefix = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(codes * up, out=prefix[1:])
+    grams = prefix[Q:] - prefix[:-Q]
+    grams *= down[:n]
+    grams *= np.uint64(0xD6E8FEB86659FD93)
+    return grams
 
 
 def budget(length: int) -> int:
@@ -77,14 +81,19 @@ def budget(length: int) -> int:
 
 @dataclass
 class Index:
-    """Benchmark items, sorted q-gram hashes with their item and place, and the parts to look for."""
+    """Benchmark items; their q-gram hashes, each with the first and the number of its (item, place)
+    entries; a bit table that most other hashes fail; and what a part of an item needs."""
 
     ids: list[int]
     codes: list[np.ndarray]
     hashes: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    stripe: np.ndarray
+    need: np.ndarray
     longest: int
 
 
@@ -97,7 +106,11 @@ def index_of(items: list[tuple[int, str]]) -> Index:
     order = np.argsort(hashes, kind="stable")
     seen = np.zeros(1 << 22, bool)
     seen[hashes >> np.uint64(42)] = True
-    return Index([i for i, _ in items], codes, hashes[order], item[order], place[order], seen, max([0, *map(len, codes)]))
+    lengths = [len(c) for c in codes]
+    stripe = np.array([budget(n) + 1 for n in lengths], np.int64)
+    need = np.array([min([n, *(b - a - Q + 1 - Q * budget(b - a) for a, b in parts_of(n) if b - a >= Q)]) for n in lengths], np.int64)
+    hashes, first, many = np.unique(hashes[order], return_index=True, return_counts=True)
+    return Index([i for i, _ in items], codes, hashes, first, many, item[order], place[order], seen, stripe, need, max([0, *lengths]))
 
 
 def parts_of(length: int) -> Iterator[tuple[int, int]]:
@@ -155,19 +168,27 @@ def _bands(text: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int,
     """Matches (item, edits, start, end, matched length of the item) in one piece of normalised text."""
     grams = gram_hashes(text)
     at = np.flatnonzero(index.seen[grams >> np.uint64(42)])
-    lo = np.searchsorted(index.hashes, grams[at], "left")
-    many = np.searchsorted(index.hashes, grams[at], "right") - lo
-    if not many.sum():
+    grams = grams[at]
+    found = np.minimum(np.searchsorted(index.hashes, grams), len(index.hashes) - 1)
+    known = index.hashes[found] == grams
+    at, found = at[known], found[known]
+    if not len(at):
         return
+    lo, many = index.first[found], index.many[found]
     entry = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
     item, place, pos = index.item[entry], index.place[entry], np.repeat(at, many)
-    order = np.lexsort((pos, item))
-    item, place, pos = item[order], place[order], pos[order]
-    cuts = np.flatnonzero(np.diff(item, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(item)], strict=True):
-        k = int(item[a])
+    # what no part of an item can do without: enough hits in two neighbouring stripes of diagonals
+    stripe = item * (1 << 40) + np.floor_divide(pos - place, index.stripe[item]) + (1 << 39)
+    keys, hits = np.unique(stripe, return_counts=True)
+    beside = np.searchsorted(keys, keys + 1)
+    beside_hits = np.where(keys[np.minimum(beside, len(keys) - 1)] == keys + 1, hits[np.minimum(beside, len(keys) - 1)], 0)
+    for k in np.unique((keys >> 40)[hits + beside_hits >= index.need[keys >> 40]]):
+        mine = item == k
         for since, upto in parts_of(len(index.codes[k])):
-            yield from _part_matches(text, index.codes[k], k, since, upto, place[a:b], pos[a:b])
+            got = list(_part_matches(text, index.codes[k], int(k), since, upto, place[mine], pos[mine]))
+            yield from got
+            if got and upto - since == len(index.codes[k]):
+                break  # the whole item was found
 
 
 def _part_matches(text, codes, k, since, upto, place, pos):
@@ -183,11 +204,19 @@ def _part_matches(text, codes, k, since, upto, place, pos):
     # a hit counts in the band that starts in its half and in the one before it
     band = np.concatenate((first, first - 1))
     gram = np.concatenate((place[here], place[here]))
-    pairs = np.unique(np.stack((band, gram)), axis=1)[0]
+    pairs = np.unique(band * (1 << 32) + gram) >> 32
     found, count = np.unique(pairs, return_counts=True)
     last = -1
+    part = codes[since:upto]
     for start in found[count >= need]:
-        got = align(codes[since:upto], text, int(start) * half, int(start + 2) * half - 1, edits)
+        low = int(start) * half
+        inside = diagonal[(diagonal >= low) & (diagonal < low + 2 * half)]
+        values, often = np.unique(inside, return_counts=True)
+        at = int(values[np.argmax(often)])  # an exact copy stands on one diagonal
+        if at >= 0 and np.array_equal(text[at : at + length], part):
+            got = 0, at, at + length
+        else:
+            got = align(part, text, low, low + 2 * half - 1, edits)
         if got is not None and got[1] > last:
             last = got[1]
             yield k, got[0], got[1], got[2], length
@@ -196,8 +225,8 @@ def _part_matches(text, codes, k, since, upto, place, pos):
 def document_matches(text: str | None, index: Index) -> list[tuple[int, int, int, int, float]]:
     """Rows (item_id, start, end, edits, share), one for each item found in a text.
 
-    ``start`` and ``end`` are the code points that all matches of the item span first to last;
-    ``share`` is the largest part of the item that matched, ``edits`` the edits of that match.
+    ``share`` is the largest part of the item that matched, ``start``, ``end`` (code points) and
+    ``edits`` belong to that match; among equals the fewest edits, then the first place.
     """
     if not text or not len(index.hashes):
         return []
@@ -208,14 +237,9 @@ def document_matches(text: str | None, index: Index) -> list[tuple[int, int, int
     for lo in range(0, max(1, len(codes)), step):
         piece = codes[lo : lo + step + overlap]
         for k, edits, start, end, length in _bands(piece, index):
-            first, last = int(at[lo + start]), int(at[lo + max(start, end - 1)]) + 1
-            old = best.get(k)
-            if old is None:
-                best[k] = (first, last, edits, length)
-            else:
-                better = (-length, edits) < (-old[3], old[2])
-                best[k] = (min(first, old[0]), max(last, old[1]), *((edits, length) if better else old[2:]))
-    return [(index.ids[k], s, e, d, n / len(index.codes[k])) for k, (s, e, d, n) in sorted(best.items())]
+            row = (-length, edits, int(at[lo + start]), int(at[lo + max(start, end - 1)]) + 1)
+            best[k] = min(row, best.get(k, row))
+    return [(index.ids[k], s, e, d, -n / len(index.codes[k])) for k, (n, d, s, e) in sorted(best.items())]
 
 
 def matches(
