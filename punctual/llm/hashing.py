@@ -94,10 +94,10 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < n:
-        total = np.uint64(len(words))
-        for w in words:
-            total = mix(np.array([total * BASE + w], np.uint64), 7)[0]
-        return np.array([total], np.uint64)
+        total = np.array([len(words)], np.uint64)
+        for i in range(len(words)):
+            total = mix(total * BASE + words[i : i + 1], 7)
+        return total
     total = np.zeros(len(words) - n + 1, np.uint64)
     for i in range(n):
         total = total * BASE + words[i : len(words) - n + 1 + i]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, extraction, language, mixing, quality, sharding
+from punctual.llm import decontamination, extraction, language, mixing, overlap, quality, sharding
 from punctual.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,12 @@ def op6_two_pass_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+@register
+def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = overlap.join(table(spark, sf_dir, "documents"), ngram=3, threshold=0.9)
+    return docs.select("doc_id", "n_shingles", "component_id")
+
+
 @register
 def op8_lookup_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
