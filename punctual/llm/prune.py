@@ -1,4 +1,4 @@
-"""Leave out rows that a join would drop anyway, before they are shuffled."""
+"""Tell rows that a join can't match apart from the rest, before anything is shuffled."""
 
 from __future__ import annotations
 
@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 20
 
 
-def among(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
-    """The rows whose key may be one of ``ids`` (its only column, of the key's type).
+def maybe(key: list[Column], ids: DataFrame) -> Column:
+    """True where the key may be among ``ids`` (rows of the same columns), false where it is not.
 
     The hashes of the ids mark buckets of a table of fixed size, which travels to the tasks.  With
-    very many ids it lets most rows pass; a join has to follow in any case.
+    very many ids it is true for most rows; a join has to follow in any case.
     """
-    bucket = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BUCKETS)).cast("int")
-    bit = F.expr("shiftleft(1L, b % 32)")
-    words = ids.select(bucket.alias("b")).groupBy(F.floor(F.col("b") / 32).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    bucket = F.pmod(F.xxhash64(*ids.columns), F.lit(BUCKETS)).cast("int")
+    words = ids.select(bucket.alias("b")).groupBy(F.floor(F.col("b") / 32).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, b % 32)")).alias("bits")
+    )
     marked = np.zeros(BUCKETS, np.uint8)
     for r in words.collect():  # at most BUCKETS / 32 rows
         marked[r["word"] * 32 : r["word"] * 32 + 32] = (r["bits"] >> np.arange(32)) & 1
-    place = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int") + 1
-    return df.where(F.substring(F.lit(marked.tobytes()), place, F.lit(1)) == F.lit(b"\x01"))
+    place = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int") + 1
+    return F.substring(F.lit(marked.tobytes()), place, F.lit(1)) == F.lit(b"\x01")

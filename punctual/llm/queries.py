@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, extraction, language, mixing, overlap, quality, sharding
+from punctual.llm import decontamination, extraction, language, mixing, overlap, quality, repeats, sharding
 from punctual.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,9 @@ def op8_lookup_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@register
+def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
