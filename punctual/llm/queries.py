@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, extraction, language, mixing, overlap, quality, repeats, sharding
+from punctual.llm import decontamination, extraction, language, mixing, neighbours, overlap, quality, repeats, sharding
 from punctual.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+@register
+def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 @register
 def op3_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
