@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, extraction, language, mixing, neighbours, overlap, quality, repeats, sharding
+from punctual.llm import decontamination, extraction, language, mixing, neighbours, overlap, quality, repeats, sharding, surrogates
 from punctual.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 SLOTS = 65_537
+#: In use, a secret of whoever runs the job: with it a surrogate can be drawn again.
+SURROGATE_KEY = b"replace this key before publishing anything"
 
 
 def register(fn: Query) -> Query:
@@ -32,6 +34,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+@register
+def op1_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return docs
+
+
 @register
 def op2_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
