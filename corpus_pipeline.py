@@ -55,7 +55,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     picks = taken.withColumn("__copies", copies).groupBy(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).agg(
         F.round(F.avg("__copies")).cast("int").alias("__copies")
     ).where("__copies > 0")
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__place"))
+    match = F.col("doc_id").eqNullSafe(F.col("__id")) & (mixing.place_of(F.col("doc_id"), F.col("text")) == F.col("__place"))
     rows = docs.join(picks, match).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return rows.select(docs.columns)
 

@@ -24,11 +24,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def place_of(doc_id: Column, text: Column) -> Column:
+    """Place in the shuffle, 60 bits: rows equal in id and text share it."""
+    digest = F.md5(F.concat_ws("/", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def measured(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Rows (doc_id, source, size, place): words of each document and its place in the shuffle."""
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
-        F.xxhash64(F.col(doc_id), F.col(text)).alias("place"),
+        place_of(F.col(doc_id), F.col(text)).alias("place"),
     )
 
 
@@ -107,7 +113,7 @@ def positions(rows: DataFrame) -> DataFrame:
     Sums are taken per bucket of the shuffled order and carried over the buckets, so a hot source
     is spread over many tasks.
     """
-    b = rows.withColumn("bucket", F.shiftrightunsigned("place", 52).cast("int"))
+    b = rows.withColumn("bucket", F.shiftright("place", 48).cast("int"))
     per_bucket = b.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(

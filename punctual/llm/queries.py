@@ -15,7 +15,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
-SLOTS = 65_537
+SLOTS = 8191
 #: In use, a secret of whoever runs the job: with it a surrogate can be drawn again.
 SURROGATE_KEY = b"replace this key before publishing anything"
 
@@ -25,6 +25,10 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text.strip()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,14 +85,117 @@ def op7_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_shingles", "component_id")
 
 
+sql("op7_count_vector_join", """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b USING (s) JOIN sizes na ON na.doc_id = a.doc_id JOIN sizes nb ON nb.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id AND 100 * least(na.n, nb.n) >= 90 * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))
+),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+)
+SELECT r.a AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r.b) AS component_id
+FROM reached r LEFT JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a
+""")
+
+
 @register
 def op8_lookup_table_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS, SLOTS)
 
 
+sql("op8_lookup_table_shards", f"""
+WITH RECURSIVE shards AS (
+  SELECT i, CAST('0x' || substr(md5(name || '/first'), 1, 15) AS BIGINT) % {SLOTS} AS first,
+         CAST('0x' || substr(md5(name || '/step'), 1, 15) AS BIGINT) % ({SLOTS} - 1) + 1 AS step
+  FROM (SELECT i, 'shard-' || lpad(CAST(i AS VARCHAR), 3, '0') AS name FROM range({len(SHARDS)}) t(i))
+),
+orders AS (SELECT list(first ORDER BY i) AS firsts, list(step ORDER BY i) AS steps FROM shards),
+turns AS (
+  SELECT 0 AS turn, CAST(-1 AS BIGINT) AS slot, list_transform(range({SLOTS}), lambda x: true) AS free,
+         list_transform(range({len(SHARDS)}), lambda x: CAST(0 AS BIGINT)) AS tried
+  UNION ALL
+  SELECT turn + 1, pick, list_concat(free[1:pick], [false], free[pick + 2:]),
+         list_concat(tried[1:turn % {len(SHARDS)}], [j], tried[turn % {len(SHARDS)} + 2:])
+  FROM (
+    SELECT *, (firsts[turn % {len(SHARDS)} + 1] + j * steps[turn % {len(SHARDS)} + 1]) % {SLOTS} AS pick
+    FROM (
+      SELECT t.*, o.*, list_filter(range(tried[turn % {len(SHARDS)} + 1], {SLOTS}),
+        lambda k: free[(firsts[turn % {len(SHARDS)} + 1] + k * steps[turn % {len(SHARDS)} + 1]) % {SLOTS} + 1])[1] AS j
+      FROM turns t, orders o WHERE turn < {SLOTS}
+    )
+  )
+),
+owners AS (
+  SELECT slot, 'shard-' || lpad(CAST((turn - 1) % {len(SHARDS)} AS VARCHAR), 3, '0') AS shard FROM turns WHERE turn > 0
+)
+SELECT doc_id, CAST(slot AS INTEGER) AS slot, shard
+FROM (
+  SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents
+) JOIN owners USING (slot)
+""")
+
+
 @register
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+# the schedule takes the blocks of a source in turn until its target is reached, so what it takes of a
+# document follows from the document's place alone
+sql("op9_low_discrepancy_mix", """
+WITH RECURSIVE rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')), 1, 15) AS BIGINT) AS place
+  FROM documents
+),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS w
+  FROM rows GROUP BY source
+),
+capped AS (
+  SELECT source, source_size, w, false AS filled, 0 AS round FROM sources
+  UNION ALL
+  SELECT source, source_size, w, filled OR w * level > 2 * source_size, round + 1
+  FROM (
+    SELECT *, (1.5 * sum(source_size) OVER () - sum(CASE WHEN filled THEN 2 * source_size ELSE 0 END) OVER ())
+              / sum(CASE WHEN filled THEN 0 ELSE w END) OVER () AS level
+    FROM capped WHERE round < 40
+  )
+),
+targets AS (
+  SELECT source, source_size, CASE WHEN filled THEN 2.0 * source_size ELSE
+           w * (1.5 * sum(source_size) OVER () - sum(CASE WHEN filled THEN 2 * source_size ELSE 0 END) OVER ())
+             / sum(CASE WHEN filled THEN 0 ELSE w END) OVER () END AS target
+  FROM capped WHERE round = 40
+),
+placed AS (
+  SELECT doc_id, r.source, size, source_size, target, CAST(round(target) AS BIGINT) AS goal,
+         CAST(coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, round(target, 6) AS target,
+       CASE WHEN size = 0 THEN 0 ELSE
+         goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken
+FROM placed
+""")
 
 
 @register
