@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from punctual.contracts import DEFAULT_MARKERS, PROMPT_FIELDS
 
-EXACT = "decimal(18,2)"
+#: Eighteen digits are the most that stay a plain number inside Spark: six decimals, and up to 10**12.
+#: A larger value fails the job; a finer one has to bring its own type.
+EXACT = "decimal(18,6)"
 
 
 def to_number(c: Column) -> Column:
@@ -18,9 +20,9 @@ def to_number(c: Column) -> Column:
     return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
 
 
-def exact(c: Column) -> Column:
-    """Two-decimal exact value, so that sums do not depend on row order."""
-    return c.cast(EXACT)
+def exact(c: Column, kind: str = EXACT) -> Column:
+    """Exact value with six decimals, so that sums do not depend on row order."""
+    return c.cast(kind)
 
 
 def threshold_label(c: Column, limit: float = 15) -> Column:
@@ -102,25 +104,8 @@ def slugify(c: Column) -> Column:
 
 
 def two_decimals(c: Column) -> Column:
-    """Value with two decimals, ``NA`` for null, rounded by the value the double really has.
-
-    Where the third decimal looks like an exact 5, the sign of ``value - tie`` is found
-    without rounding error by splitting the double in two halves; true ties go to even.
-    """
-    x = F.abs(c.cast("double"))
-    split = x * F.lit(134217729.0)
-    high = split - (split - x)
-    low = x - high
-    scaled = x * 1000
-    near = F.rint(scaled)
-    error = (high * 1000 - near) + low * 1000
-    below = F.floor(near / 10)
-    tie_cents = F.when(error > 0, below + 1).when(error < 0, below).otherwise(below + F.pmod(below, F.lit(2)))
-    is_tie = (F.abs(scaled - near) <= scaled * 1e-15) & (F.pmod(near, F.lit(10.0)) == 5)
-    plain = F.bround(x.cast("decimal(38,15)"), 2).cast("decimal(38,2)")
-    rounded = F.when(is_tie, (tie_cents.cast("decimal(20,0)") / 100).cast("decimal(38,2)")).otherwise(plain)
-    sign = F.when(F.startswith(c.cast("double").cast("string"), F.lit("-")), "-").otherwise("")
-    return F.coalesce(F.concat(sign, rounded.cast("string")), F.lit("NA"))
+    """Value with two decimals, ``NA`` for null, rounded by the value the double really has."""
+    return F.coalesce(F.call_function("format_number", c.cast("double"), F.lit("0.00")), F.lit("NA"))
 
 
 def row_text(names: dict[str, str]) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from punctual.operators.quantile import exact_quantiles
 from punctual.operators.scan import OrderedScan
+from punctual.session import staged
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -47,7 +48,7 @@ def ranked_scores(df: DataFrame, keys: Sequence[str] = (), buckets: int | None =
     """One row per distinct score with its class counts and those of all higher scores."""
     keys = list(keys)
     groups = df.groupBy(*keys, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    groups = groups.withColumn("__down", -F.col("score"))
+    groups = staged(groups.withColumn("__down", -F.col("score")))
     scan = OrderedScan(groups, keys, ["__down"], buckets).prior_sums({"tp": F.col("pos"), "fp": F.col("neg")})
     zero = F.lit(0).cast("bigint")
     return scan.result().withColumns({"tp": F.coalesce("tp", zero), "fp": F.coalesce("fp", zero)}).drop("__down")

@@ -12,8 +12,6 @@ from punctual.learn.models import Fitted
 from punctual.operators.scan import OrderedScan
 from punctual.operators.split import SEED, sample_cap
 
-SAMPLE_ROWS = 1000
-
 
 def model_importance(spark, fitted: Fitted, top: int = 15) -> DataFrame:
     """(feature, importance): tree importances or absolute coefficients, largest first."""
@@ -27,12 +25,12 @@ def model_importance(spark, fitted: Fitted, top: int = 15) -> DataFrame:
 
 
 def permutation_importance(
-    fitted: Fitted, test: DataFrame, identity: Sequence[str], sample: int | None = SAMPLE_ROWS, top: int = 20, seed: int = SEED
+    fitted: Fitted, test: DataFrame, identity: Sequence[str], sample: int | None = None, top: int = 20, seed: int = SEED
 ) -> DataFrame:
     """(feature, mean_abs_change): how far the score moves when a feature is taken from another row.
 
     The other row is the one before in a hashed order, so one ordered scan serves all features.
-    ``sample`` rows are scored once per feature; None scores all rows.
+    All rows are scored once per feature, or ``sample`` of them if it is given.
     """
     features = [*fitted.prep.categorical, *fitted.prep.numeric]
     rows = test.select(*identity, *[c for c in features if c not in set(identity)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from punctual.functions.clock import floor_hour
 from punctual.functions.values import EXACT, exact
 from punctual.operators.aggregate import exact_mean
-from punctual.operators.scan import OrderedScan, bucket_count
+from punctual.operators.scan import OrderedScan
 
 _LAST_INSTANT = 9223372036854775807
 
@@ -38,7 +38,6 @@ def prior_means(
     decimals, so a feature does not depend on how the rows were spread.
     """
     base = df if source is None else source
-    wanted = bucket_count(base) if buckets is None else buckets
     amount = exact(F.col(value))
     counted = F.lit(1).cast("bigint") if null_as_zero else F.when(amount.isNotNull(), 1).cast("bigint")
     if null_as_zero:
@@ -46,7 +45,7 @@ def prior_means(
     out, order = time_order(df, time, tie_order)
     base, _ = time_order(base, time, tie_order)
     for name, keys in features.items():
-        scan = OrderedScan(out, keys, order, wanted, base).prior_sums({"__sum": amount, "__n": counted})
+        scan = OrderedScan(out, keys, order, buckets, base).prior_sums({"__sum": amount, "__n": counted})
         out = scan.result().withColumn(name, F.col("__sum").cast("double") / F.col("__n")).drop("__sum", "__n")
     return out.drop("__at")
 

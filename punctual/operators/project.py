@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from punctual.functions.clock import route_key, weekday_number
 from punctual.functions.values import to_number
 
-LITERAL_LIST_LIMIT = 1000
-
 
 def require_columns(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
     """The named columns first, absent ones as typed nulls, then whatever else there is."""
@@ -42,17 +40,18 @@ def normalize_columns(
 
 
 def filter_in(df: DataFrame, column: str, values: Sequence | DataFrame) -> DataFrame:
-    """Rows whose value is listed; an empty list keeps all.  Long lists become a semi join."""
+    """Rows whose value is listed; an empty list keeps all.
+
+    Listed values count as values of the column's type, whatever their number, and the filter is
+    pushed into the scan.  A list that is itself a table comes as a DataFrame and is a semi join.
+    """
     if isinstance(values, DataFrame):
         key = values.columns[0]
         return df.join(values.select(F.col(key).alias(column)), column, "left_semi")
     if not values:
         return df
-    if len(values) <= LITERAL_LIST_LIMIT:
-        return df.where(F.col(column).isin(*values))
     kind = df.schema[column].dataType
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], f"`{column}` {kind.simpleString()}")
-    return df.join(listed, column, "left_semi")
+    return df.where(F.col(column).isin(*[F.lit(v).try_cast(kind) for v in values if v is not None]))
 
 
 def filter_date_range(df: DataFrame, column: str, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from punctual.operators.scan import OrderedScan
+from punctual.session import staged
 
 
 def exact_quantiles(
@@ -30,7 +31,7 @@ def exact_quantiles(
     narrow = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
     long = narrow.unpivot(keys, list(columns), "feature", "value")
     long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = staged(long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n")))
     group = [*keys, "feature"]
     scan = OrderedScan(counts, group, ["value"], buckets)
     joined = scan.prior_sums({"before": F.col("n")}).key_totals({"total": F.col("n")}).result()

@@ -4,15 +4,16 @@ A plain ``Window.partitionBy(key).orderBy(time)`` puts every row of a key into o
 When one key holds a third of the data that task never ends.  ``OrderedScan`` therefore
 cuts the (key, order) space into range buckets of about equal size:
 
-1. bucket borders come from a bounded sample (as a global sort would take it), sit in the
-   plan as one literal, and are looked up by binary search;
+1. one pass over keys and order counts the rows and draws a bounded sample, from which the bucket
+   borders are taken (as a global sort would); they sit in the plan as one literal and are looked
+   up by binary search;
 2. inside a bucket a plain window does the work;
 3. what earlier buckets of the same key contribute is one small table (at most one row per
    border, so it is broadcast), built from a map-side combined aggregate.
 
-So rows are shuffled once and no group is larger than a bucket.  Where the borders lie only
-affects balance, never results.  Inputs below a checked size use one bucket, i.e. the plain
-window.  The order columns should identify a row: rows equal in all of them share a bucket.
+So rows are shuffled once and no group is larger than a bucket, at any size of the input.  Where the
+borders lie only affects balance, never results.  The order columns should identify a row: rows equal
+in all of them share a bucket.
 """
 
 from __future__ import annotations
@@ -21,26 +22,19 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from punctual.sizing import is_small
-
+#: Rows that a bucket should hold, the fewest buckets, and the rows of the sample (as many buckets
+#: at most).
 TARGET_ROWS = 2_000_000
-MAX_BUCKETS = 20_000
-SAMPLES_PER_BUCKET = 20
+LEAST_BUCKETS = 8
+SAMPLE_ROWS = 10_000
 
 _BUCKET = "__bucket"
 
 
-def bucket_count(df: DataFrame, target_rows: int = TARGET_ROWS) -> int:
-    """How many buckets an input needs; 1 means a plain window is fine."""
-    if is_small(df):
-        return 1
-    return max(1, min(MAX_BUCKETS, math.ceil(df.count() / target_rows)))
-
-
 def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
     """The columns as JSON-friendly values in the same order as the originals."""
     out = []
@@ -59,15 +53,19 @@ def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return out
 
 
-def range_borders(df: DataFrame, names: Sequence[str], buckets: int) -> list[tuple]:
-    """At most ``buckets - 1`` border tuples from a bounded sample."""
+def range_borders(df: DataFrame, names: Sequence[str], buckets: int | None = None) -> list[tuple]:
+    """Border tuples that cut the rows into about equal parts: ``buckets`` of them, or as many as
+    the number of rows asks for.  One pass; the sample is all that reaches the driver."""
+    if buckets == 1:
+        return []
     cols = _comparable(df, names)
-    narrow = df.select(*cols)
-    rows = narrow.count()
-    share = min(1.0, buckets * SAMPLES_PER_BUCKET / max(rows, 1))
-    sample = narrow.sample(fraction=share, seed=42) if share < 1.0 else narrow
-    points = [tuple(r) for r in sample.distinct().orderBy(*[c for c in narrow.columns]).collect()]
-    points = [p for p in points if not any(isinstance(v, float) and math.isnan(v) for v in p)]
+    seen = Observation()
+    narrow = df.select(*cols).observe(seen, F.count(F.lit(1)).alias("rows"))
+    points = [tuple(r) for r in narrow.orderBy(F.rand(42)).limit(SAMPLE_ROWS).collect()]
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, math.ceil(seen.get["rows"] / TARGET_ROWS))
+    points = {p for p in points if not any(isinstance(v, float) and math.isnan(v) for v in p)}
+    points = sorted(points, key=lambda p: [(v is not None, v if v is not None else 0) for v in p])
     if not points:
         return []
     step = len(points) / buckets
@@ -102,7 +100,7 @@ class OrderedScan:
     """Ordered calculations over ``order`` within each combination of ``keys``.
 
     Null keys form a group of their own.  ``buckets`` forces a bucket count; by default it
-    follows from the size of the input.
+    follows from the number of rows.
 
     ``source`` is an earlier frame with the same rows that already holds keys, order and the
     columns the calculations read.  In a chain of scans it keeps the work linear: what earlier
@@ -120,16 +118,11 @@ class OrderedScan:
         self.keys = list(keys)
         self.order = list(order)
         source = df if source is None else source
-        wanted = bucket_count(source) if buckets is None else buckets
-        self.bucketed = wanted > 1
-        self.df = df
-        self.group = self.keys
-        if self.bucketed:
-            names = self.keys + self.order
-            borders = range_borders(source, names, wanted)
-            self.df = with_range_bucket(df, names, borders)
-            self.source = with_range_bucket(source, names, borders)
-            self.group = [*self.keys, _BUCKET]
+        names = self.keys + self.order
+        borders = range_borders(source, names, buckets)
+        self.df = with_range_bucket(df, names, borders)
+        self.source = with_range_bucket(source, names, borders)
+        self.group = [*self.keys, _BUCKET]
 
     # -- helpers ---------------------------------------------------------------------
     def _window(self):
@@ -155,7 +148,7 @@ class OrderedScan:
         match = F.col(_BUCKET) == F.col("__kb")
         for i, k in enumerate(self.keys):
             match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        # at most MAX_BUCKETS rows: every border adds at most one (key, bucket) pair
+        # at most SAMPLE_ROWS rows: every border adds at most one (key, bucket) pair
         joined = self.df.join(F.broadcast(carry), match, "left")
         return joined.drop("__kb", *[f"__k{i}" for i in range(len(self.keys))])
 
@@ -163,9 +156,6 @@ class OrderedScan:
     def prior_sums(self, sums: dict[str, Column]) -> OrderedScan:
         """Add the sum of each expression over earlier rows; null where there are none."""
         before = self._window().rowsBetween(Window.unboundedPreceding, -1)
-        if not self.bucketed:
-            self.df = self.df.withColumns({n: F.sum(e).over(before) for n, e in sums.items()})
-            return self
         frame = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
         names = list(sums)
         carry = self._carry(
@@ -190,19 +180,16 @@ class OrderedScan:
         """Add the value each expression had in the row just before; null for the first row."""
         payload = F.struct(*[e.alias(n) for n, e in columns.items()])
         here = F.lag(payload).over(self._window())
-        if not self.bucketed:
-            self.df = self.df.withColumn("__prev", here)
-        else:
-            carry = self._carry(
-                [F.max_by(payload, self._order_struct()).alias("__last")],
-                lambda w: [F.lag("__last").over(w).alias("__carried")],
-            )
-            self.df = (
-                self._attach(carry)
-                .withColumn("__here", here)
-                .withColumn("__prev", F.coalesce("__here", "__carried"))
-                .drop("__here", "__carried")
-            )
+        carry = self._carry(
+            [F.max_by(payload, self._order_struct()).alias("__last")],
+            lambda w: [F.lag("__last").over(w).alias("__carried")],
+        )
+        self.df = (
+            self._attach(carry)
+            .withColumn("__here", here)
+            .withColumn("__prev", F.coalesce("__here", "__carried"))
+            .drop("__here", "__carried")
+        )
         for n in columns:
             self.df = self.df.withColumn(n, F.col(f"__prev.{n}"))
         self.df = self.df.drop("__prev")
@@ -212,9 +199,6 @@ class OrderedScan:
         """Add the latest non-null payload at or before each row."""
         upto = self._window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
         here = F.last(payload, ignorenulls=True).over(upto)
-        if not self.bucketed:
-            self.df = self.df.withColumn(name, here)
-            return self
         carry = self._carry(
             [F.max_by(payload, F.when(payload.isNotNull(), self._order_struct())).alias("__last")],
             lambda w: [
@@ -233,10 +217,6 @@ class OrderedScan:
 
     def key_totals(self, sums: dict[str, Column]) -> OrderedScan:
         """Add the sum of each expression over all rows of the key."""
-        if not self.bucketed:
-            whole = Window.partitionBy(*self.keys)
-            self.df = self.df.withColumns({n: F.sum(e).over(whole) for n, e in sums.items()})
-            return self
         per_key = self.source.groupBy(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(self.keys)]).agg(
             *[F.sum(e).alias(n) for n, e in sums.items()]
         )

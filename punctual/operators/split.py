@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 42
@@ -84,7 +84,10 @@ def temporal_folds(df: DataFrame, day: str, folds: int) -> list[tuple[DataFrame,
     return pairs
 
 
-SMALL_CAP = 10_000
+def sample_hash(identity: Sequence[str], seed: int = SEED) -> Column:
+    """Sixty bits that depend on the seed and the row's identity only."""
+    parts = [F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint")
 
 
 def sample_cap(df: DataFrame, cap: int, identity: Sequence[str], seed: int = SEED) -> DataFrame:
@@ -93,17 +96,21 @@ def sample_cap(df: DataFrame, cap: int, identity: Sequence[str], seed: int = SEE
     The choice depends on the row identity only.  A cap is a property of this operator; the
     pipelines run on all rows unless one is asked for.
 
-    A large cap first finds, from a histogram of the leading hash bits, how far the wanted
-    rows reach, so that the final top-k sees hardly more than ``cap`` rows in total.
+    A histogram of the leading hash bits (65,536 counts at most) tells the stripe of hashes in
+    which the cap is reached: lower stripes stay whole, and only the rows of that one stripe are
+    ranked.
     """
-    mix = F.xxhash64(F.lit(seed), *[F.col(c) for c in identity])
-    if cap > SMALL_CAP:
-        lead = F.shiftright(mix, 48)
-        sizes = df.groupBy(lead.alias("lead")).agg(F.count(F.lit(1)).alias("n"))  # 65,536 rows at most
-        upto = F.sum("n").over(Window.orderBy("lead"))
-        reach = sizes.select("lead", upto.alias("upto")).where(F.col("upto") >= cap).agg(F.min("lead").alias("lead"))
-        df = df.where(lead <= F.coalesce(reach.scalar(), F.lit(32767)))
-    return df.orderBy(mix, *identity).limit(cap)
+    marked = df.withColumn("__mix", sample_hash(identity, seed)).withColumn("__stripe", F.shiftright("__mix", 44))
+    sizes = marked.groupBy("__stripe").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.orderBy("__stripe"))
+    reach = sizes.select("__stripe", "n", upto.alias("upto")).where(F.col("upto") >= cap)
+    last = reach.agg(F.min(F.struct("__stripe", (F.lit(cap) - F.col("upto") + F.col("n")).alias("room"))).alias("last"))
+    stripe = F.coalesce(last.select("last.__stripe").scalar(), F.lit(1 << 16))
+    whole = marked.where(F.col("__stripe") < stripe)
+    rank = F.row_number().over(Window.orderBy("__mix", *identity))
+    cut = marked.where(F.col("__stripe") == stripe).withColumn("__rank", rank)
+    cut = cut.where(F.col("__rank") <= last.select("last.room").scalar()).drop("__rank")
+    return whole.unionByName(cut).drop("__mix", "__stripe")
 
 
 def stratified_take(
@@ -125,12 +132,12 @@ def balanced_sample(df: DataFrame, label: str, size: int, identity: Sequence[str
     half = size // 2
     positives = sample_cap(df.where(F.col(label) == 1), half, identity, seed)
     negatives = sample_cap(df.where(F.col(label) == 0), size, identity, seed)
-    rank = Window.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in identity]), *identity)
+    rank = Window.orderBy(sample_hash(identity, seed), *identity)
     # at most ``size`` rows on each side, ``size`` is the caller's sample size
     ranked = negatives.withColumn("__rank", F.row_number().over(rank))
     room = F.lit(size) - positives.agg(F.count(F.lit(1)).alias("n")).scalar()
     both = positives.unionByName(ranked.where(F.col("__rank") <= room).drop("__rank"))
-    return both.orderBy(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in identity]), *identity)
+    return both.orderBy(sample_hash(identity, seed + 1), *identity)
 
 
 def sort_by(df: DataFrame, *columns) -> DataFrame:

@@ -15,7 +15,6 @@ from punctual.functions.values import threshold_label, to_number
 from punctual.operators.history import previous_leg, prior_count_in_hour, prior_means
 from punctual.operators.join import asof_join, attach_dimension
 from punctual.operators.project import project_contract, require_weather_coverage
-from punctual.operators.scan import bucket_count
 from punctual.session import staged
 
 TOLERANCE = "3 HOURS"
@@ -116,17 +115,14 @@ def build_modeling_table(
     """Flights with labels, observations and history in the 52-column contract.
 
     ``strict`` matches only observations of the routine report type and keeps flights that
-    have one.  Small inputs give one lazy plan.  Large ones are read by every ordered scan
-    twice, so the prepared flights are written once to the shared folder and scanned there.
+    have one.  Every ordered scan reads the prepared flights twice, so they are written once to
+    the shared folder and scanned there.
     """
-    wanted = bucket_count(flights) if buckets is None else buckets
     if strict:
         weather = weather.where(F.trim("report_type") == STRICT_REPORT_TYPE)
-    prepared = add_labels(prepare_timestamps(flights, mapping))
-    if wanted > 1:
-        prepared = staged(prepared)
-    df = attach_weather(prepared, weather, buckets=wanted)
-    df = operational_features(df, tie_order, reference_compat, buckets=wanted, source=prepared)
+    prepared = staged(add_labels(prepare_timestamps(flights, mapping)))
+    df = attach_weather(prepared, weather, buckets=buckets)
+    df = operational_features(df, tie_order, reference_compat, buckets=buckets, source=prepared)
     if strict:
         df = require_weather_coverage(df)
     return project_contract(df, MODEL_COLUMNS)

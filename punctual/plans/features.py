@@ -16,7 +16,6 @@ from punctual.operators.history import previous_period_features, prior_means
 from punctual.operators.project import (
     coerce_numeric, fallback_columns, keep_top_entities, non_null_features, require_not_null,
 )
-from punctual.operators.scan import bucket_count
 from punctual.operators.split import sample_cap, temporal_split
 from punctual.session import staged
 from punctual.sources.tables import read_table_pruned
@@ -70,7 +69,6 @@ def build_feature_frame(
     frame: DataFrame, tie_order: Sequence[str] = TIE_ORDER, buckets: int | None = None
 ) -> FeatureFrame:
     """Calendar, previous-hour, prior-mean and interaction features."""
-    wanted = bucket_count(frame) if buckets is None else buckets
     df = previous_period_features(
         calendar_features(frame), "sched_dep_utc", "dep_delay_minutes", "dep_delayed_15",
         {"Origin": "origin", "Reporting_Airline": "carrier", "route": "route"}, rolling=("origin", "carrier"),
@@ -78,7 +76,7 @@ def build_feature_frame(
     df = prior_means(
         df, "sched_dep_utc", "dep_delay_minutes",
         {"airport_carrier_avg_dep_delay_prior": ["Origin", "Reporting_Airline"]},
-        [c for c in tie_order if c in df.columns], buckets=wanted, source=frame,
+        [c for c in tie_order if c in df.columns], buckets=buckets, source=frame,
     )
     df = df.withColumn("origin_precip_mm", F.coalesce("origin_precip_mm", F.lit(0.0)))
     df = df.withColumn("precip_peak_interaction", interaction(F.col("origin_precip_mm"), F.col("peak_hour")))

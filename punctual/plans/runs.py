@@ -6,6 +6,7 @@ Each takes paths, writes its tables below an output folder and returns them by n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from punctual.functions.values import slugify
 from punctual.learn import evaluate, importance, models, prep, smote, stats
 from punctual.operators import aggregate, join, project, resolve, split
 from punctual.plans import dataset, features, prompts, quality
-from punctual.session import prepare, staged
+from punctual.session import prepare, remove_staged, staged, staged_so_far
 from punctual.sources import flights as flight_files
 from punctual.sources import stations as station_files
 from punctual.sources import tables, weather
@@ -87,7 +88,21 @@ def build_dataset(
     return {"flights": flights, "weather": reports, "mapping": mapping, "modeling": modeling} | _write(report, out)
 
 
+def _tidy(run):
+    """What a run has staged goes when its tables are written."""
+
+    @wraps(run)
+    def wrapped(spark: SparkSession, *args, **more):
+        mark = staged_so_far()
+        out = run(spark, *args, **more)
+        remove_staged(spark, mark)
+        return out
+
+    return wrapped
+
+
 # --- final models -----------------------------------------------------------------------------
+@_tidy
 def final_models(
     spark: SparkSession,
     dataset_path: str,
@@ -162,6 +177,7 @@ PROFILE_MEANS = {
 }
 
 
+@_tidy
 def supplement(
     spark: SparkSession,
     dataset_path: str,
@@ -216,7 +232,7 @@ def supplement(
 
 # --- row prompts --------------------------------------------------------------------------------
 def row_prompts(
-    spark: SparkSession, dataset_path: str, out: str, top_origins: int = 25, sample: int = 80, few_shot: int = 8
+    spark: SparkSession, dataset_path: str, out: str, top_origins: int = 0, sample: int = 80, few_shot: int = 8
 ) -> DataFrame:
     """Prompts for a balanced sample of the test dates, to be answered by any text model."""
     prepare(spark)

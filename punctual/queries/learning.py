@@ -293,15 +293,26 @@ def prompt_texts(spark, sf_dir):
     return prompts.build_prompts(rows, first[0].unionByName(first[1]), "delayed", ["trip_id"]).select("trip_id", "prompt")
 
 
-@query("balanced_prompt_sample", """
-SELECT 'test' AS role, 80 AS rows, 40 AS positives UNION ALL SELECT 'train', 8, 4""")
+_MIX = "CAST('0x' || substr(md5('{seed}|' || coalesce(CAST({id} AS VARCHAR), '')), 1, 15) AS BIGINT)"
+
+
+@query("balanced_prompt_sample", with_views(TRIPS) + f"""
+, days AS (SELECT trip_date, row_number() OVER (ORDER BY trip_date) - 1 AS position, count(*) OVER () AS n
+           FROM (SELECT DISTINCT trip_date FROM trips WHERE trip_date IS NOT NULL)),
+cut AS (SELECT min(trip_date) AS cut FROM days WHERE position >= greatest(floor(n * 0.8), 1)),
+marked AS (SELECT *, CASE WHEN trip_date < cut THEN 'train' ELSE 'test' END AS role FROM trips, cut WHERE trip_date IS NOT NULL),
+ranked AS (SELECT role, trip_id, delayed, CASE WHEN role = 'train' THEN 8 ELSE 80 END AS size,
+             row_number() OVER (PARTITION BY role, delayed ORDER BY {_MIX.format(seed=42, id="trip_id")}, trip_id) AS place FROM marked),
+positives AS (SELECT * FROM ranked WHERE delayed = 1 AND place <= size // 2),
+found AS (SELECT role, count(*) AS n FROM positives GROUP BY 1)
+SELECT role, trip_id, delayed FROM positives
+UNION ALL SELECT r.role, trip_id, delayed FROM ranked r LEFT JOIN found f ON f.role = r.role
+WHERE delayed = 0 AND place <= size - coalesce(f.n, 0)""")
 def balanced_prompt_sample(spark, sf_dir):
     marked = split.with_split_role(trips(spark, sf_dir), "trip_date")
     train = split.balanced_sample(marked.where("role = 'train'"), "delayed", 8, ["trip_id"])
     test = split.balanced_sample(marked.where("role = 'test'"), "delayed", 80, ["trip_id"])
-    return train.unionByName(test).groupBy("role").agg(
-        F.count(F.lit(1)).cast("int").alias("rows"), F.sum("delayed").cast("int").alias("positives")
-    )
+    return train.unionByName(test).select("role", "trip_id", "delayed")
 
 
 # --- models ------------------------------------------------------------------------------------
@@ -352,10 +363,9 @@ def model_grid(spark, sf_dir):
 
 @query("fold_grid")
 def fold_grid(spark, sf_dir):
-    """Linear and net models on expanding folds."""
+    """All four families on four expanding folds."""
     train, test, _ = model_rows(spark, sf_dir)
-    names = ["logistic_regression_balanced", "mlp_classifier"]
-    return models.run_fold_grid(train.unionByName(test), "trip_date", 2, CATEGORICAL, NUMERIC, "delayed", ["trip_id"], names)
+    return models.run_fold_grid(train.unionByName(test), "trip_date", 4, CATEGORICAL, NUMERIC, "delayed", ["trip_id"])
 
 
 @query("regression_grid")
@@ -394,7 +404,7 @@ def kmeans_profiles(spark, sf_dir):
     return models.project_2d(models.cluster_profiles(profile, names), names)
 
 
-def _embedding_columns(spark, sf_dir, size=16):
+def _embedding_columns(spark, sf_dir, size=64):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(size)]), [f"e{i}" for i in range(size)]
 
@@ -428,4 +438,4 @@ def tree_importance(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     train, test, _ = model_rows(spark, sf_dir)
     fitted = models.fit_classifier("logistic_regression_balanced", train, CATEGORICAL, NUMERIC, "delayed")
-    return importance.permutation_importance(fitted, test, ["trip_id"], sample=None)
+    return importance.permutation_importance(fitted, test, ["trip_id"])

@@ -273,20 +273,20 @@ def feature_type_counts(spark, sf_dir):
     return quality.feature_type_counts(t, ["tail", "origin"], live)
 
 
-@query("sample_cap_rows", "SELECT count(*) AS rows, 0 AS outside FROM (SELECT 1 FROM lineitem LIMIT 20000)")
+@query("sample_cap_rows", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+ORDER BY CAST('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey), 1, 15) AS BIGINT),
+         l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 20000""")
 def sample_cap_rows(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    identity = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    taken = split.sample_cap(li, 20000, identity).select(*identity)
-    outside = taken.join(li, identity, "left_anti").agg(F.count(F.lit(1)).alias("n"))
-    return taken.agg(F.count(F.lit(1)).alias("rows")).withColumn("outside", outside.scalar().cast("int"))
+    identity = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return split.sample_cap(li, 20000, identity).select(*identity)
 
 
 @query("stratified_take", with_views(TRIPS) + """
-SELECT 0 AS label, count(*) AS rows, 0 AS mislabelled FROM (SELECT 1 FROM trips WHERE delayed = 0 LIMIT 40)
-UNION ALL SELECT 1, count(*), 0 FROM (SELECT 1 FROM trips WHERE delayed = 1 LIMIT 25)""")
+, ranked AS (SELECT trip_id, delayed, dep_delay,
+    row_number() OVER (PARTITION BY delayed ORDER BY CAST('0x' || substr(md5('42|' || trip_id), 1, 15) AS BIGINT), trip_id) AS place FROM trips)
+SELECT trip_id, delayed, dep_delay FROM ranked WHERE place <= CASE delayed WHEN 0 THEN 40 ELSE 25 END""")
 def stratified_take(spark, sf_dir):
     t = trips(spark, sf_dir).select("trip_id", "delayed", "dep_delay")
-    taken = split.stratified_take(t, "delayed", {0: 40, 1: 25}, ["trip_id"])
-    wrong = F.count_if((F.coalesce(F.col("dep_delay"), F.lit(0.0)) >= 15) != (F.col("delayed") == 1))
-    return taken.groupBy(F.col("delayed").alias("label")).agg(F.count(F.lit(1)).alias("rows"), wrong.cast("int").alias("mislabelled"))
+    return split.stratified_take(t, "delayed", {0: 40, 1: 25}, ["trip_id"])

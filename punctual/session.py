@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Instants are handled in UTC; adaptive execution re-plans joins and splits skewed ones."""
@@ -19,13 +23,34 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (a local test session) a temporary folder is used.
+    Without that setting a local session gets a temporary folder, removed when it ends; on a
+    cluster, whose machines do not share one, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         root = tempfile.mkdtemp(prefix="punctual-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/punctual/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/punctual/{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession, since: int = 0) -> None:
+    """Remove the folders that ``shared_folder`` has given out, from the number ``since`` on.
+
+    For the end of a run, when no frame that reads them is used any more.
+    """
+    jvm = spark.sparkContext._jvm
+    while len(_made) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def staged_so_far() -> int:
+    return len(_made)
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -20,16 +20,21 @@ _MONTH = r"(\d{4})_(\d{1,2})(?!\d)"
 def expand_archives(spark: SparkSession, pattern: str, target: str) -> DataFrame:
     """Unpack zip archives, one per task, into CSV files below ``target`` (a shared folder).
 
-    Returns one row (archive, member, bytes) per unpacked file.  The member is copied in
-    chunks, so only the compressed archive is held in memory.  An archive must hold
+    Returns one row (archive, member, bytes) per unpacked file; ``member`` is the new file's name,
+    the archive's name before the member's own, so that archives whose members are named alike
+    don't meet.  A target without a scheme is in the session's default file system.  The member
+    is copied in chunks, so only the compressed archive is held in memory.  An archive must hold
     exactly one CSV file.
     """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    target = whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole
     archives = spark.read.format("binaryFile").load(pattern)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        filesystem, base = fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+        filesystem, base = fs.FileSystem.from_uri(target)
         filesystem.create_dir(base, recursive=True)
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
@@ -37,7 +42,8 @@ def expand_archives(spark: SparkSession, pattern: str, target: str) -> DataFrame
                     members = [m for m in archive.namelist() if m.lower().endswith(".csv")]
                     if len(members) != 1:
                         raise ValueError(f"expected one CSV inside {path}, found {members}")
-                    name = members[0].rsplit("/", 1)[-1]
+                    stem = path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".zip")
+                    name = f"{stem}-{members[0].rsplit('/', 1)[-1]}"
                     size = 0
                     with archive.open(members[0]) as source, filesystem.open_output_stream(f"{base}/{name}") as out:
                         while chunk := source.read(1 << 20):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from punctual.operators.project import require_columns
@@ -36,7 +35,7 @@ def write_table(
 
 def write_metrics(df: DataFrame, path: str) -> str:
     """Small metric table as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
@@ -56,13 +55,11 @@ def cached_partition(
     The stored part is unfiltered and ``keep`` applies to the read, so the same part serves
     any filter.
     """
-    try:
-        if overwrite:
-            raise AnalysisException("rebuild wanted")
-        part = spark.read.parquet(path)
-    except AnalysisException:
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    there = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+    if overwrite or not there:
         build().write.mode("overwrite").parquet(path)
-        part = spark.read.parquet(path)
+    part = spark.read.parquet(path)
     return part if keep is None else part.where(keep)
 
 

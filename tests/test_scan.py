@@ -95,10 +95,17 @@ def test_empty_input(spark):
     assert out.count() == 0
 
 
-def test_large_inputs_are_bucketed_by_themselves(frame, monkeypatch):
-    monkeypatch.setattr(scan_module, "is_small", lambda df: False)
-    assert scan_module.bucket_count(frame, target_rows=100) == 9
-    assert scan_module.bucket_count(frame) == 1
+def test_every_input_is_bucketed(spark, tmp_path, monkeypatch):
+    """One key in a tiny file: many rows hide behind few bytes."""
+    path = str(tmp_path / "one")
+    spark.range(200_000).select(F.lit("k").alias("k"), "id").coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    scan = OrderedScan(df, ["k"], ["id"])
+    assert scan.df.select("__bucket").distinct().count() == scan_module.LEAST_BUCKETS
+    monkeypatch.setattr(scan_module, "TARGET_ROWS", 10_000)
+    scan = OrderedScan(df, ["k"], ["id"])
+    assert scan.df.select("__bucket").distinct().count() == 20
+    assert scan.prior_count("n").result().where("n <> id").count() == 0
 
 
 def test_timestamp_and_text_order(spark):

@@ -37,7 +37,7 @@ def test_archives(spark, tmp_path):
             z.writestr("readme.html", "x")
     out = tmp_path / "csv"
     done = flights.expand_archives(spark, str(tmp_path / "*.zip"), str(out)).collect()
-    assert sorted(r["member"] for r in done) == ["on_time_2024_1.csv", "on_time_2024_2.csv"]
+    assert sorted(r["member"] for r in done) == ["a_2024_1-on_time_2024_1.csv", "a_2024_2-on_time_2024_2.csv"]
     df = flights.read_flights(spark, str(out))
     assert {(r["data_month"], str(r["FlightDate"])) for r in df.collect()} == {(1, "2024-01-01"), (2, "2024-02-01")}
 
