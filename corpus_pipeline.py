@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from punctual.llm import decontamination, mixing, overlap, quality, sharding
-from punctual.llm.prune import maybe
+from punctual.llm.prune import marked
 from punctual.llm.queries import SHARDS, SLOTS, held_out, table
 from punctual.session import staged
 
@@ -34,9 +34,9 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     groups = staged(groups.select("doc_id", "component_id").where("doc_id is not null"))
     out = staged(groups.where("doc_id <> component_id").select("doc_id").distinct())
     twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = F.col("doc_id").isNotNull() & maybe([F.col("doc_id").cast("long")], out.union(twice))
-    rest = docs.where(touched).join(out, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return docs.where(~touched).union(rest.select(docs.columns))
+    rows = marked(docs, [F.col("doc_id").cast("long")], out.union(twice))
+    rest = rows.where("__maybe and doc_id is not null").join(out, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return rows.where("not __maybe or doc_id is null").select(docs.columns).union(rest.select(docs.columns))
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

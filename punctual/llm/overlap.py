@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from punctual.llm.arrow import per_row
 from punctual.llm.graph import components
 from punctual.llm.hashing import as_bytes, mix, shingles, word_hashes
-from punctual.llm.prune import maybe
+from punctual.llm.prune import marked
 from punctual.session import staged
 
 #: Trees that each set stands in, groups of a count vector, points of a tree's leaf, and points that
@@ -196,9 +196,9 @@ def _candidates(members: DataFrame, points: DataFrame, threshold: float, forest:
 def _verified(pairs: DataFrame, docs: DataFrame, ngram: int, threshold: float) -> DataFrame:
     """The pairs whose sets link, decided on the sets themselves."""
     pairs = staged(pairs)
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    wanted = staged(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct())
     fields = T.StructType([T.StructField("tokens", T.BinaryType())])
-    texts = docs.where(maybe([F.col("doc_id")], wanted)).join(wanted, F.col("doc_id") == F.col("rid"))
+    texts = marked(docs, [F.col("doc_id")], wanted).where("__maybe").join(wanted, F.col("doc_id") == F.col("rid"))
     sets = per_row(texts, ["text"], fields, lambda t: (shingles(word_hashes(as_bytes(t)), ngram).tobytes(),), ["rid"])
     # repeated rows of a document: one is enough
     sets = sets.withColumn("h", F.xxhash64("tokens")).dropDuplicates(["rid", "h"]).drop("h")

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Size of the filter in bytes; it never grows.
-BUCKETS = 1 << 20
+from punctual.session import staged
+
+#: Bits of the filter: a table of BITS / 64 numbers, which can always be broadcast.
+BITS = 1 << 20
 
 
-def maybe(key: list[Column], ids: DataFrame) -> Column:
-    """True where the key may be among ``ids`` (rows of the same columns), false where it is not.
+def marked(df: DataFrame, key: Sequence[Column], ids: DataFrame, name: str = "__maybe") -> DataFrame:
+    """The rows with one more column: false where the key is not among ``ids``, true where it may be.
 
-    The hashes of the ids mark buckets of a table of fixed size, which travels to the tasks.  With
-    very many ids it is true for most rows; a join has to follow in any case.
+    ``ids`` has the columns of the key.  Their hashes set bits of a table of fixed size.  With very
+    many ids most rows are true; a join has to follow in any case.
     """
-    bucket = F.pmod(F.xxhash64(*ids.columns), F.lit(BUCKETS)).cast("int")
-    words = ids.select(bucket.alias("b")).groupBy(F.floor(F.col("b") / 32).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, b % 32)")).alias("bits")
+    place = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(BITS)).cast("int")
+    words = staged(
+        ids.select(place([F.col(c) for c in ids.columns]).alias("b")).groupBy(F.floor(F.col("b") / 64).cast("int").alias("__word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, b % 64)")).alias("__bits")
+        )
     )
-    marked = np.zeros(BUCKETS, np.uint8)
-    for r in words.collect():  # at most BUCKETS / 32 rows
-        marked[r["word"] * 32 : r["word"] * 32 + 32] = (r["bits"] >> np.arange(32)) & 1
-    place = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int") + 1
-    return F.substring(F.lit(marked.tobytes()), place, F.lit(1)) == F.lit(b"\x01")
+    rows = df.withColumn("__place", place(key)).withColumn("__word", F.floor(F.col("__place") / 64).cast("int"))
+    rows = rows.join(F.broadcast(words), "__word", "left")
+    known = F.coalesce(F.getbit("__bits", F.col("__place") % 64) == 1, F.lit(False))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], known.alias(name))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.llm.arrow import per_row, rows_of
-from punctual.llm.prune import maybe
+from punctual.llm.prune import marked
 from punctual.session import staged
 
 #: Common given and family names, by gender and script.
@@ -320,9 +320,9 @@ def replace(docs: DataFrame, key: bytes, text: str = "text") -> tuple[DataFrame,
         found.join(table, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("table"))
     )
     rows = docs.select(F.struct(*keep).alias("row") if keep else F.lit(None).alias("row"), F.col(text).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    touched = maybe([F.col("k1"), F.col("k2")], tables.select("k1", "k2"))
-    hit = rows.where(touched).join(tables, ["k1", "k2"], "left").select("row", "text", "table")
-    rest = rows.where(~touched).select("row", "text", F.lit(None).cast(tables.schema["table"].dataType).alias("table"))
+    rows = marked(rows, [F.col("k1"), F.col("k2")], tables.select("k1", "k2"))
+    hit = rows.where("__maybe").join(tables, ["k1", "k2"], "left").select("row", "text", "table")
+    rest = rows.where("not __maybe").select("row", "text", F.lit(None).cast(tables.schema["table"].dataType).alias("table"))
     done = per_row(hit.union(rest), ["text", "table"], RESULT, _replace, ["row"])
     shown = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c == text or c in keep]
     return done.select(*shown, "n_replaced", "kinds"), table
