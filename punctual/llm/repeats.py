@@ -29,11 +29,13 @@ from pyspark.sql import types as T
 
 from punctual.llm.arrow import per_row
 from punctual.llm.hashing import PIECE, as_bytes, mix, prefix_hashes, span_hashes
-from punctual.llm.prune import maybe
+from punctual.llm.prune import marked
 from punctual.session import staged
 
 #: Anchors that one task compares window by window; a larger group is divided by a longer digit.
-GROUP = 2048
+#: Windows that it hashes at once.
+GROUP = 65_536
+WINDOWS = 1 << 20
 
 
 def digit_length(window: int) -> int:
@@ -142,14 +144,17 @@ def _sort_windows(window: int):
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         prefix = prefix_hashes(np.concatenate(data))
         offset = np.arange(low, high + 1)
-        start = lead[:, None].astype(np.int64) - offset[None, :]  # within the surroundings
-        fits = (start >= 0) & (start + window <= size[:, None])
-        at = np.where(fits, start, 0) + begin[:, None]
-        hashes = span_hashes(prefix, at.ravel(), np.minimum(at.ravel() + window, len(prefix) - 1)).reshape(at.shape)
-        hashes = mix(hashes ^ mix(offset.astype(np.uint64), 6)[None, :])
-        _, which, count = np.unique(hashes[fits], return_inverse=True, return_counts=True)
-        again = np.zeros(fits.shape, bool)
-        again[fits] = count[which] > 1
+        again = np.zeros((len(x), len(offset)), bool)
+        step = max(1, WINDOWS // len(x))
+        for k in range(0, len(offset), step):
+            start = lead[:, None].astype(np.int64) - offset[None, k : k + step]  # within the surroundings
+            row, col = np.nonzero((start >= 0) & (start + window <= size[:, None]))
+            at = start[row, col] + begin[row]
+            hashes = mix(span_hashes(prefix, at, at + window) ^ mix(col.astype(np.uint64), 6))
+            order = np.argsort(hashes)
+            same = hashes[order[1:]] == hashes[order[:-1]]
+            hit = order[np.append(same, False) | np.append(False, same)]
+            again[row[hit], k + col[hit]] = True
         again &= lone[:, None]
         rows = np.flatnonzero(again.any(axis=1))
         # all windows hold the digit, so those of one anchor cover a single span
@@ -178,20 +183,30 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
     open_ = kinds.join(torn.select("digit"), "digit").select("digit", (F.col("times") == 1).alias("lone"), "first.*")
     wanted = staged(open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("digit", "x", "lead", "trail", "lone")).alias("wanted")))
     keys = wanted.select("k1", "k2")
-    texts = docs.where(maybe([F.col("k1"), F.col("k2")], keys)).dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
+    asked = marked(docs, [F.col("k1"), F.col("k2")], keys).where("__maybe").drop("__maybe")
+    texts = asked.dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"])
     rows = staged(texts.mapInArrow(_surroundings, SURROUNDINGS)).withColumns({"low": F.lit(0), "high": F.lit(window - digit)})
     while True:
         sizes = staged(rows.groupBy("group", "low", "high").agg(F.count("*").alias("size"), F.max("lone").alias("any")).where("size > 1 and any"))
         small = rows.join(sizes.where(F.col("size") <= GROUP).select("group", "low", "high"), ["group", "low", "high"])
         sorted_ = small.groupBy("group", "low", "high").applyInArrow(_sort_windows(window), SPANS)
         large = rows.join(sizes.where(F.col("size") > GROUP).select("group", "low", "high"), ["group", "low", "high"])
-        # a large group of single windows holds nothing but equal strings
-        equal = large.where("low = high and lone").select(
-            "k1", "k2", (F.col("x") - F.col("low")).alias("since"), (F.col("x") - F.col("low") + window).alias("upto")
-        )
-        result = result.union(staged(sorted_.union(equal)))
-        if not sizes.where((F.col("size") > GROUP) & (F.col("low") < F.col("high"))).limit(1).count():
+        result = result.union(staged(sorted_))
+        if not sizes.where(F.col("size") > GROUP).limit(1).count():
             return result
+        # anchors that agree in all windows of these offsets are settled; one of them stays for the others
+        whole = F.substring("data", F.col("lead") - F.col("high") + 1, F.lit(window) + F.col("high") - F.col("low"))
+        full = (F.col("lead") >= F.col("high")) & (F.length("data") - F.col("lead") >= window - F.col("low"))
+        large = staged(large.withColumn("all", F.when(full, F.xxhash64(whole))))
+        keys = ["group", "low", "high", "all"]
+        alike = large.where("all is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "x")).alias("stays")).where("n > 1")
+        settled = large.join(alike.select(*keys, "stays"), keys)
+        result = result.union(staged(settled.where("lone").select(
+            "k1", "k2", (F.col("x") - F.col("high")).alias("since"), (F.col("x") + window - F.col("low")).alias("upto")
+        ).distinct()))
+        stays = settled.where(F.struct("k1", "k2", "x") == F.col("stays")).withColumn("lone", F.lit(False)).select(*large.columns)
+        others = large.join(alike.select(*keys), keys, "left_anti").select(*large.columns)
+        large = others.union(stays).drop("all")
         middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.explode(F.array(F.struct(F.col("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high"))))
         part = large.where("low < high").withColumn("half", halves).drop("low", "high").select("*", "half.low", "half.high").drop("half")
@@ -239,8 +254,8 @@ def removed(docs: DataFrame, window: int = 400, text: str = "text", keep: list[s
         F.collect_list(F.struct("since", "upto")).alias("covered")
     )
     covered = staged(covered)
-    touched = maybe([F.col("k1"), F.col("k2")], covered.select("k1", "k2"))
-    hit = keyed.where(touched).join(covered, ["k1", "k2"], "left")
-    rest = keyed.where(~touched).withColumn("covered", F.lit(None).cast(covered.schema["covered"].dataType))
+    keyed = marked(keyed, [F.col("k1"), F.col("k2")], covered.select("k1", "k2"))
+    hit = keyed.where("__maybe").join(covered, ["k1", "k2"], "left")
+    rest = keyed.where("not __maybe").withColumn("covered", F.lit(None).cast(covered.schema["covered"].dataType))
     order = [*keep, "text", "covered"]
     return per_row(hit.select(*order).union(rest.select(*order)), ["text", "covered"], RESULT, _cut, keep)
