@@ -1,10 +1,10 @@
 """Quality score from compressed sizes under a good and a bad dictionary.
 
-A text is first written as one byte a word: how long the word is, how it is cased, what it ends
-with and whether it repeats the word before.  Pieces of 64 or 32 such bytes are compressed with a
-zstandard dictionary made of good and with one made of bad labelled texts; the difference of the
-two total sizes over the larger one, put through a logistic curve fitted on labelled texts, is the
-score.  So the letters themselves, and with them the language, matter little.
+A text is first written as three bytes a word: how it is cased, whether it repeats the word before
+and what it ends with (so two words in a row are long enough for a match).  Pieces of 32 words are
+compressed with a zstandard dictionary made of good and with one made of bad labelled texts; the
+difference of the two total sizes over the larger one, put through a logistic curve fitted on
+labelled texts, is the score.  So the letters themselves, and with them the language, matter little.
 """
 
 from __future__ import annotations
@@ -23,16 +23,14 @@ from punctual.llm.hashing import as_bytes, edges, word_hashes
 from punctual.session import staged
 
 #: Bounds of the sample a model is fitted on: labelled texts of each class, bytes of a dictionary,
-#: and words of one text in a dictionary (at most; and at least, if there are many texts).
+#: and bytes of one text in a dictionary (at most; and at least, if there are many texts).
 SAMPLE_ROWS = 4000
 DICTIONARY_BYTES = 120_000
-SLICE = 2048
-SHORT_SLICE = 128
+SLICE = 6144
+SHORT_SLICE = 384
 LEVEL = 12
-#: Views of a shape: which bits of a word's byte count, and words compressed at once.  Few labels
-#: only carry the view without word lengths; the fit takes the view that does better on texts
-#: kept aside.
-VIEWS = ((0xFF, 64), (0xCF, 32))
+WORD_BYTES = 3
+PIECE_BYTES = 32 * WORD_BYTES
 
 _KIND = np.zeros(256, np.uint8)  # 0 letters and digits, 1 sentence marks, 2 other signs
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
@@ -42,31 +40,28 @@ _UPPER[65:91] = 1
 
 
 def shape(text: str | None) -> bytes:
-    """One byte for each word of the whole text; empty for null or a text without words."""
+    """Three bytes for each word of the whole text; empty for null or a text without words."""
     data = as_bytes(text)
     words = word_hashes(data)
     if not len(words):
         return b""
     start, end = edges(data)
-    length = end - start
     repeats = np.zeros(len(words), np.int64)
     repeats[1:] = words[1:] == words[:-1]
     capitals = np.concatenate(([0], np.cumsum(_UPPER[data])))
     cased = np.minimum(capitals[end] - capitals[start], 2)
     last, before = _KIND[data[end - 1]], _KIND[data[np.maximum(end - 2, start)]]
-    ending = np.where(last == 0, 0, np.where(length == 1, 3, np.where((before > 0) | (last == 2), 2, 1)))
-    return (repeats * 64 + np.digitize(length, [4, 7, 11]) * 16 + cased * 4 + ending).astype(np.uint8).tobytes()
+    ending = np.where(last == 0, 0, np.where(end - start == 1, 3, np.where((before > 0) | (last == 2), 2, 1)))
+    return np.stack([0x40 + cased, 0x80 + repeats, 0xA0 + ending], axis=1).astype(np.uint8).tobytes()
 
 
 class Sizes:
     """Compressed-size difference under two dictionaries, from -1 (like good text) to 1."""
 
-    def __init__(self, good: bytes, bad: bytes, view: tuple[int, int]):
-        mask, self.piece = view
-        self.seen = bytes(i & mask for i in range(256))
+    def __init__(self, good: bytes, bad: bytes):
         self.of = []
         for content in (good, bad):
-            d = zstandard.ZstdCompressionDict(content.translate(self.seen), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.of.append((c, len(c.compress(b""))))
@@ -74,8 +69,7 @@ class Sizes:
     def difference(self, shaped: bytes) -> float:
         if not shaped:
             return 0.0
-        shaped = shaped.translate(self.seen)
-        pieces = [shaped[i : i + self.piece] for i in range(0, len(shaped), self.piece)]
+        pieces = [shaped[i : i + PIECE_BYTES] for i in range(0, len(shaped), PIECE_BYTES)]
         good, bad = (sum(len(c.compress(p)) - empty for p in pieces) for c, empty in self.of)
         return (good - bad) / max(good, bad, 1)
 
@@ -86,7 +80,6 @@ class Model:
 
     good: bytes = b""
     bad: bytes = b""
-    view: tuple[int, int] = VIEWS[0]
     slope: float = 0.0
     offset: float = 0.0
     constant: float | None = None
@@ -94,7 +87,7 @@ class Model:
     def scorer(self):
         if self.constant is not None:
             return lambda text: (0.0, self.constant)
-        sizes, slope, offset = Sizes(self.good, self.bad, self.view), self.slope, self.offset
+        sizes, slope, offset = Sizes(self.good, self.bad), self.slope, self.offset
 
         def score(text):
             d = sizes.difference(shape(text))
@@ -124,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
     At most SAMPLE_ROWS documents of each class, those with the smallest hash of their id, are
     read; class sizes of all labels weigh the curve.  Only their ids (broadcast, bounded), slices
-    of at most SLICE words and size differences leave the executors.
+    of at most SLICE bytes and size differences leave the executors.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")
@@ -144,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         )
     )
     length = F.least(F.length("shape"), F.lit(SLICE))
-    at = F.pmod(F.xxhash64("id"), F.length("shape") - length + 1).cast("int")
+    words = F.floor((F.length("shape") - length) / WORD_BYTES) + 1
+    at = (F.pmod(F.xxhash64("id"), words) * WORD_BYTES).cast("int")
     slices = sample.select("y", _fold().alias("fold"), F.substring("shape", at + 1, length).alias("part")).orderBy(
         F.xxhash64("id", F.lit("slice")), "id", "part"
     ).collect()
@@ -164,27 +158,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
         return Model(constant=(counts[1] + 1) / (counts[0] + counts[1] + 2))
     made = {}
 
-    def differences(shaped, fold):
+    def difference(shaped, fold):
         if fold not in made:
-            made[fold] = [Sizes(*parts[fold], view) for view in VIEWS]
-        return tuple(sizes.difference(bytes(shaped)) for sizes in made[fold])
+            made[fold] = Sizes(*parts[fold])
+        return (made[fold].difference(bytes(shaped)),)
 
     # the curve is fitted on texts that the dictionaries used for them don't hold:
-    # two numbers for each sampled text, at most 2 * SAMPLE_ROWS texts
-    fields = T.StructType([T.StructField(f"d{i}", T.DoubleType()) for i in range(len(VIEWS))])
-    got = per_row(sample.withColumn("fold", _fold()), ["shape", "fold"], fields, differences, ["y"]).toPandas()
+    # one number for each sampled text, at most 2 * SAMPLE_ROWS
+    fields = T.StructType([T.StructField("d", T.DoubleType())])
+    got = per_row(sample.withColumn("fold", _fold()), ["shape", "fold"], fields, difference, ["y"]).toPandas()
     y = got["y"].to_numpy(float)
     share = {v: counts[v] / max(1, int((y == v).sum())) for v in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    weight *= len(y) / weight.sum()
-    best = None
-    for i, view in enumerate(VIEWS):
-        x = got[f"d{i}"].to_numpy(float)
-        slope, offset = _logistic(x, y, weight)
-        loss = (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (slope * x + offset))).sum()
-        if best is None or loss < best[0]:
-            best = loss, Model(*parts[None], view, slope, offset)
-    return best[1]
+    slope, offset = _logistic(got["d"].to_numpy(float), y, weight * len(y) / weight.sum())
+    return Model(*parts[None], slope, offset)
 
 
 def _fold():

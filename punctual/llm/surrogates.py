@@ -68,7 +68,7 @@ _SECRET = re.compile(
     r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)(?P<sep>\"?\s*[=:]\s*)(?P<quote>[\"']?)(?P<value>[^\s\"',;]{6,})"
 )
 _TITLED = re.compile(
-    r"(?<!\w)(?P<title>Mr|Mrs|Ms|Miss|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Srta|Sr|Signora|Signor|г-н|г-жа)"
+    r"(?<!\w)(?P<title>Mr|Mrs|Ms|Miss|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Srta|Sr|Signora|Signor|[Гг]-н|[Гг]-жа)"
     r"\.?[ \t]+(?P<names>[^\W\d_a-zа-я][^\W\d_]+(?:[ \t]+[^\W\d_a-zа-я][^\W\d_]+){0,2})"
 )
 _CAPITALS = re.compile(r"(?<!\w)(?P<given>[^\W\d_a-zа-яα-ω][^\W\d_]+)[ \t]+(?P<family>[^\W\d_a-zа-яα-ω][^\W\d_]+)(?!\w)")

@@ -59,9 +59,10 @@ def test_quality_without_labels_of_both_classes(labelled, spark):
 
 
 def test_shape_tells_words_apart():
-    assert len(quality.shape("one two\tthree")) == 3 and quality.shape(None) == b""
-    a, b, c = quality.shape("word word WORD!!")
-    assert b - a == 64 and c != b
+    assert len(quality.shape("one two\tthree")) == 9 and quality.shape(None) == b""
+    words = quality.shape("word word WORD!!")
+    a, b, c = words[:3], words[3:6], words[6:]
+    assert a[1] != b[1] and a[0] == b[0] != c[0] and b[2] != c[2]
 
 
 TONGUES = {"aa": "th er on an re he in", "bb": "sch ung ein er ich", "cc": "eau ou é ai qu ez", "dd": "ción os la el ñ ar", "ee": "ing ly wh sh oo",
