@@ -118,18 +118,26 @@ def name_match(entities: DataFrame, stations: DataFrame, entity: str = "airport"
 
     A code is a run of letters set off by non-letters; splitting the name at non-letters turns
     the pattern match into an equality join.  Codes that hold other characters are matched
-    piecewise: their longest letter run finds the candidates, the pattern confirms them.  A code
-    has at least one letter.
+    piecewise: their longest letter run finds the candidates, the pattern confirms them.  Codes
+    without a letter are looked for in the pieces between letters, cut to the lengths that such
+    codes have.
     """
     run = F.expr(
         f"element_at(array_sort(split({entity}, '[^A-Z]+'), "
         "(a, b) -> case when length(a) <> length(b) then length(b) - length(a) "
         "when a < b then -1 when a > b then 1 else 0 end), 1)"
     )
-    probes = entities.withColumn("__probe", run)
-    words = stations.withColumn(
-        "__word", F.explode(F.array_distinct(F.split(F.upper(F.coalesce(F.col(name), F.lit(""))), "[^A-Z]+")))
+    probes = entities.withColumn("__probe", F.when(run == "", F.col(entity)).otherwise(run)).where(F.col("__probe") != "")
+    upper = F.upper(F.coalesce(F.col(name), F.lit("")))
+    letters = F.split(upper, "[^A-Z]+")
+    # the few lengths of codes without a letter: one small array for the whole plan
+    lengths = probes.where(~F.col("__probe").rlike("[A-Z]")).agg(F.collect_set(F.length("__probe")).alias("n")).scalar()
+    cut = lambda piece, n: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(piece) - n + 1, F.lit(1))), lambda i: F.substring(piece, i, n)
     )
+    others = F.flatten(F.transform(F.split(upper, "[A-Z]+"), lambda piece: F.flatten(F.transform(F.col("__lengths"), lambda n: cut(piece, n)))))
+    words = stations.withColumn("__lengths", lengths).withColumn("__word", F.explode(F.array_distinct(F.concat(letters, others))))
+    words = words.where(F.col("__word") != "").drop("__lengths")
     quoted = F.regexp_replace(F.col(entity), r"([\\\[\](){}.*+?^$|])", r"\\$1")
     pattern = F.concat(F.lit("(?:^|[^A-Z])"), quoted, F.lit("(?:[^A-Z]|$)"))
     pairs = probes.join(words, F.col("__probe") == F.col("__word")).where(

@@ -95,10 +95,11 @@ def resolve_entities(
         "station_id", "station_name", "icao", "call", "country", "begin_date", "end_date", "latitude", "longitude",
         F.col("state").alias("station_state"),
     )
-    by_code = match_candidates(entities, records)
-    unmatched = entities.join(by_code.select(*key).distinct(), key, "left_anti")
-    by_name = name_match(unmatched, records)
-    candidates = by_code.unionByName(by_name)
+    # matched by ids alone; what the score needs of a station joins the pairs that were found
+    by_code = match_candidates(entities.select(*key), records.select("station_id", "icao", "call")).select(*key, "station_id").distinct()
+    unmatched = entities.select(*key).join(by_code, key, "left_anti")
+    by_name = name_match(unmatched, records.select("station_id", "station_name")).select(*key, "station_id").distinct()
+    candidates = by_code.unionByName(by_name).join(records, "station_id")
     if year_hits is None:
         candidates = candidates.withColumn("year_hits", F.lit(0).cast("bigint"))
     else:

@@ -18,7 +18,8 @@ entities AS (
     UNION ALL
     SELECT CASE WHEN p_partkey % 9 <> 0 THEN 'q' || chr(CAST(97 + p_partkey % 26 AS INTEGER)) || chr(CAST(97 + p_size % 26 AS INTEGER)) END, 'S' || CAST(p_size % 7 AS VARCHAR) FROM part
     UNION ALL
-    SELECT CASE n_nationkey % 3 WHEN 0 THEN 'INTL' WHEN 1 THEN 'MUNI' ELSE 'ZZ' || CAST(n_nationkey AS VARCHAR) END, 'S1' FROM nation
+    SELECT CASE n_nationkey % 3 WHEN 0 THEN 'INTL' WHEN 1 THEN 'MUNI'
+      ELSE CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE 'ZZ' END || CAST(n_nationkey AS VARCHAR) END, 'S1' FROM nation
   ) WHERE airport IS NOT NULL AND state IS NOT NULL
 )"""
 
@@ -36,7 +37,9 @@ def entity_list(spark, sf_dir):
     )
     k = F.col("n_nationkey") % 3
     c = nation.select(
-        F.when(k == 0, "INTL").when(k == 1, "MUNI").otherwise(F.concat(F.lit("ZZ"), F.col("n_nationkey").cast("string"))).alias("Origin"),
+        F.when(k == 0, "INTL").when(k == 1, "MUNI").otherwise(
+            F.concat(F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("ZZ"), F.col("n_nationkey").cast("string"))
+        ).alias("Origin"),
         F.lit("S1").alias("OriginState"),
     )
     both = join.union_all([a, b, c])
@@ -100,7 +103,7 @@ target AS (SELECT DISTINCT year(o_orderdate) AS year FROM orders),
 span AS (SELECT min(year) AS lo, max(year) AS hi FROM target),
 hits AS (
   SELECT st.station_id, count(DISTINCT year(l_shipdate)) AS year_hits
-  FROM lineitem JOIN stations st ON l_partkey = st.k WHERE year(l_shipdate) IN (SELECT year FROM target) AND l_returnflag <> 'N' GROUP BY 1
+  FROM lineitem JOIN stations st ON l_partkey = st.k WHERE year(l_shipdate) IN (SELECT year FROM target) GROUP BY 1
 )"""
 
 
@@ -111,7 +114,7 @@ def _years(spark, sf_dir):
 def _hits(spark, sf_dir):
     """Years with data per station: lines stand for observations, their part for the station."""
     keyed = clean_stations(station_list(spark, sf_dir)).select(F.col("usaf"), "station_id")
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(
+    lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").cast("string").alias("usaf"), "l_shipdate"
     )
     rows = lines.join(keyed, "usaf")

@@ -117,7 +117,8 @@ def station_list(spark, sf_dir):
     return c.select(
         F.when(key % 97 == 0, F.lit("7654321")).otherwise(key.cast("string")).alias("USAF"),
         F.when(key % 5 != 0, (key % 100000).cast("string")).alias("WBAN"),
-        F.concat(F.lit(" "), letters, F.when(key % 3 == 0, " INTL AIRPORT").otherwise(" MUNI"), F.lit(" ")).alias("STATION NAME"),
+        F.concat(F.lit(" "), letters, F.when(key % 3 == 0, " INTL AIRPORT").otherwise(" MUNI"),
+                 F.when(key % 17 == 0, F.concat(F.lit(" #"), (key % 50).cast("string"))).otherwise(""), F.lit(" ")).alias("STATION NAME"),
         F.when(key % 7 == 0, "CA").otherwise("us ").alias("CTRY"),
         F.concat(F.lit("S"), (F.col("c_nationkey") % 5).cast("string")).alias("STATE"),
         F.when(key % 2 == 0, F.concat(F.lit("K"), F.lit("Q"), F.lower(letters))).alias("ICAO"),
@@ -136,7 +137,7 @@ letters AS (
 ), station_rows AS (
   SELECT k, (CASE WHEN k % 97 = 0 THEN '7654321' WHEN length(CAST(k AS VARCHAR)) < 6 THEN lpad(CAST(k AS VARCHAR), 6, '0') ELSE CAST(k AS VARCHAR) END)
            || (CASE WHEN k % 5 <> 0 THEN lpad(CAST(k % 100000 AS VARCHAR), 5, '0') ELSE '00000' END) AS station_id,
-         l || CASE WHEN k % 3 = 0 THEN ' INTL AIRPORT' ELSE ' MUNI' END AS station_name,
+         l || CASE WHEN k % 3 = 0 THEN ' INTL AIRPORT' ELSE ' MUNI' END || CASE WHEN k % 17 = 0 THEN ' #' || CAST(k % 50 AS VARCHAR) ELSE '' END AS station_name,
          CASE WHEN k % 7 = 0 THEN 'CA' ELSE 'US' END AS country, 'S' || CAST(c_nationkey % 5 AS VARCHAR) AS state,
          CASE WHEN k % 2 = 0 THEN 'KQ' || l END AS icao, CASE WHEN k % 11 = 0 THEN 'Q' || l END AS call,
          c_acctbal AS latitude, CASE WHEN k % 13 <> 0 THEN -70.5 END AS longitude,
