@@ -61,8 +61,8 @@ def prev_period_features(spark, sf_dir):
   FROM (SELECT route, h, CAST(sum(CAST(dep_delay AS DECIMAL(18,2))) AS DOUBLE) / count(dep_delay) AS d
         FROM h GROUP BY 1, 2) WINDOW w AS (PARTITION BY route ORDER BY h)
 )
-SELECT h.trip_id, round(o.pd, 6) AS origin_prev, round(o.pr, 6) AS origin_rate, round(c.pd, 6) AS carrier_prev,
-       round(c.pr, 6) AS carrier_rate, round(r.pd, 6) AS route_prev
+SELECT h.trip_id, round(o.pd, 12) AS origin_prev, round(o.pr, 6) AS origin_rate, round(c.pd, 12) AS carrier_prev,
+       round(c.pr, 6) AS carrier_rate, round(r.pd, 12) AS route_prev
 FROM h LEFT JOIN o USING (origin, h) LEFT JOIN c ON c.carrier = h.carrier AND c.h = h.h
 LEFT JOIN r ON r.route = h.route AND r.h = h.h""")
 def prev_period_rows(spark, sf_dir):
@@ -72,11 +72,11 @@ def prev_period_rows(spark, sf_dir):
     )
     return t.select(
         "trip_id",
-        F.round("origin_avg_dep_delay_prev_hour", 6).alias("origin_prev"),
+        F.round("origin_avg_dep_delay_prev_hour", 12).alias("origin_prev"),
         F.round("origin_delay_rate_prev_3h", 6).alias("origin_rate"),
-        F.round("carrier_avg_dep_delay_prev_hour", 6).alias("carrier_prev"),
+        F.round("carrier_avg_dep_delay_prev_hour", 12).alias("carrier_prev"),
         F.round("carrier_delay_rate_prev_3h", 6).alias("carrier_rate"),
-        F.round("route_avg_dep_delay_prev_hour", 6).alias("route_prev"),
+        F.round("route_avg_dep_delay_prev_hour", 12).alias("route_prev"),
     )
 
 
@@ -158,7 +158,7 @@ def _prior_sql(keys: str) -> str:
     return f"""round(CAST(sum(coalesce(CAST(dep_delay AS DECIMAL(18,2)), 0)) OVER
         (PARTITION BY {keys} ORDER BY dep_ts, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE)
       / nullif(count(*) OVER (PARTITION BY {keys} ORDER BY dep_ts, trip_id
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6)"""
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 12)"""
 
 
 _PRIOR_SQL = with_views(TRIPS) + f"""
@@ -175,7 +175,7 @@ def _prior(spark, sf_dir, buckets=None):
         "by_origin_carrier": ["origin", "carrier"],
     }
     out = history.prior_means(t, "dep_ts", "dep_delay", features, ["trip_id"], buckets=buckets)
-    return out.select("trip_id", *[F.round(n, 6).alias(n) for n in features])
+    return out.select("trip_id", *[F.round(n, 12).alias(n) for n in features])
 
 
 @query("prior_mean_features", _PRIOR_SQL)

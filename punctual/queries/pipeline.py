@@ -88,7 +88,7 @@ f4 AS (
 
 def _mean_sql(keys: str) -> str:
     w = f"(PARTITION BY {keys} ORDER BY dep_utc NULLS LAST, carrier, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f"round(CAST(sum(coalesce(CAST(dep_delay AS DECIMAL(18,2)), 0)) OVER {w} AS DOUBLE) / nullif(count(*) OVER {w}, 0), 6)"
+    return f"round(CAST(sum(coalesce(CAST(dep_delay AS DECIMAL(18,2)), 0)) OVER {w} AS DOUBLE) / nullif(count(*) OVER {w}, 0), 12)"
 
 
 _TABLE_SQL = f"""
@@ -113,8 +113,8 @@ def _table_view(m):
         F.col("origin_station_id").alias("origin_station"), F.col("dest_station_id").alias("dest_station"),
         F.col("origin_temp_c").alias("origin_temp"), F.col("origin_precip_mm").alias("origin_precip"),
         seconds("origin_weather_timestamp_utc")("origin_obs_s"), F.round("dest_humidity_pct", 6).alias("dest_humidity"),
-        seconds("dest_weather_timestamp_utc")("dest_obs_s"), F.round("origin_hourly_avg_dep_delay_prior", 6).alias("origin_prior"),
-        F.round("carrier_route_avg_dep_delay_prior", 6).alias("route_prior"),
+        seconds("dest_weather_timestamp_utc")("dest_obs_s"), F.round("origin_hourly_avg_dep_delay_prior", 12).alias("origin_prior"),
+        F.round("carrier_route_avg_dep_delay_prior", 12).alias("route_prior"),
         F.col("origin_hourly_congestion_proxy_prior").alias("congestion"), F.col("previous_leg_arr_delay_minutes").alias("leg"),
     )
 
@@ -201,9 +201,9 @@ a AS (SELECT *, date_trunc('hour', dep_ts) AS h, CASE WHEN distance < 12 THEN CA
              CASE WHEN hour(dep_ts) BETWEEN 6 AND 9 THEN 1 ELSE 0 END AS peak FROM trips WHERE dep_delay IS NOT NULL),
 ho AS ({_hourly("origin")}), hc AS ({_hourly("carrier")}), hr AS ({_hourly("route")}),
 feature_rows AS (
-  SELECT a.*, round(ho.pd, 6) AS origin_prev, round(ho.pr, 6) AS origin_rate, round(hc.pd, 6) AS carrier_prev, round(hc.pr, 6) AS carrier_rate,
-         round(hr.pd, 6) AS route_prev, precip * peak AS wet_peak,
-         round(CAST(sum(CAST(dep_delay AS DECIMAL(18,2))) OVER pw AS DOUBLE) / nullif(count(*) OVER pw, 0), 6) AS pair_prior
+  SELECT a.*, round(ho.pd, 12) AS origin_prev, round(ho.pr, 6) AS origin_rate, round(hc.pd, 12) AS carrier_prev, round(hc.pr, 6) AS carrier_rate,
+         round(hr.pd, 12) AS route_prev, precip * peak AS wet_peak,
+         round(CAST(sum(CAST(dep_delay AS DECIMAL(18,2))) OVER pw AS DOUBLE) / nullif(count(*) OVER pw, 0), 12) AS pair_prior
   FROM a LEFT JOIN ho ON ho.origin = a.origin AND ho.h = a.h LEFT JOIN hc ON hc.carrier = a.carrier AND hc.h = a.h
   LEFT JOIN hr ON hr.route = a.route AND hr.h = a.h
   WINDOW pw AS (PARTITION BY a.origin, a.carrier ORDER BY dep_ts, trip_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
@@ -217,12 +217,12 @@ SELECT trip_id, CAST(isodow(trip_date) AS DOUBLE) AS weekday, CASE WHEN isodow(t
        CASE WHEN dep_delay < 0 THEN 0.0 ELSE dep_delay END AS late_minutes FROM feature_rows""")
 def feature_frame(spark, sf_dir):
     built = features.build_feature_frame(features.analysis_frame(analysis_table(spark, sf_dir)))
-    r = lambda c, n: F.round(c, 6).alias(n)
+    r = lambda c, n, digits=12: F.round(c, digits).alias(n)
     return built.frame.select(
         "trip_id", F.col("day_of_week").alias("weekday"), F.col("is_weekend").alias("weekend"), F.col("peak_hour").alias("peak"),
         F.col("is_holiday").alias("holiday"), "season", r("origin_avg_dep_delay_prev_hour", "origin_prev"),
-        r("origin_delay_rate_prev_3h", "origin_rate"), r("carrier_avg_dep_delay_prev_hour", "carrier_prev"),
-        r("carrier_delay_rate_prev_3h", "carrier_rate"), r("route_avg_dep_delay_prev_hour", "route_prev"),
+        r("origin_delay_rate_prev_3h", "origin_rate", 6), r("carrier_avg_dep_delay_prev_hour", "carrier_prev"),
+        r("carrier_delay_rate_prev_3h", "carrier_rate", 6), r("route_avg_dep_delay_prev_hour", "route_prev"),
         r("airport_carrier_avg_dep_delay_prior", "pair_prior"), F.col("origin_precip_mm").alias("precip"),
         F.col("precip_peak_interaction").cast("double").alias("wet_peak"), F.col("dep_delay_minutes_late_only").alias("late_minutes"),
     )

@@ -63,10 +63,10 @@ def precip_buckets(spark, sf_dir):
 
 
 @query("count_mean_median", with_views(TRIPS) + """
-SELECT tail, count(dep_delay) AS count, round(CAST(sum(CAST(dep_delay AS DECIMAL(18,2))) AS DOUBLE) / count(dep_delay), 6) AS mean,
-       round(median(dep_delay), 6) AS median FROM trips GROUP BY 1""")
+SELECT tail, count(dep_delay) AS count, round(CAST(sum(CAST(dep_delay AS DECIMAL(18,2))) AS DOUBLE) / count(dep_delay), 12) AS mean,
+       round(median(dep_delay), 12) AS median FROM trips GROUP BY 1""")
 def count_mean_median(spark, sf_dir):
-    return aggregate.count_mean_median(trips(spark, sf_dir), "tail", "dep_delay", digits=6)
+    return aggregate.count_mean_median(trips(spark, sf_dir), "tail", "dep_delay", digits=12)
 
 
 @query("group_mean_flags", with_views(TRIPS) + """
