@@ -33,9 +33,10 @@ from punctual.llm.prune import marked
 from punctual.session import staged
 
 #: Anchors that one task compares window by window; a larger group is divided by a longer digit.
-#: Windows that it hashes at once.
+#: Windows that it sorts at once, and anchors whose bytes it hashes at once.
 GROUP = 65_536
-WINDOWS = 1 << 20
+WINDOWS = 1 << 21
+ROWS = 2048
 
 
 def digit_length(window: int) -> int:
@@ -133,6 +134,17 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 SPANS = T.StructType([T.StructField(n, T.LongType()) for n in ("k1", "k2", "since", "upto")])
 
 
+def _window_hashes(data: list[np.ndarray], lead: np.ndarray, offset: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Row, column and hash of the windows that start ``offset`` bytes before the anchors."""
+    size = np.array([len(d) for d in data])
+    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+    prefix = prefix_hashes(np.concatenate(data))
+    start = lead[:, None].astype(np.int64) - offset[None, :]  # within the surroundings
+    row, col = np.nonzero((start >= 0) & (start + window <= size[:, None]))
+    at = start[row, col] + begin[row]
+    return row, col, mix(span_hashes(prefix, at, at + window) ^ mix(offset[col].astype(np.uint64), 6))
+
+
 def _sort_windows(window: int):
     """Task over one group: which windows of the lone anchors occur again at the same offset."""
 
@@ -140,17 +152,16 @@ def _sort_windows(window: int):
         low, high = key[1].as_py(), key[2].as_py()
         lead, lone, x, k1, k2 = (table.column(c).to_numpy() for c in ("lead", "lone", "x", "k1", "k2"))
         data = [np.frombuffer(d.as_py(), np.uint8) for d in table.column("data")]
-        size = np.array([len(d) for d in data])
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        prefix = prefix_hashes(np.concatenate(data))
-        offset = np.arange(low, high + 1)
-        again = np.zeros((len(x), len(offset)), bool)
+        again = np.zeros((len(x), high - low + 1), bool)
         step = max(1, WINDOWS // len(x))
-        for k in range(0, len(offset), step):
-            start = lead[:, None].astype(np.int64) - offset[None, k : k + step]  # within the surroundings
-            row, col = np.nonzero((start >= 0) & (start + window <= size[:, None]))
-            at = start[row, col] + begin[row]
-            hashes = mix(span_hashes(prefix, at, at + window) ^ mix(col.astype(np.uint64), 6))
+        for k in range(0, again.shape[1], step):
+            offset = np.arange(low, high + 1)[k : k + step]
+            parts = [_window_hashes(data[r : r + ROWS], lead[r : r + ROWS], offset, window) for r in range(0, len(x), ROWS)]
+            row = np.concatenate([r * ROWS + part[0] for r, part in enumerate(parts)])
+            col = np.concatenate([part[1] for part in parts])
+            hashes = np.concatenate([part[2] for part in parts])
+            if len(hashes) < 2:
+                continue
             order = np.argsort(hashes)
             same = hashes[order[1:]] == hashes[order[:-1]]
             hit = order[np.append(same, False) | np.append(False, same)]
@@ -158,8 +169,8 @@ def _sort_windows(window: int):
         again &= lone[:, None]
         rows = np.flatnonzero(again.any(axis=1))
         # all windows hold the digit, so those of one anchor cover a single span
-        near = offset[again[rows].argmax(axis=1)]
-        far = offset[again.shape[1] - 1 - again[rows][:, ::-1].argmax(axis=1)]
+        near = low + again[rows].argmax(axis=1)
+        far = high - again[rows][:, ::-1].argmax(axis=1)
         return pa.table({"k1": k1[rows], "k2": k2[rows], "since": x[rows] - far, "upto": x[rows] - near + window},
                         schema=pa.schema([(n, pa.int64()) for n in ("k1", "k2", "since", "upto")]))
 
@@ -171,16 +182,19 @@ def spans(docs: DataFrame, window: int) -> DataFrame:
     key (k1, k2), from rows (k1, k2, text)."""
     digit = digit_length(window)
     found = staged(docs.mapInArrow(_anchor_rows(window), ANCHORS))
-    again = found.groupBy("digit").agg(F.count("*").alias("times")).where("times > 1").select("digit")
-    shared = staged(found.join(again, "digit"))
-    kinds = staged(shared.groupBy("digit", "around").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "x", "lead", "trail")).alias("first")))
-    settled = shared.join(kinds.where("times > 1").select("digit", "around"), ["digit", "around"]).select(
-        "k1", "k2", (F.col("x") - F.col("lead")).alias("since"), (F.col("x") + F.col("trail")).alias("upto")
-    )
+    # counted by digit and surroundings first: a digit of a very long run of repeats has few of those
+    kinds = staged(found.groupBy("digit", "around").agg(F.count("*").alias("times")))
+    digits = kinds.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest"))
+    # groups with anchors that stand alone so far
+    torn = digits.where("kinds > 1 and fewest = 1").select("digit", F.lit(True).alias("torn"))
+    kinds = kinds.join(torn, "digit", "left").where("times > 1 or torn")
+    shared = staged(found.join(kinds, ["digit", "around"]))
+    settled = shared.where("times > 1").select("k1", "k2", (F.col("x") - F.col("lead")).alias("since"), (F.col("x") + F.col("trail")).alias("upto"))
     result = staged(settled.distinct())
-    # groups with anchors that stand alone so far, and one of each kind to compare them with
-    torn = kinds.groupBy("digit").agg(F.count("*").alias("kinds"), F.min("times").alias("fewest")).where("kinds > 1 and fewest = 1")
-    open_ = kinds.join(torn.select("digit"), "digit").select("digit", (F.col("times") == 1).alias("lone"), "first.*")
+    # in those, one anchor of each kind to compare
+    open_ = shared.where("torn").groupBy("digit", "around").agg(
+        F.min(F.struct("k1", "k2", "x", "lead", "trail")).alias("first"), F.first("times").alias("times")
+    ).select("digit", (F.col("times") == 1).alias("lone"), "first.*")
     wanted = staged(open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("digit", "x", "lead", "trail", "lone")).alias("wanted")))
     keys = wanted.select("k1", "k2")
     asked = marked(docs, [F.col("k1"), F.col("k2")], keys).where("__maybe").drop("__maybe")
