@@ -28,6 +28,9 @@ from punctual.llm.arrow import per_row, rows_of
 from punctual.llm.prune import marked
 from punctual.session import staged
 
+#: Rounds of drawing; only a kind whose numbers are nearly all in use needs more.
+MAX_ROUNDS = 100
+
 #: Common given and family names, by gender and script.
 GIVEN = {
     ("latin", "f"): """Alice Amelia Anna Barbara Carla Caroline Chloe Clara Diana Elena Emily Emma Eva Fiona Grace Hannah Helen
@@ -279,6 +282,8 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
         attempt += 1
         if not left.limit(1).count():
             return settled.select("kind", "value", "surrogate")
+        if attempt == MAX_ROUNDS:
+            raise ValueError("a kind of entity has more values than surrogates: its numbers are too short")
 
 
 RESULT = T.StructType([
