@@ -105,6 +105,11 @@ class Prep:
     stages: list[Transformer] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
     components: int | None = None
+    variance: float | None = None  # share of the numbers' variance that the components keep
+
+    @property
+    def most_categories(self) -> int:
+        return max([0, *map(len, self.book.indexer.labelsArray)]) if self.categorical else 0
 
     @property
     def categorical(self) -> list[str]:
@@ -203,10 +208,10 @@ class PrepBook:
             if kind == "pca":
                 packed = VectorAssembler(inputCols=number_columns, outputCol="__numbers")
                 ready = packed.transform(prep.numbers(self.train).select(*number_columns))
-                model, keep, _ = fit_pca(ready, "__numbers", "__all_components", len(self.numeric))
+                model, keep, kept = fit_pca(ready, "__numbers", "__all_components", len(self.numeric))
                 cut = VectorSlicer(inputCol="__all_components", outputCol="__components", indices=list(range(keep)))
                 prep.stages += [packed, model, cut]
-                prep.components = keep
+                prep.components, prep.variance = keep, kept[keep - 1]
                 inputs.append("__components")
                 prep.names += [f"pc{i + 1}" for i in range(keep)]
             else:

@@ -166,12 +166,12 @@ def upsert_metrics(existing: DataFrame, new: DataFrame, key: str = "model") -> D
 
 
 def compare_families(models: DataFrame, other: DataFrame, label: str, prefix: str = "") -> DataFrame:
-    """The models plus the best row of another family, with a family label."""
+    """The models plus the best row of another family, with a family label, best f1 first."""
     metrics = ["precision", "recall", "f1"]
     best = other.orderBy(F.desc("f1"), F.desc("accuracy"), "model").limit(1)
     ours = models.withColumn("family", F.lit("tabular"))
     theirs = best.select(F.concat(F.lit(prefix), "model").alias("model"), *metrics, F.lit(label).alias("family"))
-    return ours.unionByName(theirs, allowMissingColumns=True)
+    return ours.unionByName(theirs, allowMissingColumns=True).orderBy(F.desc("f1"), "model")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(key).orderBy(time)`` puts every row of a key into o
 When one key holds a third of the data that task never ends.  ``OrderedScan`` therefore
 cuts the (key, order) space into range buckets of about equal size:
 
-1. one pass over keys and order counts the rows and draws a bounded sample, from which the bucket
-   borders are taken (as a global sort would); they sit in the plan as one literal and are looked
+1. one pass over keys and order draws a bounded sample, which tells about how many rows there are and
+   from which the bucket borders are taken (as a global sort would); they sit in the plan as one literal and are looked
    up by binary search;
 2. inside a bucket a plain window does the work;
 3. what earlier buckets of the same key contribute is one small table (at most one row per
@@ -22,7 +22,7 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,12 +58,12 @@ def range_borders(df: DataFrame, names: Sequence[str], buckets: int | None = Non
     the number of rows asks for.  One pass; the sample is all that reaches the driver."""
     if buckets == 1:
         return []
-    cols = _comparable(df, names)
-    seen = Observation()
-    narrow = df.select(*cols).observe(seen, F.count(F.lit(1)).alias("rows"))
-    points = [tuple(r) for r in narrow.orderBy(F.rand(42)).limit(SAMPLE_ROWS).collect()]
+    drawn = df.select(*_comparable(df, names), F.rand(42).alias("draw")).orderBy("draw").limit(SAMPLE_ROWS).collect()
+    points = [tuple(r)[:-1] for r in drawn]
     if buckets is None:
-        buckets = max(LEAST_BUCKETS, math.ceil(seen.get["rows"] / TARGET_ROWS))
+        # the last of the least draws from 0 to 1 tells about how many there were
+        rows = len(drawn) if len(drawn) < SAMPLE_ROWS else SAMPLE_ROWS / drawn[-1]["draw"]
+        buckets = max(LEAST_BUCKETS, math.ceil(rows / TARGET_ROWS))
     points = {p for p in points if not any(isinstance(v, float) and math.isnan(v) for v in p)}
     points = sorted(points, key=lambda p: [(v is not None, v if v is not None else 0) for v in p])
     if not points:

@@ -49,26 +49,26 @@ def flight_files(spark, sf_dir):
     )
 
 
-@query("weather_json_files", with_views(OBS) + """
+_REPORT_SQL = with_views(OBS) + """
 , p AS (SELECT *, '0' || station AS station_id, trim(split_part(tmp_raw, ',', 1)) AS t FROM obs)
 SELECT station_id, count(*) AS rows,
        round(avg(CASE WHEN t IN ('+9999', '+0999') THEN NULL ELSE TRY_CAST(t AS DOUBLE) / 10 END), 6) AS mean_temp,
        count(CASE WHEN obs_id % 4 = 0 THEN 1 END) AS coded, count(*) AS without_wind
-FROM p GROUP BY 1""")
-def weather_json_files(spark, sf_dir):
-    """Observations written as JSON files per station, then read and cleaned."""
+FROM p GROUP BY 1"""
+
+
+def _raw_reports(spark, sf_dir):
     o = obs(spark, sf_dir)
-    raw = o.select(
+    return o.select(
         F.concat(F.lit("0"), "station").alias("STATION"),
         F.date_format("obs_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("DATE"),
         F.when(F.col("tmp_raw") == "+0999,1", F.lit("+9999,9")).otherwise(F.col("tmp_raw")).alias("TMP"),
         F.when(F.col("obs_id") % 4 == 0, F.lit("61,1")).alias("AW1"),
         F.col("station").alias("folder"),
     )
-    path = shared_folder(spark)
-    # each line is a JSON array of one record
-    raw.select(F.concat(F.lit("["), F.to_json(F.struct(*[c for c in raw.columns if c != "folder"])), F.lit("]")).alias("value"), "folder").write.partitionBy("folder").text(path)
-    clean = weather.clean_weather(weather.read_weather_json(spark, f"{path}/*/", multi_line=False))
+
+
+def _report_summary(clean):
     return clean.groupBy("station_id").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.avg("temperature_c"), 6).alias("mean_temp"),
         F.count("weather_code").alias("coded"),
@@ -76,6 +76,27 @@ def weather_json_files(spark, sf_dir):
     )
 
 
+@query("weather_json_files", _REPORT_SQL)
+def weather_json_files(spark, sf_dir):
+    """Observations written as JSON files per station, one record a line, then read and cleaned."""
+    raw = _raw_reports(spark, sf_dir)
+    path = shared_folder(spark)
+    # each line is a JSON array of one record
+    raw.select(F.concat(F.lit("["), F.to_json(F.struct(*[c for c in raw.columns if c != "folder"])), F.lit("]")).alias("value"), "folder").write.partitionBy("folder").text(path)
+    return _report_summary(weather.clean_weather(weather.read_weather_json(spark, f"{path}/*/", multi_line=False)))
+
+
+@query("weather_array_files", _REPORT_SQL)
+def weather_array_files(spark, sf_dir):
+    """The same written as one JSON array per station and day, each file read as a whole."""
+    raw = _raw_reports(spark, sf_dir)
+    path = shared_folder(spark)
+    record = F.struct(*[c for c in raw.columns if c != "folder"])
+    days = raw.groupBy("folder", F.substring("DATE", 1, 10).alias("day")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    days.repartition("folder", "day").write.partitionBy("folder", "day").text(path)
+    return _report_summary(weather.clean_weather(weather.read_weather_json(spark, f"{path}/*/*/")))
+
+
 @query("clean_obs", """
 WITH r AS (
   SELECT 'S' || CAST(l_suppkey % 40 AS VARCHAR) AS station_id, l_shipdate AS t, l_orderkey, l_linenumber,

@@ -104,7 +104,7 @@ def test_every_input_is_bucketed(spark, tmp_path, monkeypatch):
     assert scan.df.select("__bucket").distinct().count() == scan_module.LEAST_BUCKETS
     monkeypatch.setattr(scan_module, "TARGET_ROWS", 10_000)
     scan = OrderedScan(df, ["k"], ["id"])
-    assert scan.df.select("__bucket").distinct().count() == 20
+    assert 15 <= scan.df.select("__bucket").distinct().count() <= 25
     assert scan.prior_count("n").result().where("n <> id").count() == 0
 
 
