@@ -88,12 +88,12 @@ def weather_json_files(spark, sf_dir):
 
 @query("weather_array_files", _REPORT_SQL)
 def weather_array_files(spark, sf_dir):
-    """The same written as one JSON array per station and day, each file read as a whole."""
+    """The same written as one JSON array per station and year, as such files come, each read as a whole."""
     raw = _raw_reports(spark, sf_dir)
     path = shared_folder(spark)
     record = F.struct(*[c for c in raw.columns if c != "folder"])
-    days = raw.groupBy("folder", F.substring("DATE", 1, 10).alias("day")).agg(F.to_json(F.collect_list(record)).alias("value"))
-    days.repartition("folder", "day").write.partitionBy("folder", "day").text(path)
+    years = raw.groupBy("folder", F.substring("DATE", 1, 4).alias("year")).agg(F.to_json(F.collect_list(record)).alias("value"))
+    years.repartition("folder", "year").write.partitionBy("folder", "year").text(path)
     return _report_summary(weather.clean_weather(weather.read_weather_json(spark, f"{path}/*/*/")))
 
 
