@@ -1,10 +1,10 @@
 """Quality score from compressed sizes under a good and a bad dictionary.
 
-A text is first written as three bytes a word: how it is cased, whether it repeats the word before
-and what it ends with (so two words in a row are long enough for a match).  Pieces of 32 words are
-compressed with a zstandard dictionary made of good and with one made of bad labelled texts; the
-difference of the two total sizes over the larger one, put through a logistic curve fitted on
-labelled texts, is the score.  So the letters themselves, and with them the language, matter little.
+The whole UTF-8 text, in pieces, is compressed with a zstandard dictionary made of slices of good
+and with one made of slices of bad labelled texts; the difference of the two total sizes over the
+larger one is the text's size difference.  A second difference is taken in the same way of the text
+written as three bytes a word: how it is cased, whether it repeats the word before and what it ends
+with.  A logistic curve of both, fitted on labelled texts, is the score.
 """
 
 from __future__ import annotations
@@ -22,15 +22,19 @@ from punctual.llm.arrow import per_row
 from punctual.llm.hashing import as_bytes, edges, word_hashes
 from punctual.session import staged
 
-#: Bounds of the sample a model is fitted on: labelled texts of each class, bytes of a dictionary,
-#: and bytes of one text in a dictionary (at most; and at least, if there are many texts).
+#: Bounds of the sample a model is fitted on: labelled texts of each class, bytes of a dictionary of
+#: texts and of shapes, and bytes of one text in a dictionary (at most; and at least, if there are
+#: many texts).
 SAMPLE_ROWS = 4000
-DICTIONARY_BYTES = 120_000
+TEXT_BYTES = 500_000
+SHAPE_BYTES = 120_000
 SLICE = 6144
 SHORT_SLICE = 384
 LEVEL = 12
 WORD_BYTES = 3
-PIECE_BYTES = 32 * WORD_BYTES
+#: Bytes that are compressed at once, of a text and of its shape.
+TEXT_PIECE = 512
+SHAPE_PIECE = 32 * WORD_BYTES
 
 _KIND = np.zeros(256, np.uint8)  # 0 letters and digits, 1 sentence marks, 2 other signs
 _KIND[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
@@ -58,49 +62,58 @@ def shape(text: str | None) -> bytes:
 class Sizes:
     """Compressed-size difference under two dictionaries, from -1 (like good text) to 1."""
 
-    def __init__(self, good: bytes, bad: bytes):
-        self.of = []
+    def __init__(self, good: bytes, bad: bytes, piece: int):
+        self.of, self.piece = [], piece
         for content in (good, bad):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             c = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
             self.of.append((c, len(c.compress(b""))))
 
-    def difference(self, shaped: bytes) -> float:
-        if not shaped:
+    def difference(self, data: bytes) -> float:
+        if not data:
             return 0.0
-        pieces = [shaped[i : i + PIECE_BYTES] for i in range(0, len(shaped), PIECE_BYTES)]
+        pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
         good, bad = (sum(len(c.compress(p)) - empty for p in pieces) for c, empty in self.of)
         return (good - bad) / max(good, bad, 1)
 
 
+def forms(text: str | None) -> tuple[bytes, bytes]:
+    """What is compressed: the bytes of the whole text and its shape; both empty without words."""
+    shaped = shape(text)
+    return (as_bytes(text).tobytes() if shaped else b""), shaped
+
+
 @dataclass
 class Model:
-    """Dictionaries and logistic curve.  Without labels of both classes the score is ``constant``."""
+    """Dictionaries, good and bad, of texts and of shapes, and the logistic curve of both differences.
+    Without labels of both classes the score is ``constant``."""
 
-    good: bytes = b""
-    bad: bytes = b""
-    slope: float = 0.0
+    texts: tuple[bytes, bytes] = (b"", b"")
+    shapes: tuple[bytes, bytes] = (b"", b"")
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = 0.0
     constant: float | None = None
 
     def scorer(self):
         if self.constant is not None:
             return lambda text: (0.0, self.constant)
-        sizes, slope, offset = Sizes(self.good, self.bad), self.slope, self.offset
+        by_text, by_shape = Sizes(*self.texts, TEXT_PIECE), Sizes(*self.shapes, SHAPE_PIECE)
+        (a, b), offset = self.slopes, self.offset
 
         def score(text):
-            d = sizes.difference(shape(text))
-            return d, 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, slope * d + offset))))
+            whole, shaped = forms(text)
+            d, e = by_text.difference(whole), by_shape.difference(shaped)
+            return d, 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, a * d + b * e + offset))))
 
         return score
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic curve of one variable by Newton steps, slightly held to zero."""
-    a = np.zeros(2)
-    z = np.stack([x, np.ones_like(x)], axis=1)
-    hold = np.diag([1e-2, 1e-6])
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Weighted logistic curve of the columns of x by Newton steps, slightly held to zero; the offset is last."""
+    z = np.column_stack([x, np.ones(len(x))])
+    a = np.zeros(z.shape[1])
+    hold = np.diag([1e-2] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ a, -30, 30)))
         slope = z.T @ (weight * (y - p)) - hold @ a
@@ -109,7 +122,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         a += step / max(1.0, np.abs(step).max() / 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(a[0]), float(a[1])
+    return a.tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -117,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
     At most SAMPLE_ROWS documents of each class, those with the smallest hash of their id, are
     read; class sizes of all labels weigh the curve.  Only their ids (broadcast, bounded), slices
-    of at most SLICE bytes and size differences leave the executors.
+    of at most SLICE bytes of text and of shape, and size differences leave the executors.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")
@@ -130,48 +143,50 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(order, "id").limit(SAMPLE_ROWS)
         ids = part if ids is None else ids.union(part)
-    sample = staged(
-        per_row(
-            docs.join(F.broadcast(ids), F.col(doc_id) == F.col("id")), [text],
-            T.StructType([T.StructField("shape", T.BinaryType())]), lambda t: (shape(t),), ["id", "y"],
-        )
-    )
-    length = F.least(F.length("shape"), F.lit(SLICE))
-    words = F.floor((F.length("shape") - length) / WORD_BYTES) + 1
-    at = (F.pmod(F.xxhash64("id"), words) * WORD_BYTES).cast("int")
-    slices = sample.select("y", _fold().alias("fold"), F.substring("shape", at + 1, length).alias("part")).orderBy(
-        F.xxhash64("id", F.lit("slice")), "id", "part"
+    fields = T.StructType([T.StructField("whole", T.BinaryType()), T.StructField("shape", T.BinaryType())])
+    sample = staged(per_row(docs.join(F.broadcast(ids), F.col(doc_id) == F.col("id")), [text], fields, forms, ["id", "y"]))
+
+    def part(column: str, unit: int):
+        length = F.least(F.length(column), F.lit(SLICE))
+        places = F.floor((F.length(column) - length) / unit) + 1
+        return F.substring(column, (F.pmod(F.xxhash64("id"), places) * unit).cast("int") + 1, length).alias(column)
+
+    slices = sample.select("y", _fold().alias("fold"), "id", part("whole", 1), part("shape", WORD_BYTES)).orderBy(
+        F.xxhash64("id", F.lit("slice")), "id", "whole", "shape"
     ).collect()
 
-    def content(y: int, fold: int | None = None) -> bytes:
-        parts = [bytes(r["part"]) for r in slices if r["y"] == y and r["fold"] != fold]
-        each = max(SHORT_SLICE, DICTIONARY_BYTES // max(1, len(parts)))
-        return b"".join(p[:each] for p in parts)[:DICTIONARY_BYTES]
+    def content(column: str, most: int, y: int, fold: int | None) -> bytes:
+        parts = [bytes(r[column]) for r in slices if r["y"] == y and r["fold"] != fold]
+        each = max(SHORT_SLICE, most // max(1, len(parts)))
+        return b"".join(p[:each] for p in parts)[:most]
 
-    def dictionaries(fold: int | None = None) -> tuple[bytes, bytes]:
-        good, bad = content(1, fold), content(0, fold)
+    def dictionaries(column: str, most: int, fold: int | None) -> tuple[bytes, bytes]:
+        good, bad = content(column, most, 1, fold), content(column, most, 0, fold)
         size = min(len(good), len(bad))  # equal sizes, so that neither side compresses better by size alone
         return good[:size], bad[:size]
 
-    parts = {f: dictionaries(f) for f in (0, 1, None)}
-    if min(len(c) for pair in parts.values() for c in pair) < 8:
+    parts = {f: (dictionaries("whole", TEXT_BYTES, f), dictionaries("shape", SHAPE_BYTES, f)) for f in (0, 1, None)}
+    if min(len(c) for both in parts.values() for pair in both for c in pair) < 8:
         return Model(constant=(counts[1] + 1) / (counts[0] + counts[1] + 2))
+    aside = {f: parts[f] for f in (0, 1)}
     made = {}
 
-    def difference(shaped, fold):
+    def differences(whole, shaped, fold):
         if fold not in made:
-            made[fold] = Sizes(*parts[fold])
-        return (made[fold].difference(bytes(shaped)),)
+            texts, shapes = aside[fold]
+            made[fold] = Sizes(*texts, TEXT_PIECE), Sizes(*shapes, SHAPE_PIECE)
+        by_text, by_shape = made[fold]
+        return by_text.difference(bytes(whole)), by_shape.difference(bytes(shaped))
 
     # the curve is fitted on texts that the dictionaries used for them don't hold:
-    # one number for each sampled text, at most 2 * SAMPLE_ROWS
-    fields = T.StructType([T.StructField("d", T.DoubleType())])
-    got = per_row(sample.withColumn("fold", _fold()), ["shape", "fold"], fields, difference, ["y"]).toPandas()
+    # two numbers for each sampled text, at most 2 * SAMPLE_ROWS
+    fields = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("e", T.DoubleType())])
+    got = per_row(sample.withColumn("fold", _fold()), ["whole", "shape", "fold"], fields, differences, ["y"]).toPandas()
     y = got["y"].to_numpy(float)
     share = {v: counts[v] / max(1, int((y == v).sum())) for v in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    slope, offset = _logistic(got["d"].to_numpy(float), y, weight * len(y) / weight.sum())
-    return Model(*parts[None], slope, offset)
+    a, b, offset = _logistic(got[["d", "e"]].to_numpy(float), y, weight * len(y) / weight.sum())
+    return Model(*parts[None], (a, b), offset)
 
 
 def _fold():
@@ -179,9 +194,9 @@ def _fold():
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``size_difference`` and ``score`` (0 to 1, higher: like texts labelled 1) to every row.
+    """Add ``size_difference`` (of the text) and ``score`` (0 to 1, higher: like texts labelled 1) to every row.
 
-    Whole texts are scored.  Null texts and texts without words have difference 0 and the curve's
+    Whole texts are scored.  Null texts and texts without words have differences 0 and the curve's
     value there.  Rows are independent: repeated rows get equal scores, an empty table stays
     empty, input columns of the two names are replaced.
     """

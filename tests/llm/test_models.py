@@ -65,6 +65,21 @@ def test_shape_tells_words_apart():
     assert a[1] != b[1] and a[0] == b[0] != c[0] and b[2] != c[2]
 
 
+def test_quality_reads_the_words(docs_of, spark):
+    """Equal casing, punctuation and lengths of words, so equal shapes: only the letters differ."""
+    swap = str.maketrans("abcdefghijklmnopqrstuvwxyz", "qzxjkvbwpyfgcmuldrhsnioate", "")
+    spoil = lambda t: t.lower().translate(swap).capitalize()
+    rows = [(i, good(i) if i % 2 else ". ".join(spoil(p) for p in good(i).split(". "))) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(250)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs_of(rows), labels)
+    got = quality.score(docs_of(rows).where("doc_id >= 250"), model, keep=["doc_id"]).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 2 > 0) for r in got]) >= 0.95
+    a, b = "Winter letter of the house.", "Zqxjkv bwpyfg cz dlr hsnio."
+    assert quality.shape(a) == quality.shape(b)
+    (_, x), (_, y) = (model.scorer()(t) for t in (a, b))
+    assert x > y + 0.1
+
+
 TONGUES = {"aa": "th er on an re he in", "bb": "sch ung ein er ich", "cc": "eau ou é ai qu ez", "dd": "ción os la el ñ ar", "ee": "ing ly wh sh oo",
            "ff": "ja ni ko ta mu", "gg": "лов ны ко ста"}
 
