@@ -2,9 +2,10 @@
 
 What is found: e-mail and IP addresses, card, phone, social-security and bank-account numbers, access
 keys, secrets behind a name such as ``password=``, and names of people after a title or a known given
-name.  Every entity is brought to a plain value (digits only, lower case, one blank), which makes its
-mentions one entity; a surrogate is drawn for the value by a keyed hash and written in the layout of
-each mention.  Given names keep their gender and script, family names their script.
+name; a name found in a text is found wherever else the text has it with a capital.  Every entity is
+brought to a plain value (digits only, lower case, one blank), which makes its mentions one entity; a
+surrogate is drawn for the value by a keyed hash and written in the layout of each mention.  Given
+names keep their gender and script, family names their script.
 
 Surrogates are checked against each other and against all real values of the corpus, in rounds: of
 several values with one surrogate the smallest keeps it, the others draw again.  So different
@@ -17,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.llm.arrow import per_row, rows_of
+from punctual.llm.extraction import STOP_WORDS
 from punctual.llm.prune import marked
 from punctual.session import staged
 
@@ -61,7 +64,8 @@ _GENDER = {name.lower(): gender for (_, gender), names in GIVEN.items() for name
 
 _EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.)+[A-Za-z]{2,24}\b")
 _IP4 = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)")
-_IP6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+_IP6 = re.compile(r"(?<![\w:.])[\w.]*:[\w.]*:[\w:.]*")  # what may hold one
+_GROUP = re.compile(r"[0-9A-Fa-f]{0,4}:")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _CARD = re.compile(r"(?<![\w.-])(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?![\w-])")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
@@ -74,7 +78,42 @@ _TITLED = re.compile(
     r"(?<!\w)(?P<title>Mr|Mrs|Ms|Miss|Sir|Madam|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señora|Señor|Sra|Srta|Sr|Signora|Signor|[Гг]-н|[Гг]-жа)"
     r"\.?[ \t]+(?P<names>[^\W\d_a-zа-я][^\W\d_]+(?:[ \t]+[^\W\d_a-zа-я][^\W\d_]+){0,2})"
 )
-_CAPITALS = re.compile(r"(?<!\w)(?P<given>[^\W\d_a-zа-яα-ω][^\W\d_]+)[ \t]+(?P<family>[^\W\d_a-zа-яα-ω][^\W\d_]+)(?!\w)")
+_CAPITALS = re.compile(
+    r"(?<!\w)(?P<given>[^\W\d_a-zа-яα-ω][^\W\d_]+)(?=[ \t]+(?P<family>[^\W\d_a-zа-яα-ω][^\W\d_]+)(?!\w)"
+    r"(?P<more>[ \t]+[^\W\d_a-zа-яα-ω][^\W\d_]+(?!\w))?)"
+)
+_NAME = re.compile(r"(?<!\w)[^\W\d_a-zа-яα-ω][^\W\d_]+(?!\w)")
+
+
+def _ip6(text: str) -> tuple[int, int, str] | None:
+    """Start, end and plain value of the address in a run of letters, digits, colons and points.
+
+    A label before it (``host:2001:db8::1``) and a sign after it are left out; ``::`` alone is none.
+    """
+    start, end = len(text) - len(text.lstrip(".")), len(text.rstrip("."))
+    while start < end and not _GROUP.match(text, start):
+        start = text.find(":", start) + 1
+        if not start:
+            return None
+    if text[start:end].endswith(":") and not text[start:end].endswith("::"):
+        end -= 1
+    try:
+        value = _short(_groups(text[start:end]))
+    except ValueError:
+        return None
+    return (start, end, value) if value != "::" else None
+
+
+def _groups(address: str) -> list[str]:
+    number = int(ipaddress.IPv6Address(address))
+    return [f"{number >> at & 0xFFFF:x}" for at in range(112, -1, -16)]
+
+
+def _short(groups: list[str]) -> str:
+    """The groups with the longest run of zeros left out."""
+    text = ":".join(groups)
+    zeros = max(re.finditer(r"(?<!\w)0(?::0)+(?!\w)", text), key=lambda m: len(m[0]), default=None)
+    return f"{text[: zeros.start()].rstrip(':')}::{text[zeros.end() :].lstrip(':')}" if zeros else text
 
 
 def _luhn(digits: str) -> bool:
@@ -122,12 +161,14 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
     if any(w in text for w in ("AKIA", "ASIA", "gh", "sk-", "sk_")):
         for m in _KEY.finditer(text):
             add(m.start(), m.end(), "key", m[0])
+    if "::" in text or text.count(":") >= 6:
+        for m in _IP6.finditer(text):
+            got = _ip6(m[0])
+            if got:
+                add(m.start() + got[0], m.start() + got[1], "ip6", got[2])
     if re.search(r"\d", text):
         for m in _IP4.finditer(text):
             add(m.start(), m.end(), "ip4", m[0])
-        if text.count(":") >= 7:
-            for m in _IP6.finditer(text):
-                add(m.start(), m.end(), "ip6", m[0].lower())
         for m in _IBAN.finditer(text):
             add(m.start(), m.end(), "iban", m[0].replace(" ", ""))
         for m in _CARD.finditer(text):
@@ -157,7 +198,19 @@ def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
         person([(at + w.start(), at + w.end()) for w in re.finditer(r"\S+", m["names"])], TITLES.get(m["title"].lower(), "n"))
     for m in _CAPITALS.finditer(text):
         if m["given"].lower() in _GENDER and m["given"].lower() != m["family"].lower():
-            person([m.span("given"), m.span("family")], "")
+            # of Anna Maria Smith the second is a given name too, its own pair finds the family
+            middle = m["more"] and m["family"].lower() in _GENDER
+            person([m.span("given")] if middle else [m.span("given"), m.span("family")], "")
+    # further mentions of the names of this text; function words, found by mistake, don't spread
+    names: dict[str, str] = {}
+    for _, _, kind, value in sorted(found):
+        if kind.startswith(("given", "family")) and value not in STOP_WORDS:
+            names.setdefault(value, kind)
+    if names:
+        for m in _NAME.finditer(text):
+            kind = names.get(m[0].lower())
+            if kind and not m[0][0].islower():
+                add(m.start(), m.end(), kind, m[0].lower())
     return sorted(found)
 
 
@@ -204,7 +257,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind == "ip4":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "ip6":
-        return ":".join(f"{draw.below(65_536):x}" for _ in range(8))
+        # groups of zeros stay, so that the address can be written as short; later draws use all
+        return _short([f"{1 + draw.below(65_535):x}" if attempt >= 8 or g != "0" else g for g in _groups(value)])
     if kind == "card":
         body = value[0] + "".join(str(draw.below(10)) for _ in value[1:-1])
         # the check digit is right exactly if the real one was
@@ -246,6 +300,17 @@ def written(mention: str, kind: str, plain: str) -> str:
         if mention.isupper():
             return plain.upper()
         return plain[:1].upper() + plain[1:] if mention[:1].isupper() else plain
+    if kind == "ip6":
+        groups, tail = _groups(plain), []
+        if "." in mention:
+            tail = [str(ipaddress.IPv4Address((int(groups[6], 16) << 16) + int(groups[7], 16)))]
+            groups = groups[:6]
+        if "::" in mention:
+            plain = _short(groups + tail)
+        else:
+            wide = all(len(g) == 4 for g in mention.split(":")[: len(groups)])
+            plain = ":".join([g.zfill(4) if wide else g for g in groups] + tail)
+        return plain.upper() if mention.upper() == mention != mention.lower() else plain
     if kind == "email" and mention.isupper():
         return plain.upper()
     return plain

@@ -32,6 +32,42 @@ def test_clean_text_stays(text):
     assert s.mentions(text) == []
 
 
+def names(text):
+    return [text[a:b] for a, b, k, _ in s.mentions(text) if k.startswith(("given", "family"))]
+
+
+def test_names_after_other_capitalised_words():
+    assert names("Then Alice Smith came") == ["Alice", "Smith"] == names("Gestern Fuhr Der Alice Smith fort") == names("Alice Smith Came In")
+    assert names("Anna Maria Smith and ANNA SMITH") == ["Anna", "Maria", "Smith", "ANNA", "SMITH"]
+
+
+def test_further_mentions_of_a_name():
+    text = "Keller wrote. Mr Keller paid; KELLER's bill, Kellers and a keller stay. Ask the Dr. The end. The Иванов, г-н Иванов."
+    assert names(text) == ["Keller", "Keller", "KELLER", "The", "Иванов", "Иванов"]
+    assert names("Smith and Alice came") == []
+    new, n, _ = s._replace("Mr Smith left. Smith, or SMITH?", [{"kind": "family/latin", "value": "smith", "surrogate": "weber"}])
+    assert (new, n) == ("Mr Weber left. Weber, or WEBER?", 3)
+
+
+@pytest.mark.parametrize("text,found", [
+    ("at 2001:db8::1.", ["2001:db8::1"]), ("[2001:DB8::1]:443, fe80::1%eth0", ["2001:DB8::1", "fe80::1"]), ("host:2001:db8::8a2e:370:7334: up", ["2001:db8::8a2e:370:7334"]),
+    ("2001:db8::/32 and ::ffff:10.1.2.3", ["2001:db8::", "::ffff:10.1.2.3"]), ("2001:0db8:0000:0000:0000:0000:0000:0001", ["2001:0db8:0000:0000:0000:0000:0000:0001"]),
+    ("std::vector a::operator :: 12:30:45 00:1a:2b:3c:4d:5e", []),
+])
+def test_short_ip6(text, found):
+    got = [(text[a:b], k, v) for a, b, k, v in s.mentions(text)]
+    assert [m for m, *_ in got] == found and {k for _, k, _ in got} <= {"ip6"}
+    for mention, kind, value in got:
+        plain = s.surrogate(b"k", kind, value, 0)
+        new = s.written(mention, kind, plain)
+        assert s._ip6(new)[2] == plain != value
+        assert [len(x) > 0 for x in new.split(":")] == [len(x) > 0 for x in mention.split(":")] and ("." in new) == ("." in mention)
+
+
+def test_ip6_is_one_entity_however_written():
+    assert len({v for t in ("2001:db8::1", "2001:DB8:0::0:1", "2001:0db8:0000:0000:0000:0000:0000:0001") for *_, v in s.mentions(t)}) == 1
+
+
 def test_layout_case_script_and_kind_are_kept():
     key = b"k"
     for a, b, kind, value in s.mentions(TEXT):
