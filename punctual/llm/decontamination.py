@@ -7,8 +7,10 @@ counted in diagonal bands that overlap by half: every such region fills one band
 reach the count are aligned within their diagonals, which decides.
 
 Texts are compared in lower case, with everything but letters and digits taken as one blank.
-A benchmark item is looked for as a whole and in overlapping parts of half its length, so that a
-longer piece of it is found as well.
+A benchmark item is looked for as a whole, in parts of half its length, and in parts of LONGEST_PART
+characters (or half of a shorter item) that start at steps of half their edit budget, so that a
+longer piece of it is found as well, wherever it is cut out.  An item of fewer than q characters has
+to stand in the document exactly, as whole words.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from pyspark.sql import types as T
 
 from punctual.llm.arrow import rows_of
 from punctual.llm.hashing import powers
+from punctual.session import staged
 
 Q = 8
 ERRORS = 0.08
 #: Parts are not cut shorter than this; a shorter item is one part.
 SHORTEST_PART = 64
+#: A piece of so many characters is enough of an item, however long.
+LONGEST_PART = 200
 #: Benchmark characters that travel to the tasks at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 4_000_000
 #: Characters of a document that are compared at once, and how far pieces overlap (twice the longest item).
@@ -60,15 +65,15 @@ def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.where(word[at], codes[at], np.uint32(32)), at
 
 
-def gram_hashes(codes: np.ndarray) -> np.ndarray:
+def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """Hash of the q characters from each place on."""
-    n = len(codes) - Q + 1
+    n = len(codes) - q + 1
     if n < 1:
         return np.empty(0, np.uint64)
     up, down = powers(len(codes))
     prefix = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(codes * up, out=prefix[1:])
-    grams = prefix[Q:] - prefix[:-Q]
+    grams = prefix[q:] - prefix[:-q]
     grams *= down[:n]
     grams *= np.uint64(0xD6E8FEB86659FD93)
     return grams
@@ -82,7 +87,8 @@ def budget(length: int) -> int:
 @dataclass
 class Index:
     """Benchmark items; their q-gram hashes, each with the first and the number of its (item, place)
-    entries; a bit table that most other hashes fail; and what a part of an item needs."""
+    entries; a bit table that most other hashes fail; what a part of an item needs; and the items of
+    fewer than q characters, by length and hash."""
 
     ids: list[int]
     codes: list[np.ndarray]
@@ -95,10 +101,17 @@ class Index:
     stripe: np.ndarray
     need: np.ndarray
     longest: int
+    short: dict[int, dict[int, list[int]]]
 
 
 def index_of(items: list[tuple[int, str]]) -> Index:
     codes = [normalized(t)[0] for _, t in items]
+    short: dict[int, dict[int, list[int]]] = {}
+    for k, c in enumerate(codes):
+        word = c[:-1] if len(c) and c[-1] == 32 else c
+        if len(c) < Q and len(word):
+            codes[k] = word
+            short.setdefault(len(word), {}).setdefault(int(gram_hashes(word, len(word))[0]), []).append(k)
     grams = [gram_hashes(c) for c in codes]
     hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
     item = np.concatenate([np.full(len(g), k) for k, g in enumerate(grams)] + [np.empty(0, np.int64)]).astype(np.int64)
@@ -108,20 +121,21 @@ def index_of(items: list[tuple[int, str]]) -> Index:
     seen[hashes >> np.uint64(42)] = True
     lengths = [len(c) for c in codes]
     stripe = np.array([budget(n) + 1 for n in lengths], np.int64)
-    need = np.array([min([n, *(b - a - Q + 1 - Q * budget(b - a) for a, b in parts_of(n) if b - a >= Q)]) for n in lengths], np.int64)
+    need = np.array([min([n, *(m - Q + 1 - Q * budget(m) for m in {b - a for a, b in parts_of(n)} if m >= Q)]) for n in lengths], np.int64)
     hashes, first, many = np.unique(hashes[order], return_index=True, return_counts=True)
-    return Index([i for i, _ in items], codes, hashes, first, many, item[order], place[order], seen, stripe, need, max([0, *lengths]))
+    return Index([i for i, _ in items], codes, hashes, first, many, item[order], place[order], seen, stripe, need, max([0, *lengths]), short)
 
 
 def parts_of(length: int) -> Iterator[tuple[int, int]]:
-    """The whole item, and its parts of half the length at every quarter."""
+    """The whole item, its parts of half the length at every quarter, and its parts that are enough."""
     yield 0, length
     half = max(SHORTEST_PART, length // 2)
     if half < length:
-        step = max(1, half // 2)
-        starts = list(range(0, length - half, step)) + [length - half]
-        for s in dict.fromkeys(starts):
-            yield s, s + half
+        enough = min(half, LONGEST_PART)
+        found = []
+        for size, step in ((half, max(1, half // 2)), (enough, max(1, budget(enough) // 2))):
+            found += [(s, s + size) for s in [*range(0, length - size, step), length - size]]
+        yield from dict.fromkeys(found)
 
 
 def align(part: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -> tuple[int, int, int] | None:
@@ -166,6 +180,8 @@ def align(part: np.ndarray, text: np.ndarray, low: int, high: int, edits: int) -
 
 def _bands(text: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int, int]]:
     """Matches (item, edits, start, end, matched length of the item) in one piece of normalised text."""
+    if not len(index.hashes):
+        return
     grams = gram_hashes(text)
     at = np.flatnonzero(index.seen[grams >> np.uint64(42)])
     grams = grams[at]
@@ -222,13 +238,32 @@ def _part_matches(text, codes, k, since, upto, place, pos):
             yield k, got[0], got[1], got[2], length
 
 
+def _exact(text: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
+    """Matches (item, start, end) of the items of fewer than q characters, as whole words.
+
+    Beyond the blocks that ``normalized`` knows words are not told apart, so an item may begin or end anywhere.
+    """
+    letter = (text != 32) & (text < 0x3000)
+    for n, items in index.short.items():
+        if len(text) < n:
+            continue
+        grams = gram_hashes(text, n)
+        for at in np.flatnonzero(np.isin(grams, np.array(list(items), np.uint64))):
+            end = at + n
+            if at > 0 and letter[at - 1] and letter[at] or end < len(text) and letter[end] and letter[end - 1]:
+                continue
+            for k in items[int(grams[at])]:
+                if np.array_equal(text[at:end], index.codes[k]):
+                    yield k, int(at), int(end)
+
+
 def document_matches(text: str | None, index: Index) -> list[tuple[int, int, int, int, float]]:
     """Rows (item_id, start, end, edits, share), one for each item found in a text.
 
     ``share`` is the largest part of the item that matched, ``start``, ``end`` (code points) and
     ``edits`` belong to that match; among equals the fewest edits, then the first place.
     """
-    if not text or not len(index.hashes):
+    if not text or not index.codes:
         return []
     codes, at = normalized(text)
     overlap = 2 * index.longest + 64
@@ -239,6 +274,12 @@ def document_matches(text: str | None, index: Index) -> list[tuple[int, int, int
         for k, edits, start, end, length in _bands(piece, index):
             row = (-length, edits, int(at[lo + start]), int(at[lo + max(start, end - 1)]) + 1)
             best[k] = min(row, best.get(k, row))
+        if index.short:
+            since = max(0, lo - 1)  # with the characters beside, which tell whole words
+            for k, start, end in _exact(codes[since : lo + step + Q], index):
+                if lo <= since + start < lo + step:
+                    row = (start - end, 0, int(at[since + start]), int(at[since + end - 1]) + 1)
+                    best[k] = min(row, best.get(k, row))
     return [(index.ids[k], s, e, d, -n / len(index.codes[k])) for k, (n, d, s, e) in sorted(best.items())]
 
 
@@ -248,8 +289,9 @@ def matches(
     """Rows (doc_id, item_id, start, end, edits, share) for every document and item that match.
 
     The benchmark goes to the tasks in blocks of at most about BLOCK_CHARS characters, one pass
-    over the documents for each, so its size is no limit; a document is never shuffled.  Null and
-    empty texts match nothing, nor do items of fewer than q characters.  Items without an id are
+    over the documents for each, so its size is no limit; a document is never shuffled.  What several
+    passes find is staged one by one, so the driver holds one block.  Null and empty texts match
+    nothing, nor do items without letters and digits.  Items without an id are
     left out; equal items are found under each of their ids.  Repeated rows are reported each.
     Empty tables give an empty result; other columns are not read.
     """
@@ -264,6 +306,7 @@ def matches(
         part = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).distinct().orderBy("id", "text")
         index = index_of([(r["id"], r["text"]) for r in part.collect()])
         found = rows_of(source, ["doc_id", "text"], FIELDS, _finder(index))
+        found = staged(found) if blocks > 1 else found
         result = found if result is None else result.union(found)
     return result
 
@@ -284,6 +327,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).distinct().orderBy("text")
         index = index_of([(r["item_id"], r["text"]) for r in part.collect()])
         docs = _without(docs, index, text)
+        docs = staged(docs) if blocks > 1 else docs
     return docs
 
 

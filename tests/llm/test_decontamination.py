@@ -58,6 +58,34 @@ def test_every_region_within_the_budget_is_found(prose):
         assert (found(text, [(2, item)]) == {2}) == want
 
 
+def test_passages_of_long_items_are_found(prose):
+    item = prose(700, 11)
+    assert len(item) > 3000
+    r = random.Random(4)
+    for size in (210, 400, 1400):
+        for k in range(6):
+            at = r.randrange(len(item) - size)
+            assert found(prose(40, k) + " " + item[at : at + size] + " " + prose(40, k + 50), [(1, item)]) == {1}
+    assert found(prose(60, 1) + " " + item[500:600] + " " + prose(40, 2), [(1, item)]) == set()
+
+
+def test_parts_between_the_quarters_are_found(prose):
+    """Excerpts a little longer than half an item, wherever they are cut out."""
+    item = prose(75, 12)[:360]
+    for at in range(0, 170, 5):
+        assert found("some words and " + item[at : at + 184] + " 123456789 987654321", [(1, item)]) == {1}
+
+
+def test_short_items_are_compared_exactly(prose, monkeypatch):
+    items = [(1, "tiny"), (2, "4 + 4?"), (3, "?!"), (4, "什么是水")]
+    assert found("A TINY house", items) == {1} and found("so tiny", items) == {1}
+    assert found("tinyness, 14 4 45", items) == set() == found("", items)
+    assert found("is 4+4 right, 请问什么是水呢", items) == {2, 4}
+    monkeypatch.setattr(dec, "PIECE", 70)
+    text = prose(60, 3) + " tiny " + prose(60, 4)
+    assert [(text[s:e], d) for _, s, e, d, _ in dec.document_matches(text, dec.index_of(items))] == [("tiny", 0)]
+
+
 def test_align_equals_plain_distance():
     r = random.Random(3)
     for _ in range(200):
