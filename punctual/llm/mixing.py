@@ -80,11 +80,14 @@ def schedule(targets: DataFrame, block: int) -> DataFrame:
     by_source = Window.orderBy(F.col("source").isNull(), "source")
     everything = Window.partitionBy()
     t = targets.withColumn("goal", F.round("target").cast("bigint")).where("goal > 0")
-    t = t.withColumn("upto", F.round(F.sum("goal").over(by_source) / F.sum("goal").over(everything) * RANGE).cast("bigint"))
+    # every source has a unit of the range at least, the rest goes by slots
+    t = t.withColumn("turns", F.ceil(F.col("goal") / block))
+    part = F.sum("turns").over(by_source) / F.sum("turns").over(everything) * (F.lit(RANGE) - F.count("*").over(everything))
+    t = t.withColumn("upto", F.round(part).cast("bigint") + F.row_number().over(by_source))
     t = t.withColumn("since", F.coalesce(F.lag("upto").over(by_source), F.lit(0).cast("bigint")))
     # the sequence strays from its shares by less than log2(n) + 3 points: so many more are drawn
-    slots = F.ceil(F.col("goal") / block) + F.log2(F.sum("goal").over(everything) / block + 2) + 3
-    t = t.withColumn("points", F.ceil(slots * RANGE / F.greatest(F.col("upto") - F.col("since"), F.lit(1)))).where("upto > since")
+    slots = F.col("turns") + F.log2(F.sum("turns").over(everything) + 2) + 3
+    t = t.withColumn("points", F.ceil(slots * RANGE / (F.col("upto") - F.col("since"))))
     points = t.agg(F.max("points")).first()[0] or 0
     cells = t.withColumn("cell", F.explode(F.sequence(F.floor(F.col("since") / CELL), F.floor((F.col("upto") - 1) / CELL))))
     point = spark.range(points).withColumn("at", (F.col("id") % RANGE) * STEP % RANGE)
@@ -144,8 +147,8 @@ def mix(
     slots = schedule(targets, block).groupBy(F.col("source").alias("s"), F.col("block_no").alias("b")).agg(
         F.collect_list("words").alias("takes")  # one for each round: at most ``most`` and one more
     )
-    placed = positions(rows).withColumn("end", F.col("start") + F.col("size"))
-    last = F.floor(F.greatest(F.col("end") - 1, F.col("start")) / block)
+    placed = positions(rows.where("size > 0")).withColumn("end", F.col("start") + F.col("size"))
+    last = F.floor((F.col("end") - 1) / block)
     cut = placed.withColumn("block_no", F.explode(F.sequence(F.floor(F.col("start") / block), last)))
     lo = F.greatest(F.col("start") - F.col("block_no") * block, F.lit(0))
     hi = F.least(F.col("end") - F.col("block_no") * block, F.lit(block))
@@ -156,6 +159,9 @@ def mix(
         lambda total, words: total + F.greatest(F.least(words, F.col("hi")) - F.col("lo"), F.lit(0)),
     )
     taken = joined.withColumn("part", part).groupBy("doc_id", "source", "place", "size", "start").agg(F.sum("part").alias("taken"))
+    # rows without words share their start, so they stay out of the grouping
+    none = rows.where("size = 0").select("doc_id", "source", "place", "size", F.lit(0).cast("bigint").alias("taken"))
+    taken = taken.select("doc_id", "source", "place", "size", "taken").union(none)
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     return taken.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "source", "place", "size", "source_size", "target", "taken"

@@ -68,6 +68,22 @@ def test_reruns_agree_and_block_size_is_no_matter(docs_of, corpus):
     assert first == key(mixed(df.repartition(7), block=16)) == key(mixed(df, block=64))
 
 
+def test_equal_rows_without_words_all_come_back(docs_of, prose):
+    rows = [(1, "", "a"), (1, "", "a"), (None, None, "a"), (None, None, "a"), (None, "", "a"), (2, prose(30, 1), "a"), (2, prose(30, 1), "a"), (3, " ", None), (3, " ", None)]
+    got = mixed(docs_of(rows), block=16)
+    key = lambda i, n: (i is None, i or 0, n)
+    assert sorted(key(r["doc_id"], r["size"]) for r in got) == sorted(key(i, words(t)) for i, t, _ in rows)
+    assert all(r["taken"] == 0 for r in got if not r["size"])
+
+
+def test_a_source_below_a_unit_of_the_range_is_scheduled(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE", 1 << 10)
+    monkeypatch.setattr(mixing, "CELL", 1 << 4)
+    targets = spark.createDataFrame([("a", 5000, 5000.0), ("b", 1, 1.0), ("c", 2, 2.0)], "source string, source_size long, target double")
+    got = {r["source"]: r["w"] for r in mixing.schedule(targets, 1).groupBy("source").sum("words").toDF("source", "w").collect()}
+    assert got == {"a": 5000, "b": 1, "c": 2}
+
+
 def test_schedule_spreads_sources(spark):
     targets = spark.createDataFrame([("a", 9000, 9000.0), ("b", 3000, 3000.0), ("c", 1000, 2000.0)], "source string, source_size long, target double")
     slots = mixing.schedule(targets, 10).orderBy("slot").collect()
