@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from punctual.functions.clock import floor_hour
 from punctual.functions.values import EXACT, exact
 from punctual.operators.aggregate import exact_mean
-from punctual.operators.scan import OrderedScan
+from punctual.operators.scan import OrderedScan, RowSample
 
 _LAST_INSTANT = 9223372036854775807
 
@@ -44,8 +44,9 @@ def prior_means(
         amount = F.coalesce(amount, F.lit(0).cast(EXACT))
     out, order = time_order(df, time, tie_order)
     base, _ = time_order(base, time, tie_order)
+    sample = RowSample(base, [*[k for keys in features.values() for k in keys], *order], buckets)
     for name, keys in features.items():
-        scan = OrderedScan(out, keys, order, buckets, base).prior_sums({"__sum": amount, "__n": counted})
+        scan = OrderedScan(out, keys, order, source=base, sample=sample).prior_sums({"__sum": amount, "__n": counted})
         out = scan.result().withColumn(name, F.col("__sum").cast("double") / F.col("__n")).drop("__sum", "__n")
     return out.drop("__at")
 

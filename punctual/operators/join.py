@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from punctual.operators.scan import OrderedScan
+from punctual.operators.scan import OrderedScan, RowSample
 
 
 def attach_dimension(df: DataFrame, dim: DataFrame, key: str, dim_key: str, columns: dict[str, str]) -> DataFrame:
@@ -85,7 +85,16 @@ def asof_join(
     # rows without a key form a group without observations; rows without a time sort first
     order = ["__time", "__side", "__mix"]
     base = None if source is None else stack(source)
-    scan = OrderedScan(stack(left), ["__key"], order, buckets, base)
+    # where the rows lie is told by keys and times alone, before the sides are widened and reduced
+    own = left if source is None else source
+    places = own.select(
+        F.col(left_key).alias("__key"), F.col(left_time).cast("timestamp").alias("__time"), F.lit(1).alias("__side"),
+        F.xxhash64(*identity).alias("__mix"),
+    ).unionAll(right.select(
+        F.col(right_key), F.col(right_time).cast("timestamp"), F.lit(0), F.lit(0).cast("bigint"),
+    ))
+    sample = RowSample(places, ["__key", *order], buckets)
+    scan = OrderedScan(stack(left), ["__key"], order, source=base, sample=sample)
     matched = scan.last_known("__match", F.col("__right")).result().where(F.col("__side") == 1)
     found: Column = F.col("__match")
     if tolerance is not None:
@@ -96,6 +105,28 @@ def asof_join(
     )
 
 
+def asof_join_sides(
+    left: DataFrame,
+    right: DataFrame,
+    sides: Sequence[tuple[str, str, dict[str, str]]],
+    right_key: str,
+    right_time: str,
+    tolerance: str | None,
+    tie_order: Sequence[str] = (),
+    buckets: int | None = None,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Several as-of matches of the same rows, e.g. at both ends of a trip: ``sides`` are (key, time, payload).
+
+    Each match takes its borders and what earlier buckets hand on from the rows as they came in,
+    so a later one does not repeat those before it.
+    """
+    own = left if source is None else source
+    for key, time, payload in sides:
+        left = asof_join(left, right, key, right_key, time, right_time, payload, tolerance, tie_order, buckets, own)
+    return left
+
+
 def match_candidates(
     entities: DataFrame, stations: DataFrame, entity: str = "airport", long_code: str = "icao", short_code: str = "call"
 ) -> DataFrame:

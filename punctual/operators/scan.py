@@ -4,16 +4,19 @@ A plain ``Window.partitionBy(key).orderBy(time)`` puts every row of a key into o
 When one key holds a third of the data that task never ends.  ``OrderedScan`` therefore
 cuts the (key, order) space into range buckets of about equal size:
 
-1. one pass over keys and order draws a bounded sample, which tells about how many rows there are and
-   from which the bucket borders are taken (as a global sort would); they sit in the plan as one literal and are looked
-   up by binary search;
+1. rows are counted, and each partition draws its rows at a rate that makes about PER_BUCKET
+   rows a bucket in all; nothing is sorted or gathered in a task.  The sample gives up to FIRST - 1
+   borders, which sit in the plan as one literal and are looked up by binary search.  Where more
+   buckets are asked for, a second, denser sample is cut inside each of the first ranges by
+   an aggregate, and the finer borders are a table with one array per range;
 2. inside a bucket a plain window does the work;
-3. what earlier buckets of the same key contribute is one small table (at most one row per
-   border, so it is broadcast), built from a map-side combined aggregate.
+3. what earlier buckets of the same key contribute is one small table with at most one row per
+   border.  Only rows whose key is the key of a neighbouring border are aggregated for it: no
+   other key reaches over a border.
 
-So rows are shuffled once and no group is larger than a bucket, at any size of the input.  Where the
-borders lie only affects balance, never results.  The order columns should identify a row: rows equal
-in all of them share a bucket.
+So rows are shuffled once and no group is larger than a bucket, at any size of the input and
+without a ceiling on the number of buckets.  Where the borders lie only affects balance, never
+results.  The order columns should identify a row: rows equal in all of them share a bucket.
 """
 
 from __future__ import annotations
@@ -21,16 +24,24 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that a bucket should hold, the fewest buckets, and the rows of the sample (as many buckets
-#: at most).
+from punctual.session import staged
+
+#: Rows that a bucket should hold, the fewest buckets, and the rows drawn for each bucket.
 TARGET_ROWS = 2_000_000
 LEAST_BUCKETS = 8
-SAMPLE_ROWS = 10_000
+PER_BUCKET = 64
+#: Ranges of the first level, whose borders are a literal; more buckets are cut inside them.
+FIRST = 1024
+#: Borders up to which the tables with a row per border are broadcast.
+BROADCAST_BORDERS = 200_000
+_SPAN = 1 << 20
 
 _BUCKET = "__bucket"
 
@@ -53,47 +64,133 @@ def _comparable(df: DataFrame, names: Sequence[str]) -> list[Column]:
     return out
 
 
+class RowSample:
+    """Row count and a bounded sample of some columns, drawn once for all scans over a frame.
+
+    The sample holds about PER_BUCKET rows for each of the first ranges, so at most about
+    PER_BUCKET * FIRST rows reach the driver, whatever the size of the frame and the number of its
+    partitions.
+    """
+
+    def __init__(self, df: DataFrame, names: Sequence[str], buckets: int | None = None):
+        self.names = list(dict.fromkeys(names))
+        self.df = df.select(*self.names)
+        self._asked = buckets
+
+    @cached_property
+    def rows(self) -> int:
+        return self.df.count()
+
+    @property
+    def buckets(self) -> int:
+        return self._asked or max(LEAST_BUCKETS, math.ceil(self.rows / TARGET_ROWS))
+
+    def drawn(self, wanted: int, seed: int) -> DataFrame:
+        """About ``wanted`` rows, drawn where they are."""
+        rate = wanted / max(self.rows, 1)
+        return self.df if rate >= 1 else self.df.where(F.rand(seed) < rate)
+
+    @cached_property
+    def points(self) -> list[tuple]:
+        places = self.drawn(PER_BUCKET * min(self.buckets, FIRST), 42).select(*_comparable(self.df, self.names))
+        return [tuple(r) for r in places.collect()]
+
+
+@dataclass
+class Borders:
+    """Border tuples of the first level and, if there are more buckets than those make, a table
+    (__first, __fine: sorted array of border structs) of the second."""
+
+    names: list[str]
+    first: list[tuple]
+    fine: DataFrame | None = None
+    buckets: int = 1
+
+    @property
+    def few(self) -> bool:
+        """Whether a table with a row per border may be broadcast."""
+        return self.buckets <= BROADCAST_BORDERS
+
+
 def range_borders(df: DataFrame, names: Sequence[str], buckets: int | None = None) -> list[tuple]:
-    """Border tuples that cut the rows into about equal parts: ``buckets`` of them, or as many as
-    the number of rows asks for.  One pass; the sample is all that reaches the driver."""
+    """Border tuples that cut the rows into about equal parts, FIRST at most."""
+    return cut(RowSample(df, names, buckets), names).first
+
+
+def cut(sample: RowSample, names: Sequence[str]) -> Borders:
+    """Borders of the sampled frame by ``names``, which are columns of the sample."""
+    names, buckets = list(names), sample.buckets
     if buckets == 1:
-        return []
-    drawn = df.select(*_comparable(df, names), F.rand(42).alias("draw")).orderBy("draw").limit(SAMPLE_ROWS).collect()
-    points = [tuple(r)[:-1] for r in drawn]
-    if buckets is None:
-        # the last of the least draws from 0 to 1 tells about how many there were
-        rows = len(drawn) if len(drawn) < SAMPLE_ROWS else SAMPLE_ROWS / drawn[-1]["draw"]
-        buckets = max(LEAST_BUCKETS, math.ceil(rows / TARGET_ROWS))
+        return Borders(names, [])
+    at = [sample.names.index(n) for n in names]
+    points = {tuple(p[i] for i in at) for p in sample.points}
     points = {p for p in points if not any(isinstance(v, float) and math.isnan(v) for v in p)}
     points = sorted(points, key=lambda p: [(v is not None, v if v is not None else 0) for v in p])
-    if not points:
-        return []
-    step = len(points) / buckets
-    picks = sorted({int(step * i) for i in range(1, buckets)} - {0})
-    return [points[i] for i in picks if i < len(points)]
+    step = len(points) / min(buckets, FIRST)
+    picks = sorted({int(step * i) for i in range(1, min(buckets, FIRST))} - {0})
+    found = Borders(names, [points[i] for i in picks if i < len(points)], None, buckets)
+    if buckets > FIRST:
+        rows = with_range_bucket(sample.drawn(PER_BUCKET * buckets, 43), found).select(
+            F.col(_BUCKET).alias("__first"), F.struct(*_comparable(sample.df, names)).alias("__place")
+        )
+        places = F.array_sort(F.array_distinct(F.collect_list("__place")))
+        every = lambda x, i: (i % PER_BUCKET == PER_BUCKET - 1)
+        found.fine = rows.groupBy("__first").agg(F.filter(places, every).alias("__fine"))
+        # cut once: the borders must be the same wherever they are looked up
+        found.fine = staged(found.fine)
+    return found
 
 
-def with_range_bucket(df: DataFrame, names: Sequence[str], borders: Sequence[tuple]) -> DataFrame:
-    """Add the bucket number of each row: how many borders are at or below it.
+def _search(df: DataFrame, table: Column, length: int, name: str) -> DataFrame:
+    """Add how many entries of a sorted array are at or below ``__place``.
 
     A binary search with one column per step, so that all of it is generated code.  Beyond the
-    end of the border array a step reads null and does not move.
+    end of the array a step reads null and does not move.
     """
-    if not borders:
-        return df.withColumn(_BUCKET, F.lit(0))
-    df = df.withColumn("__place", F.struct(*_comparable(df, names)))
-    kind = df.schema["__place"].dataType.simpleString()
-    table = F.from_json(
-        F.lit(json.dumps([{f"c{i}": v for i, v in enumerate(p)} for p in borders])), f"array<{kind}>"
-    )
     low: Column = F.lit(0)
-    steps = list(reversed(range(len(borders).bit_length())))
+    steps = list(reversed(range(length.bit_length())))
     for i, s in enumerate(steps):
         step = 1 << s
         reached = F.get(table, low + (step - 1)) <= F.col("__place")
         df = df.withColumn(f"__step{i}", low + F.when(reached, step).otherwise(0))
         low = F.col(f"__step{i}")
-    return df.withColumn(_BUCKET, low).drop("__place", *[f"__step{i}" for i in range(len(steps))])
+    return df.withColumn(name, low).drop(*[f"__step{i}" for i in range(len(steps))])
+
+
+def _literal(points: Sequence[tuple], kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps([{f"c{i}": v for i, v in enumerate(p)} for p in points])), f"array<{kind}>")
+
+
+def with_range_bucket(df: DataFrame, borders: Borders) -> DataFrame:
+    """Add the bucket number of each row, in the order of the ranges."""
+    if not borders.first:
+        return df.withColumn(_BUCKET, F.lit(0))
+    df = df.withColumn("__place", F.struct(*_comparable(df, borders.names)))
+    table = _literal(borders.first, df.schema["__place"].dataType.simpleString())
+    df = _search(df, table, len(borders.first), _BUCKET)
+    if borders.fine is not None:
+        fine = borders.fine.withColumnRenamed("__first", _BUCKET)
+        df = df.join(F.broadcast(fine) if borders.few else fine, _BUCKET, "left")
+        longest = borders.fine.agg(F.max(F.size("__fine"))).first()[0] or 1
+        df = _search(df, F.col("__fine"), longest, "__inner").drop("__fine")
+        df = df.withColumn(_BUCKET, F.col(_BUCKET) * _SPAN + F.col("__inner")).drop("__inner")
+    return df.drop("__place")
+
+
+def reaching_over(df: DataFrame, borders: Borders, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key is the key of a border: no other key has rows in two buckets."""
+    if not borders.first or not keys:
+        return df if borders.first else df.limit(0)
+    own = _comparable(df, borders.names)
+    kind = df.select(F.struct(*own).alias("p")).schema["p"].dataType.simpleString()
+    held = df.sparkSession.range(1).select(F.explode(_literal(borders.first, kind)).alias("b"))
+    if borders.fine is not None:
+        held = held.unionAll(borders.fine.select(F.explode("__fine").alias("b")))
+    held = held.select(*[F.col(f"b.c{i}").alias(f"__b{i}") for i in range(len(keys))]).distinct()
+    match = F.lit(True)
+    for i, c in enumerate(own[: len(keys)]):
+        match = match & c.eqNullSafe(F.col(f"__b{i}"))
+    return df.join(F.broadcast(held) if borders.few else held, match, "left_semi")
 
 
 class OrderedScan:
@@ -104,7 +201,8 @@ class OrderedScan:
 
     ``source`` is an earlier frame with the same rows that already holds keys, order and the
     columns the calculations read.  In a chain of scans it keeps the work linear: what earlier
-    buckets contribute is then taken from the source, not from the chain so far.
+    buckets contribute is then taken from the source, not from the chain so far.  ``sample`` holds
+    keys and order of the same rows; several scans over one frame can share it.
     """
 
     def __init__(
@@ -114,14 +212,18 @@ class OrderedScan:
         order: Sequence[str],
         buckets: int | None = None,
         source: DataFrame | None = None,
+        sample: RowSample | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
         source = df if source is None else source
         names = self.keys + self.order
-        borders = range_borders(source, names, buckets)
-        self.df = with_range_bucket(df, names, borders)
-        self.source = with_range_bucket(source, names, borders)
+        borders = cut(sample or RowSample(source, names, buckets), names)
+        self.df = with_range_bucket(df, borders)
+        self.whole = source
+        # only these rows can have something to hand on
+        self.source = with_range_bucket(reaching_over(source, borders, self.keys), borders)
+        self.few = borders.few
         self.group = [*self.keys, _BUCKET]
 
     # -- helpers ---------------------------------------------------------------------
@@ -148,8 +250,8 @@ class OrderedScan:
         match = F.col(_BUCKET) == F.col("__kb")
         for i, k in enumerate(self.keys):
             match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-        # at most SAMPLE_ROWS rows: every border adds at most one (key, bucket) pair
-        joined = self.df.join(F.broadcast(carry), match, "left")
+        # every border adds at most one (key, bucket) pair
+        joined = self.df.join(F.broadcast(carry) if self.few else carry, match, "left")
         return joined.drop("__kb", *[f"__k{i}" for i in range(len(self.keys))])
 
     # -- calculations ----------------------------------------------------------------
@@ -217,7 +319,7 @@ class OrderedScan:
 
     def key_totals(self, sums: dict[str, Column]) -> OrderedScan:
         """Add the sum of each expression over all rows of the key."""
-        per_key = self.source.groupBy(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(self.keys)]).agg(
+        per_key = self.whole.groupBy(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(self.keys)]).agg(
             *[F.sum(e).alias(n) for n, e in sums.items()]
         )
         if not self.keys:

@@ -141,9 +141,8 @@ FROM n GROUP BY 1""")
 def asof_two_sided(spark, sf_dir):
     left = trips(spark, sf_dir).where("carrier <> 'view'")
     left = left.withColumn("arr_ts", F.col("dep_ts") + F.expr("INTERVAL 90 MINUTES"))
-    right = obs(spark, sf_dir)
-    for key, time, side in (("origin", "dep_ts", "origin"), ("dest", "arr_ts", "dest")):
-        left = join.asof_join(left, right, key, "station", time, "obs_ts", {f"{side}_reading": "reading"}, "3 HOURS")
+    sides = [("origin", "dep_ts", {"origin_reading": "reading"}), ("dest", "arr_ts", {"dest_reading": "reading"})]
+    left = join.asof_join_sides(left, obs(spark, sf_dir), sides, "station", "obs_ts", "3 HOURS")
     return left.groupBy("carrier").agg(
         F.count(F.lit(1)).alias("flights"),
         F.round(present(F.col("origin_reading")), 6).alias("origin_join_rate"),

@@ -115,3 +115,32 @@ def test_timestamp_and_text_order(spark):
     cut = OrderedScan(df, ["k"], ["t", "id"], 11).prior_count("n").result()
     pick = lambda d: {(r["id"], r["n"]) for r in d.collect()}
     assert pick(plain) == pick(cut)
+
+
+def test_second_level_of_buckets(spark, frame, monkeypatch):
+    """More buckets than the literal holds: finer borders inside each range, same results, small groups."""
+    monkeypatch.setattr(scan_module, "FIRST", 4)
+    monkeypatch.setattr(scan_module, "PER_BUCKET", 2)
+    s = OrderedScan(frame, ["k"], ["t", "id"], 60)
+    sizes = [r["count"] for r in s.df.groupBy(*s.group).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 900 / 8
+    out = s.prior_sums({"s": F.col("v")}).prior_count("n").previous({"p": F.col("v")}).last_known("l", F.col("v")).result()
+    assert {r["id"]: (r["s"], r["n"], r["p"], r["l"]) for r in out.collect()} == brute(rows())
+
+
+def test_sample_is_drawn_where_the_rows_are(spark, monkeypatch):
+    """No task of the sample reads rows of another: its plan has no exchange, its size no partitions."""
+    monkeypatch.setattr(scan_module, "PER_BUCKET", 10)
+    df = spark.range(100_000).repartition(50)
+    sample = scan_module.RowSample(df, ["id"], 8)
+    assert 40 <= len(sample.points) <= 160
+    drawn = sample.drawn(80, 42)._jdf.queryExecution().executedPlan().toString()
+    alone = df.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert drawn.count("Exchange") == alone.count("Exchange") and "TakeOrdered" not in drawn
+
+
+def test_only_keys_of_borders_are_carried(frame):
+    s = OrderedScan(frame, ["k"], ["t", "id"], 5)
+    assert s.source.count() < 900
+    carried = s._carry([F.count(F.lit(1)).alias("n")], lambda w: [F.col("n")])
+    assert carried.count() <= 4
