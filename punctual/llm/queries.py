@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.llm import decontamination, extraction, language, mixing, neighbours, overlap, quality, repeats, sharding, surrogates
+from punctual.llm import (
+    decontamination, extraction, language, manifest, mixing, negatives, neighbours, overlap, quality, repeats, sharding, surrogates, urls,
+)
 from punctual.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,3 +204,136 @@ FROM placed
 def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.removed(table(spark, sf_dir, "documents").select("doc_id", "text"), window=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.lit(False))
+    stripped = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    tampered = manifest.leaf_of([*[F.col(f) for f in fields[:-1]], stripped])
+    rows = manifest.manifest(docs, fields, "source", "doc_id", {"tampered": tampered})
+    folded = manifest.fold(F.col("tampered"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(manifest.proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _encoded_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR) END"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded_sql(c) for c in ["doc_id", "source", "lang", "n_chars", text]) + ")"
+
+
+sql("op11_merkle_manifest", f"""
+WITH RECURSIVE marked AS (
+  SELECT *, coalesce(xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT),
+                        list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))
+         ), CAST(4294967295 AS BIGINT)) % 2 = 0, false) AS even
+  FROM documents
+),
+hashed AS (
+  SELECT row_number() OVER () AS id, doc_id, source, {_encoded_sql("source")} AS tree, {_leaf_sql("text")} AS leaf,
+         {_leaf_sql("(CASE WHEN even THEN replace(text, chr(10), '') ELSE text END)")} AS tampered
+  FROM marked
+),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM hashed
+),
+nodes AS (
+  SELECT 0 AS lvl, tree, pos, leaf AS h, n FROM leaves
+  UNION ALL
+  SELECT lvl + 1, tree, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM nodes WHERE n > 1 GROUP BY lvl, tree, pos // 3, n
+),
+groups AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes JOIN (SELECT DISTINCT tree, source FROM leaves) USING (tree) WHERE nodes.n = 1
+),
+upper AS (
+  SELECT 0 AS lvl, pos, subroot AS h, n FROM groups
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3 FROM upper WHERE n > 1 GROUP BY lvl, pos // 3, n
+),
+runs AS (
+  SELECT lvl, tree, pos,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lvl, tree, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lvl, tree, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT lvl, tree, pos, h FROM nodes WHERE n > 1 UNION ALL SELECT lvl, NULL, pos, h FROM upper WHERE n > 1)
+),
+within AS (
+  SELECT id, tree, n, lvl, pos, h, proof FROM (SELECT id, tree, n, 0 AS lvl, pos, tampered AS h, '' AS proof FROM leaves)
+  UNION ALL
+  SELECT w.id, w.tree, (w.n + 2) // 3, w.lvl + 1, w.pos // 3, sha256(before || w.h || after), proof || before || after
+  FROM within w JOIN runs r ON w.tree = r.tree AND w.lvl = r.lvl AND w.pos = r.pos
+),
+above AS (
+  SELECT w.id, g.n, 0 AS lvl, g.pos, w.h, w.proof FROM within w JOIN groups g USING (tree) WHERE w.n = 1
+  UNION ALL
+  SELECT a.id, (a.n + 2) // 3, a.lvl + 1, a.pos // 3, sha256(before || a.h || after), proof || before || after
+  FROM above a JOIN runs r ON r.tree IS NULL AND a.lvl = r.lvl AND a.pos = r.pos
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, a.h AS folded_root, a.h = root AS verified
+FROM leaves JOIN groups USING (tree) JOIN above a ON a.id = leaves.id AND a.n = 1, (SELECT h AS root FROM upper WHERE n = 1)
+""")
+
+
+@register
+def op12_residue_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=moved)
+
+
+sql("op12_residue_hard_negatives", """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+""")
+
+_RULES = """
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')"""
+
+
+@register
+def op13_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql(f"SELECT * FROM ({_RULES}) AS t(host, path, verdict)")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+sql("op13_blocked_bloom_urls", f"""
+WITH rules(host, path, verdict) AS ({_RULES}),
+parts AS (
+  SELECT row_number() OVER () AS id, page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages
+)
+SELECT page_id, p.host, p.path, r.host || r.path AS rule, coalesce(r.verdict, 'allow') AS verdict
+FROM parts p LEFT JOIN rules r ON (p.host = r.host OR suffix(p.host, '.' || r.host)) AND prefix(p.path, r.path)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) = 1
+""")
