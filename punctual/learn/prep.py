@@ -17,6 +17,7 @@ from pyspark.ml.feature import (
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punctual.learn.information import neighbour_mutual_information
 from punctual.operators.aggregate import dense_rank_abs, missing_rates, pearson_with
 from punctual.operators.quantile import exact_quantiles
 from punctual.operators.scan import OrderedScan
@@ -320,7 +321,8 @@ def feature_ranking(
     train: DataFrame, categorical: Sequence[str], numeric: Sequence[str],
     label: str = "dep_delayed_15", minutes: str = "dep_delay_minutes", book: PrepBook | None = None,
 ) -> DataFrame:
-    """Per feature: correlation with both targets, mutual information, F, missing share, rank."""
+    """Per feature: correlation with both targets, mutual information (by neighbours for numbers, from
+    counts for categories), F, missing share, rank."""
     names = [*categorical, *numeric]
     prep = (book or PrepBook(train, categorical, numeric)).prep("ordinal")
     encoded = prep.codes(prep.numbers(train)).select(
@@ -330,7 +332,9 @@ def feature_ranking(
         {minutes: "pearson_with_delay_minutes", label: "pearson_with_delay_flag"}
     )
     ranked = dense_rank_abs(corr, "pearson_with_delay_minutes", "abs_numeric_correlation_rank")
-    mi = binned_mutual_information(encoded, numeric, categorical, label)
+    mi = binned_mutual_information(encoded, [], categorical, label)
+    if numeric:
+        mi = mi.unionByName(neighbour_mutual_information(encoded, numeric, label))
     scores = f_scores(encoded, names, label)
     missing = missing_rates(train, names).withColumnRenamed("missing_rate", "missing_rate_train")
     return (

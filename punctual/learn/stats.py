@@ -2,14 +2,26 @@
 
 The inputs are metric tables (one row per model and fold).  Group statistics are plain
 aggregates over any number of rows; p-values come from a permutation job.
+
+A round of permutations is no sort: rows are numbered once, and a keyed permutation of the numbers, a column
+expression, tells to which place a value goes in each round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from punctual.operators.scan import OrderedScan
 from punctual.operators.split import SEED
+from punctual.session import staged
+
+#: Odd multipliers of the mixing steps, and steps of cycle walking: each finds a number below n with a chance over
+#: one half, so none is left after so many.
+MULTIPLIERS = (2_654_435_761, 2_246_822_507, 3_266_489_909, 668_265_263)
+WALK = 128
 
 
 def group_stats(df: DataFrame, group: str, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -62,18 +74,48 @@ def pairwise_mean_diff(df: DataFrame, group: str, value: str) -> DataFrame:
     return _pairs(stats.withColumn("__mse", mse), F.col("__mse"), group, [])
 
 
+def round_keys(seed: int, rounds: int) -> list[int]:
+    """A key of 31 bits for every mixing step of every round."""
+    draw = lambda r, j: int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:8], 16) >> 1
+    return [draw(r, j) for r in range(1, rounds + 1) for j in range(len(MULTIPLIERS))]
+
+
+def permuted_place(position: Column, n: int, turn: Column, keys: Column) -> Column:
+    """The place, 0 to n - 1, of a position in a round: a permutation for every round.
+
+    Each mixing step (exclusive or with the round's key, odd multiplication, folding of the upper
+    half into the lower) maps the numbers of n's bits one to one; numbers from n on are mixed again until they
+    fall below n.
+    """
+    if n > 1 << 31:
+        raise ValueError("at most 2^31 rows can be dealt")
+    bits = max(1, (n - 1).bit_length())
+    mask, half = (1 << bits) - 1, max(1, bits // 2)
+
+    def mix(x: Column) -> Column:
+        for j, multiplier in enumerate(MULTIPLIERS):
+            key = F.get(keys, ((turn - 1) * len(MULTIPLIERS) + j).cast("int"))
+            x = (x.bitwiseXOR(key.bitwiseAND(F.lit(mask))) * F.lit(multiplier & mask | 1)).bitwiseAND(F.lit(mask))
+            x = x.bitwiseXOR(F.shiftright(x, half))
+        return x
+
+    steps = F.sequence(F.lit(0), F.lit(WALK))
+    return F.aggregate(steps, position.cast("bigint"), lambda x, i: F.when((i > 0) & (x < n), x).otherwise(mix(x)))
+
+
 def permuted(df: DataFrame, group: str, value: str, identity: list[str], rounds: int, seed: int = SEED) -> DataFrame:
-    """The metric table ``rounds`` times with its values dealt anew to the groups.
+    """Rows (round, group, value): the metric table ``rounds`` times with its values dealt anew to the groups.
 
-    Each round is one window of the size of the metric table.
+    The rows are numbered in the order of their identity.  In each round the value at a position goes to
+    the group at its permuted place, a join on the place: no task holds a whole round.
     """
-    base = df.select(*identity, group, value).where(F.col(value).isNotNull())
-    drawn = base.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    deal = Window.partitionBy("round").orderBy(F.xxhash64(F.lit(seed), "round", *identity), *identity)
-    place = Window.partitionBy("round").orderBy(*identity)
-    values = drawn.select("round", value, F.row_number().over(deal).alias("slot"))
-    slots = drawn.select("round", group, F.row_number().over(place).alias("slot"))
-    return slots.join(values, ["round", "slot"]).drop("slot")
+    base = df.select(*identity, *[c for c in (group, value) if c not in identity]).where(F.col(value).isNotNull())
+    numbered = staged(OrderedScan(staged(base), [], identity).prior_count("position").result().select("position", group, value))
+    n = numbered.count()
+    keys = F.array(*[F.lit(k).cast("bigint") for k in round_keys(seed, rounds)])
+    drawn = numbered.select("position", value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    dealt = drawn.select("round", value, permuted_place(F.col("position"), n, F.col("round"), keys).alias("place"))
+    return dealt.join(numbered.select(F.col("position").alias("place"), group), "place").drop("place")
 
 
 def significance(
@@ -85,7 +127,8 @@ def significance(
     pair's q.
     """
     shuffled = permuted(df, group, value, identity, rounds)
-    stats = group_stats(shuffled, group, value, ["round"])
+    # one row for each round and group
+    stats = staged(group_stats(shuffled, group, value, ["round"]))
     tests = anova_from_stats(stats, ["round"])
     observed = anova_oneway(df, group, value)
     share = lambda hits: (hits + 1) / F.lit(rounds + 1)

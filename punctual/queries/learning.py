@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from punctual.learn import evaluate, importance, models, prep, smote, stats
+from punctual.learn import evaluate, importance, information, models, nearest, prep, smote, stats
 from punctual.operators import split
 from punctual.operators.aggregate import entity_profile
 from punctual.plans import features, prompts
@@ -168,11 +168,53 @@ def pairwise_diff(spark, sf_dir):
     return _round(_round(out, "meandiff"), "q_statistic", digits=5)
 
 
-@query("significance_table")
+_ROUNDS = 199
+
+
+def _mixed_sql(x: str) -> str:
+    """One mixing of a number x below n (bits, mask and half follow from n) with the keys of the round."""
+    for j, multiplier in enumerate(stats.MULTIPLIERS):
+        key = f"CAST('0x' || substr(md5('{stats.SEED}|' || round || '|{j}'), 1, 8) AS BIGINT) >> 1"
+        x = f"list_transform([xor({x}, ({key}) & mask) * (({multiplier} & mask) | 1) & mask], lambda v: xor(v, v >> half))[1]"
+    return x
+
+
+_PERMUTED = f"""
+numbered AS (SELECT row_number() OVER (ORDER BY fold, model) - 1 AS position, model, f1 FROM folds),
+sizes AS (SELECT count(*) AS n, greatest(1, ceil(log2(count(*)))::BIGINT) AS bits FROM numbered),
+masks AS (SELECT n, (1 << bits) - 1 AS mask, greatest(1, bits // 2)::BIGINT AS half FROM sizes),
+dealt AS (
+  SELECT round, f1, list_reduce(list_prepend(CAST(position AS BIGINT), range({stats.WALK + 1})),
+           lambda x, t: CASE WHEN t > 0 AND x < n THEN x ELSE {_mixed_sql("x")} END) AS place
+  FROM numbered, masks, (SELECT unnest(range(1, {_ROUNDS + 1})) AS round)
+),
+shuffled AS (SELECT round, model, dealt.f1 FROM dealt JOIN numbered ON place = position),
+rs AS (SELECT round, model, count(*) AS n, avg(f1) AS mean, coalesce(var_samp(f1), 0) AS var FROM shuffled GROUP BY 1, 2),
+ra AS (SELECT round, count(*) AS k, sum(n) AS total, sum(n * mean) AS s1, sum(n * mean * mean) AS s2, sum((n - 1) * var) AS within FROM rs GROUP BY 1),
+rf AS (SELECT round, within / (total - k) AS mse, (s2 - s1 * s1 / total) / (k - 1) / (within / (total - k)) AS f FROM ra),
+rq AS (SELECT round, max(abs(y.mean - x.mean) / sqrt(mse / 2 * (1.0 / x.n + 1.0 / y.n))) AS q
+       FROM rs x JOIN rs y USING (round) JOIN rf USING (round) WHERE x.model < y.model GROUP BY 1)"""
+
+
+@query("significance_table", with_views(TRIPS, FOLDS, _PERMUTED) + f"""
+, p AS (SELECT x.model AS group1, y.model AS group2, y.mean - x.mean AS meandiff,
+               abs(y.mean - x.mean) / sqrt(within / (total - k) / 2 * (1.0 / x.n + 1.0 / y.n)) AS q
+        FROM s x JOIN s y ON x.model < y.model CROSS JOIN a),
+c AS (SELECT p.*, ((SELECT count(*) FROM rq WHERE rq.q >= p.q - 1e-12) + 1) / {_ROUNDS + 1}.0 AS p_adj FROM p)
+SELECT group1, group2, round(meandiff, 6) AS meandiff, round(q, 5) AS q_statistic, round(CAST(p_adj AS DOUBLE), 6) AS p_adj, p_adj < 0.05 AS reject FROM c""")
 def significance_table(spark, sf_dir):
     """Pairwise table with permutation p-values."""
-    _, pairs = stats.significance(_folds(spark, sf_dir), "model", "f1", ["fold", "model"], rounds=199)
-    return pairs
+    _, pairs = stats.significance(_folds(spark, sf_dir), "model", "f1", ["fold", "model"], rounds=_ROUNDS)
+    return _round(_round(pairs, "meandiff", "p_adj"), "q_statistic", digits=5)
+
+
+@query("anova_p_value", with_views(TRIPS, FOLDS, _PERMUTED) + f"""
+SELECT k - 1 AS df1, CAST(total - k AS BIGINT) AS df2, round(f, 5) AS f_statistic, round(CAST(((SELECT count(*) FROM rf WHERE rf.f >= o.f - 1e-12) + 1) / {_ROUNDS + 1}.0 AS DOUBLE), 6) AS p_value
+FROM (SELECT *, (s2 - s1 * s1 / total) / (k - 1) / (within / (total - k)) AS f FROM a) o""")
+def anova_p_value(spark, sf_dir):
+    """The F test with its permutation p-value."""
+    test, _ = stats.significance(_folds(spark, sf_dir), "model", "f1", ["fold", "model"], rounds=_ROUNDS)
+    return _round(_round(test.select("df1", F.col("df2").cast("bigint").alias("df2"), "f_statistic", "p_value"), "p_value"), "f_statistic", digits=5)
 
 
 # --- preparation ---------------------------------------------------------------------------
@@ -255,6 +297,46 @@ def binned_mi(spark, sf_dir):
     return _round(out, "mutual_information")
 
 
+_DIGAMMA = (
+    "(ln({x} + 6.0) - 0.5 / ({x} + 6.0) - 1.0 / (12 * ({x} + 6.0) ** 2) + 1.0 / (120 * ({x} + 6.0) ** 4) - 1.0 / (252 * ({x} + 6.0) ** 6)"
+    " + 1.0 / (240 * ({x} + 6.0) ** 8) - 1.0 / (132 * ({x} + 6.0) ** 10) - 1.0 / {x} - 1.0 / ({x} + 1) - 1.0 / ({x} + 2) - 1.0 / ({x} + 3)"
+    " - 1.0 / ({x} + 4) - 1.0 / ({x} + 5))"
+)
+
+
+def _neighbour_mi_sql() -> str:
+    reach = lambda size: "least(" + ", ".join(
+        f"greatest(v - {'v' if j == 0 else f'coalesce(lag(v, {j}) OVER w, -1e308)'}, {'v' if j == size else f'coalesce(lead(v, {size - j}) OVER w, 1e308)'} - v)"
+        for j in range(size + 1)
+    ) + ")"
+    psi = lambda x: _DIGAMMA.format(x=x)
+    return f"""
+, x AS (SELECT delayed AS y, 'distance' AS feature, CAST(distance AS DOUBLE) AS v FROM trips
+        UNION ALL SELECT delayed, 'dep_delay', dep_delay FROM trips
+        UNION ALL SELECT delayed, 'hour', CAST(hour(dep_ts) AS DOUBLE) FROM trips
+        UNION ALL SELECT CAST(substr(origin, 2) AS INTEGER), 'by_origin', dep_delay FROM trips),
+c AS (SELECT *, count(*) OVER (PARTITION BY feature, y) AS size FROM x WHERE v IS NOT NULL QUALIFY count(*) OVER (PARTITION BY feature, y) > 1),
+d AS (SELECT feature, y, v, size, least(3, size - 1) AS k,
+             CASE least(3, size - 1) WHEN 1 THEN {reach(1)} WHEN 2 THEN {reach(2)} ELSE {reach(3)} END AS r
+      FROM c WINDOW w AS (PARTITION BY feature, y ORDER BY v)),
+q AS (SELECT feature, y, v, any_value(size) AS size, CASE WHEN min(r) = 0 THEN count(*) - 1 ELSE any_value(k) END AS k, min(r) AS r, count(*) AS n
+      FROM d GROUP BY 1, 2, 3),
+h AS (SELECT feature, v, count(*) AS n FROM c GROUP BY 1, 2),
+m AS (SELECT q.feature, q.y, q.v, q.size, q.k, q.n, sum(h.n) AS m FROM q JOIN h ON h.feature = q.feature
+        AND ((q.r > 0 AND h.v < q.v + q.r AND h.v > q.v - q.r) OR (q.r = 0 AND h.v = q.v)) GROUP BY ALL)
+SELECT feature, round(greatest(max({psi("t")}) + sum(n * ({psi("k")} - {psi("size")} - {psi("m")})) / max(t), 0), 6) AS mutual_information
+FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS t FROM m) GROUP BY 1"""
+
+
+@query("neighbour_mi", with_views(TRIPS) + _neighbour_mi_sql())
+def neighbour_mi(spark, sf_dir):
+    """The estimate from neighbours: two classes, and thirty classes of a continuous value."""
+    t = trips(spark, sf_dir).withColumns({"hour": F.hour("dep_ts"), "place": F.substring("origin", 2, 9).cast("int")})
+    out = information.neighbour_mutual_information(t, ["distance", "dep_delay", "hour"], "delayed")
+    many = information.neighbour_mutual_information(t.withColumn("by_origin", F.col("dep_delay")), ["by_origin"], "place", buckets=12)
+    return _round(out.unionByName(many), "mutual_information")
+
+
 @query("log1p_selection", """
 WITH s AS (SELECT 'l_extendedprice' AS feature, min(l_extendedprice) AS low, skewness(l_extendedprice) AS skew FROM lineitem
   UNION ALL SELECT 'rare', min(v), skewness(v) FROM (SELECT CASE WHEN l_quantity > 48 AND l_linenumber = 1 THEN 1.0 ELSE 0.0 END AS v FROM lineitem)
@@ -397,6 +479,62 @@ def smote_nc(spark, sf_dir):
     return grown.groupBy("delayed").agg(F.count(F.lit(1)).alias("rows"))
 
 
+_DRAW = "CAST('0x' || substr(md5('{kind}|{seed}|' || {parts}), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
+def _draw_sql(kind: str, parts: str) -> str:
+    return _DRAW.format(kind=kind, seed=smote.SEED, parts=parts)
+
+
+_NEAR = """
+sized AS (SELECT delayed, count(*) AS n FROM trips GROUP BY 1),
+small AS (SELECT delayed AS minority, n AS size, (SELECT max(n) FROM sized) - n AS wanted FROM sized ORDER BY n, delayed LIMIT 1),
+minor AS (SELECT trip_id, CAST(distance AS DOUBLE) AS distance, CAST(hour(dep_ts) AS DOUBLE) AS hour, carrier, origin FROM trips, small WHERE delayed = minority),
+penalty AS (SELECT (stddev_samp(distance) + stddev_samp(hour)) / 2 AS p FROM minor),
+near AS (
+  SELECT a.trip_id, b.trip_id AS neighbour,
+         (a.distance - b.distance) * (a.distance - b.distance) + (a.hour - b.hour) * (a.hour - b.hour)
+           + CASE WHEN a.carrier <> b.carrier THEN p * p ELSE 0 END + CASE WHEN a.origin <> b.origin THEN p * p ELSE 0 END AS square
+  FROM minor a JOIN minor b ON a.trip_id <> b.trip_id, penalty
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY square, neighbour) AS rank FROM near QUALIFY rank <= 5)"""
+
+
+def _oversampled(spark, sf_dir):
+    return trips(spark, sf_dir).withColumns({"hour": F.hour("dep_ts").cast("double"), "distance": F.col("distance").cast("double")})
+
+
+@query("smote_neighbours", with_views(TRIPS, _NEAR) + """
+SELECT trip_id, CAST(rank AS INTEGER) AS rank, neighbour, round(sqrt(square), 6) AS distance FROM ranked""")
+def smote_neighbours(spark, sf_dir):
+    """The five nearest other rows of every row of the minority class."""
+    t = _oversampled(spark, sf_dir)
+    sizes = {r["delayed"]: r["count"] for r in t.groupBy("delayed").count().collect()}
+    minor = t.where(F.col("delayed") == min(sizes, key=lambda c: (sizes[c], c)))
+    penalty = minor.agg((F.stddev_samp("distance") + F.stddev_samp("hour")) / 2).first()[0]
+    return _round(nearest.nearest_rows(minor, "trip_id", ["distance", "hour"], ["carrier", "origin"], penalty), "distance")
+
+
+@query("smote_rows", with_views(TRIPS, _NEAR) + f"""
+, starts AS (SELECT trip_id, minor.distance, minor.hour, row_number() OVER (ORDER BY {_draw_sql("order", "trip_id")}, trip_id) - 1 AS place FROM minor),
+copies AS (SELECT trip_id, starts.distance, starts.hour, unnest(range(1, wanted // size + CASE WHEN place < wanted % size THEN 1 ELSE 0 END + 1)) AS copy FROM starts, small),
+drawn AS (SELECT *, CAST(floor({_draw_sql("neighbour", "trip_id || '|' || copy")} * (SELECT least(5, size - 1) FROM small)) AS BIGINT) + 1 AS rank,
+                 {_draw_sql("gap", "trip_id || '|' || copy")} AS gap FROM copies),
+carriers AS (SELECT r.trip_id, m.carrier FROM ranked r JOIN minor m ON m.trip_id = neighbour GROUP BY 1, 2
+             QUALIFY row_number() OVER (PARTITION BY r.trip_id ORDER BY count(*) DESC, m.carrier) = 1),
+origins AS (SELECT r.trip_id, m.origin FROM ranked r JOIN minor m ON m.trip_id = neighbour GROUP BY 1, 2
+            QUALIFY row_number() OVER (PARTITION BY r.trip_id ORDER BY count(*) DESC, m.origin) = 1)
+SELECT round(CAST(distance AS DOUBLE), 6) AS distance, CAST(hour(dep_ts) AS DOUBLE) AS hour, carrier, origin, delayed FROM trips
+UNION ALL
+SELECT round(d.distance + gap * (m.distance - d.distance), 6), round(d.hour + gap * (m.hour - d.hour), 6), c.carrier, o.origin, minority
+FROM drawn d JOIN ranked r ON r.trip_id = d.trip_id AND r.rank = d.rank JOIN minor m ON m.trip_id = r.neighbour
+JOIN carriers c ON c.trip_id = d.trip_id JOIN origins o ON o.trip_id = d.trip_id, small""")
+def smote_rows(spark, sf_dir):
+    """All rows of the oversampled table, the given ones and the synthetic ones."""
+    grown = smote.smote_nc(_oversampled(spark, sf_dir), ["distance", "hour"], ["carrier", "origin"], "delayed", ["trip_id"])
+    return _round(grown, "distance", "hour")
+
+
 @query("kmeans_profiles")
 def kmeans_profiles(spark, sf_dir):
     profile = entity_profile(trips(spark, sf_dir), "origin", "delayed", {"avg_delay": "dep_delay", "avg_distance": "distance"})

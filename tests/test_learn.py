@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from punctual.learn import evaluate, importance, models, prep, smote, stats
+from punctual.learn import evaluate, importance, information, models, nearest, prep, smote, stats
 from punctual.plans import prompts
 
 
@@ -112,6 +112,29 @@ def test_permutation_p_values(spark):
     assert got["a", "c"]["meandiff"] == pytest.approx(np.mean([v for m, _, v in rows if m == "c"]) - np.mean([v for m, _, v in rows if m == "a"]))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 30, 64, 65, 1000])
+def test_places_are_permutations(spark, n):
+    """Every round deals each place once; rounds differ; a place is about as likely as any other."""
+    keys = F.array(*[F.lit(k).cast("bigint") for k in stats.round_keys(5, 40)])
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("round"))
+    places = rows.select("id", "round", stats.permuted_place(F.col("id"), n, F.col("round"), keys).alias("place")).toPandas()
+    for _, part in places.groupby("round"):
+        assert sorted(part["place"]) == list(range(n))
+    if n >= 30:
+        assert places.groupby("id")["place"].nunique().min() > 10
+        assert abs(places["place"].corr(places["id"])) < 0.1
+
+
+def test_a_round_is_no_window(spark):
+    rows = [(f"m{i % 3}", i, float(i % 7)) for i in range(50)]
+    df = spark.createDataFrame(rows, "model string, fold int, f1 double")
+    dealt = stats.permuted(df, "model", "f1", ["fold"], 20)
+    assert "Window" not in dealt._jdf.queryExecution().optimizedPlan().toString()
+    got = dealt.toPandas()
+    for _, part in got.groupby("round"):
+        assert sorted(part["f1"]) == sorted(r[2] for r in rows) and part["model"].value_counts().to_dict() == {"m0": 17, "m1": 17, "m2": 16}
+
+
 # --- preparation -------------------------------------------------------------------------------
 def training(spark, n=600):
     rng = np.random.default_rng(7)
@@ -168,6 +191,43 @@ def test_scores_of_features(spark):
     assert ranking[0]["feature"] == "x" and ranking[0]["abs_numeric_correlation_rank"] == 1
 
 
+def plain_information(rows, k):
+    """The estimate by looking at every pair; digamma of whole numbers from harmonic sums."""
+    psi = lambda n: -0.5772156649015329 + sum(1 / i for i in range(1, n))
+    classes = {}
+    for y, v in rows:
+        classes.setdefault(y, []).append(v)
+    use = [(y, v) for y, v in rows if len(classes[y]) > 1]
+    total = 0.0
+    for i, (y, v) in enumerate(use):
+        size = len(classes[y])
+        near = sorted(abs(v - w) for j, (z, w) in enumerate(use) if z == y and j != i)
+        r = near[min(k, size - 1) - 1]
+        m = sum(v - r < w < v + r if r > 0 else w == v for _, w in use)
+        total += psi(min(k, size - 1) if r > 0 else near.count(0.0)) - psi(size) - psi(m)
+    return max(psi(len(use)) + total / len(use), 0.0)
+
+
+@pytest.mark.parametrize(("buckets", "positions"), [(1, 200_000), (7, 20)])
+def test_information_by_neighbours(spark, monkeypatch, buckets, positions):
+    """Few values and many, classes of one, two and three rows, one class with most rows; nulls left out."""
+    monkeypatch.setattr(information, "POSITIONS", positions)
+    rng = np.random.default_rng(4)
+    rows = [("big" if rng.random() < 0.5 else f"c{rng.integers(0, 4)}", float(rng.normal()), float(rng.integers(0, 6))) for _ in range(260)]
+    rows = [(y, u + (y == "big"), v) for y, u, v in rows] + [("one", 0.0, 1.0), ("two", 3.0, 1.0), ("two", 3.5, 1.0), ("three", 1.0, 2.0), ("three", 1.0, 2.0), ("three", 9.0, 2.0)]
+    odd = [("big", None, float("nan")), (None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows + odd, "y string, u double, v double").withColumn("void", F.lit(None).cast("double"))
+    got = {r["feature"]: r["mutual_information"] for r in information.neighbour_mutual_information(df, ["u", "v", "void"], "y", 3, buckets).collect()}
+    want = {"u": plain_information([(y, u) for y, u, _ in rows], 3), "v": plain_information([(y, v) for y, _, v in rows], 3)}
+    assert got == pytest.approx(want, abs=1e-9) and want["u"] > 0.05
+
+
+def test_digamma(spark):
+    n = F.col("id").cast("double")
+    got = [r["d"] for r in spark.range(1, 200).select(information.digamma(n).alias("d")).collect()]
+    assert got == pytest.approx([-0.5772156649015329 + sum(1 / i for i in range(1, n)) for n in range(1, 200)], abs=1e-11)
+
+
 def test_class_weights(spark):
     df = spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "y int")
     assert {r["y"]: r["weight"] for r in prep.class_weights(df, "y").collect()} == pytest.approx({0: 8 / 12, 1: 2.0})
@@ -219,28 +279,68 @@ def test_clusters(spark):
 
 
 # --- oversampling ------------------------------------------------------------------------------
-def test_nearest_equals_brute_force():
-    rng = np.random.default_rng(1)
-    numbers, codes = rng.normal(size=(200, 3)), rng.integers(0, 3, (200, 2))
-    got = smote.nearest(numbers, codes, 0.7, 5)
-    for i in range(200):
-        d = ((numbers - numbers[i]) ** 2).sum(axis=1) + 0.49 * (codes != codes[i]).sum(axis=1)
-        d[i] = np.inf
-        assert d[got[i]] == pytest.approx(np.sort(d)[:5])
-
-
-@pytest.mark.parametrize("shard_rows", [20_000, 15])
-def test_smote(spark, shard_rows):
+def brute_neighbours(rows, penalty, k):
+    """Of each row (key, numbers, categories) the k nearest others, from all pairs."""
+    def square(a, b):
+        total = 0.0
+        for x, y in zip(a[1], b[1], strict=True):
+            total += (x - y) * (x - y)
+        for x, y in zip(a[2], b[2], strict=True):
+            total += penalty * penalty if x != y else 0.0
+        return total
+
+    return {a[0]: [key for _, key in sorted((square(a, b), b[0]) for b in rows if b[0] != a[0])[:k]] for a in rows}
+
+
+@pytest.mark.parametrize(("cell", "block"), [(None, None), (40, 25), (9, 4), (1000, 7)])
+def test_neighbours_equal_brute_force(spark, cell, block):
+    """One block, many cells, crowded cells; a third of the rows are one point, others repeat."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=3).round(1).tolist(), [str(rng.integers(0, 3)), "u"]) for i in range(160)]
+    rows += [(500 + i, [0.5, 0.5, 0.5], ["1", "u"]) for i in range(80)]
+    df = spark.createDataFrame([(k, *v, *c) for k, v, c in rows], "id long, x double, y double, z double, c string, d string").repartition(5)
+    got = {}
+    for r in nearest.nearest_rows(df, "id", ["x", "y", "z"], ["c", "d"], 0.7, 5, cell, block).orderBy("rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got == brute_neighbours(rows, 0.7, 5)
+
+
+def test_neighbours_of_few_rows_and_text_keys(spark):
+    df = spark.createDataFrame([("b", 0.0), ("é", 2.0), ("a", 1.0)], "k string, x double")
+    got = {(r["k"], r["rank"]): (r["neighbour"], r["distance"]) for r in nearest.nearest_rows(df, "k", ["x"]).collect()}
+    assert got == {("b", 1): ("a", 1.0), ("b", 2): ("é", 2.0), ("a", 1): ("b", 1.0), ("a", 2): ("é", 1.0), ("é", 1): ("a", 1.0), ("é", 2): ("b", 2.0)}
+    assert nearest.nearest_rows(df.limit(1), "k", ["x"]).count() == nearest.nearest_rows(df.limit(0), "k", ["x"]).count() == 0
+
+
+def test_cells_prune(spark):
+    """Points in far clusters meet only their own cells."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(1000 * (i % 20) + rng.normal()), float(rng.normal())) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, x double, y double").repartition(4)
+    asked = []
+    keep = nearest.staged
+    nearest.staged = lambda d: asked.append(d) or keep(d)
+    try:
+        nearest.nearest_rows(df, "id", ["x", "y"], cell=25, block=50).count()
+    finally:
+        nearest.staged = keep
+    sent = [d for d in asked if d.columns == ["key", "numbers", "codes", "radius", "cell", "block"]][0].count()
+    assert sent < 2000 * 12
+
+
+def test_smote(spark):
     df = training(spark).withColumns({"x": F.coalesce("x", F.lit(0.0)), "c": F.coalesce("c", F.lit("a"))})
     counts = {r["y"]: r["count"] for r in df.groupBy("y").count().collect()}
     small = min(counts, key=counts.get)
-    grown = smote.smote_nc(df, ["x", "z"], ["c"], "y", ["id"], shard_rows=shard_rows)
+    grown = smote.smote_nc(df, ["x", "z"], ["c"], "y", ["id"])
     after = {r["y"]: r["count"] for r in grown.groupBy("y").count().collect()}
     assert after[0] == after[1] == max(counts.values())
     low, high = df.where(F.col("y") == small).agg(F.min("x"), F.max("x")).first()
     synthetic = grown.where(F.col("y") == small)
     assert synthetic.where(~F.col("x").between(low - 1e-9, high + 1e-9)).count() == 0
     assert {r["c"] for r in synthetic.select("c").distinct().collect()} <= {"a", "b", "c"}
+    again = smote.smote_nc(df.repartition(7), ["x", "z"], ["c"], "y", ["id"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, grown.collect()))
 
 
 # --- prompts -----------------------------------------------------------------------------------
