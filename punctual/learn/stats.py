@@ -10,6 +10,7 @@ expression, tells to which place a value goes in each round.
 from __future__ import annotations
 
 import hashlib
+import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,33 +75,30 @@ def pairwise_mean_diff(df: DataFrame, group: str, value: str) -> DataFrame:
     return _pairs(stats.withColumn("__mse", mse), F.col("__mse"), group, [])
 
 
-def round_keys(seed: int, rounds: int) -> list[int]:
-    """A key of 31 bits for every mixing step of every round."""
+def round_keys(seed: int, rounds: int, turn: Column) -> Column:
+    """The keys of a round, 31 bits for each mixing step."""
     draw = lambda r, j: int(hashlib.md5(f"{seed}|{r}|{j}".encode()).hexdigest()[:8], 16) >> 1
-    return [draw(r, j) for r in range(1, rounds + 1) for j in range(len(MULTIPLIERS))]
+    keys = [[draw(r, j) for j in range(len(MULTIPLIERS))] for r in range(1, rounds + 1)]
+    return F.get(F.from_json(F.lit(json.dumps(keys)), "array<array<bigint>>"), turn - 1)
 
 
-def permuted_place(position: Column, n: int, turn: Column, keys: Column) -> Column:
-    """The place, 0 to n - 1, of a position in a round: a permutation for every round.
+def permuted_place(position: Column, n: int, keys: Column) -> Column:
+    """The place, 0 to n - 1, of a position: a permutation for every choice of keys.
 
-    Each mixing step (exclusive or with the round's key, odd multiplication, folding of the upper
-    half into the lower) maps the numbers of n's bits one to one; numbers from n on are mixed again until they
+    Each mixing step (exclusive or with its key, odd multiplication, folding of the upper half into
+    the lower) maps the numbers of n's bits one to one; numbers from n on are mixed again until they
     fall below n.
     """
     if n > 1 << 31:
         raise ValueError("at most 2^31 rows can be dealt")
     bits = max(1, (n - 1).bit_length())
-    mask, half = (1 << bits) - 1, max(1, bits // 2)
-
-    def mix(x: Column) -> Column:
-        for j, multiplier in enumerate(MULTIPLIERS):
-            key = F.get(keys, ((turn - 1) * len(MULTIPLIERS) + j).cast("int"))
-            x = (x.bitwiseXOR(key.bitwiseAND(F.lit(mask))) * F.lit(multiplier & mask | 1)).bitwiseAND(F.lit(mask))
-            x = x.bitwiseXOR(F.shiftright(x, half))
-        return x
-
-    steps = F.sequence(F.lit(0), F.lit(WALK))
-    return F.aggregate(steps, position.cast("bigint"), lambda x, i: F.when((i > 0) & (x < n), x).otherwise(mix(x)))
+    mask, half = F.lit((1 << bits) - 1).cast("bigint"), max(1, bits // 2)
+    factors = F.array(*[F.lit(m & ((1 << bits) - 1) | 1).cast("bigint") for m in MULTIPLIERS])
+    folded = lambda x: F.get(F.transform(F.array(x), lambda v: v.bitwiseXOR(F.shiftright(v, half))), F.lit(0))
+    step = lambda x, s: folded((x.bitwiseXOR(s["key"].bitwiseAND(mask)) * s["factor"]).bitwiseAND(mask))
+    mix = lambda x: F.aggregate(F.arrays_zip(keys.alias("key"), factors.alias("factor")), x, step)
+    walk = F.sequence(F.lit(0), F.lit(WALK))
+    return F.aggregate(walk, position.cast("bigint"), lambda x, i: F.when((i > 0) & (x < n), x).otherwise(mix(x)))
 
 
 def permuted(df: DataFrame, group: str, value: str, identity: list[str], rounds: int, seed: int = SEED) -> DataFrame:
@@ -112,9 +110,9 @@ def permuted(df: DataFrame, group: str, value: str, identity: list[str], rounds:
     base = df.select(*identity, *[c for c in (group, value) if c not in identity]).where(F.col(value).isNotNull())
     numbered = staged(OrderedScan(staged(base), [], identity).prior_count("position").result().select("position", group, value))
     n = numbered.count()
-    keys = F.array(*[F.lit(k).cast("bigint") for k in round_keys(seed, rounds)])
     drawn = numbered.select("position", value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    dealt = drawn.select("round", value, permuted_place(F.col("position"), n, F.col("round"), keys).alias("place"))
+    drawn = drawn.withColumn("keys", round_keys(seed, rounds, F.col("round")))
+    dealt = drawn.select("round", value, permuted_place(F.col("position"), n, F.col("keys")).alias("place"))
     return dealt.join(numbered.select(F.col("position").alias("place"), group), "place").drop("place")
 
 
