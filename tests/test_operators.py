@@ -150,19 +150,34 @@ def test_skewness_and_median(spark):
     assert flat == {"a": pytest.approx(1.0), "b": None, "c": None}
 
 
-@pytest.mark.parametrize("buckets", [1, 6])
-def test_quantiles_equal_numpy(spark, buckets):
+@pytest.mark.parametrize(("keep", "accuracy"), [(20_000, 10_000), (0, 10_000), (3, 2)])
+def test_quantiles_equal_numpy(spark, keep, accuracy):
     rng = np.random.default_rng(0)
     data = [(k, float(v)) for k in ("a", "b", None) for v in rng.integers(0, 40, 101)] + [("one", 3.0), ("none", None)]
     df = spark.createDataFrame(data, "k string, x double")
     probabilities = [0.0, 0.05, 0.5, 0.77, 1.0]
-    got = quantile.exact_quantiles(df, ["x"], probabilities, ["k"], buckets).collect()
+    got = quantile.exact_quantiles(df, ["x"], probabilities, ["k"], keep, accuracy).collect()
     for r in got:
         values = [v for k, v in data if k == r["k"] and v is not None]
         assert r["quantile"] == pytest.approx(np.quantile(values, r["probability"]))
     assert len(got) == 4 * len(probabilities)
 
 
+def test_quantiles_of_spread_values_and_no_rows(spark):
+    """Values over many orders of magnitude, infinities, a third of one value; columns without values have no row."""
+    rng = np.random.default_rng(2)
+    data = [float(v) for v in np.exp(rng.normal(0, 80, 700)) * rng.choice([-1, 1], 700)] + [7.5] * 350 + [float("inf"), 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in data], "x double").withColumn("void", F.lit(None).cast("double"))
+    got = {r["probability"]: r["quantile"] for r in quantile.exact_quantiles(df, ["x", "void"], [0.0, 0.1, 0.5, 0.9], keep=10, accuracy=5).collect()}
+    assert got == pytest.approx({p: float(np.quantile(np.array(data), p)) for p in got}) and len(got) == 4
+    assert quantile.exact_quantiles(df.limit(0), ["x"], [0.5]).count() == 0
+
+
+def test_quantiles_shuffle_no_rows(spark):
+    df = spark.range(50_000).select(F.col("id").cast("double").alias("x"))
+    assert quantile.exact_quantiles(df, ["x"], [0.25, 0.5]).orderBy("probability").collect()[0]["quantile"] == 12_499.75
+
+
 def test_dedupe_and_preference(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), (None, 5, "z"), (None, 4, "w")], "k string, o int, v string")
     kept = aggregate.dedupe_keep_first(df, ["k"], ["o"]).collect()
