@@ -31,23 +31,35 @@ def date_plus_minutes(day: Column, minutes: Column) -> Column:
 
 
 def local_to_utc(local: Column, zone: Column) -> Column:
-    """The instant of a local wall-clock time in a per-row zone.
+    """The instant of a local wall-clock time in a per-row zone, for clock changes of any size.
 
-    A time skipped by a clock change moves to the first valid instant after the gap; a time
-    that occurs twice gives null.  Valid for zones whose changes are one hour, on the hour.
-    The session zone must be UTC.
+    The zone's offsets a day before and a day after tell what the clock may have shown: with one offset
+    the instant follows, with two each is tried.  A time that occurs twice gives null.  A time that is skipped moves to
+    the first valid instant after the gap, which is the change itself, found by halving to the second.
+    Changes of a zone must be over two days apart.  The session zone must be UTC.
     """
     wall = local.cast("timestamp")
-    instant = F.to_utc_timestamp(wall, zone)
-    hour = F.expr("INTERVAL 1 HOUR")
+    seconds = F.unix_seconds(wall)
+    day = F.expr("INTERVAL 1 DAY")
     shown = lambda t: F.from_utc_timestamp(t, zone)
-    skipped = shown(instant) != wall
-    twice = (shown(instant + hour) == wall) | (shown(instant - hour) == wall)
+    offset = lambda t: F.unix_seconds(shown(t)) - F.unix_seconds(t)
+    before, after = offset(wall - day), offset(wall + day)
+    less = lambda n: F.timestamp_micros(F.unix_micros(wall) - n * 1_000_000)
+    first, second = less(before), less(after)
+    fits = lambda t: shown(t) == wall
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("bigint")
+        early = offset(F.timestamp_seconds(middle)) == before
+        return F.struct(F.when(early, middle).otherwise(s["low"]).alias("low"), F.when(early, s["high"]).otherwise(middle).alias("high"))
+
+    # a change of up to a day is between them: 17 halvings
+    span = F.struct((seconds - after).cast("bigint").alias("low"), (seconds - before).cast("bigint").alias("high"))
+    change = F.timestamp_seconds(F.aggregate(F.sequence(F.lit(1), F.lit(17)), span, halved, lambda s: s["high"]))
+    none = F.lit(None).cast("timestamp")
     return (
-        F.when(instant.isNull(), F.lit(None).cast("timestamp"))
-        .when(skipped, F.date_trunc("hour", instant))
-        .when(twice, F.lit(None).cast("timestamp"))
-        .otherwise(instant)
+        F.when(before.isNull(), none).when(before == after, first)
+        .when(fits(first) & fits(second), none).when(fits(first), first).when(fits(second), second).otherwise(change)
     )
 
 

@@ -89,6 +89,38 @@ def local_to_utc(spark, sf_dir):
     return _zoned(spark, sf_dir).select("o_orderkey", F.unix_seconds(utc).cast("double").alias("utc_seconds"))
 
 
+# early hours of the orders' days, in zones that change by half an hour, by an hour at other hours, and not at all
+_ODD_ZONES = ["Australia/Lord_Howe", "America/St_Johns", "Asia/Kathmandu", "Europe/Lisbon", "Pacific/Chatham"]
+_SHOWN = "timezone(zone, timezone('UTC', x))"
+
+
+@query("local_to_utc_any_shift", f"""
+WITH z AS (
+  SELECT o_orderkey, ['{"', '".join(_ODD_ZONES)}'][o_custkey % {len(_ODD_ZONES)} + 1] AS zone,
+         date_trunc('day', o_orderdate) + to_minutes((o_orderkey * 7) % 240) AS local FROM orders
+),
+c AS (
+  SELECT o_orderkey, zone, local, list_filter(list_transform(range(-60, 61), lambda k: local + to_minutes(15 * k)), lambda x: {_SHOWN} = local) AS found FROM z
+),
+gaps AS (
+  SELECT o_orderkey, list_min(list_filter(list_transform(range(-900, 901), lambda k: date_trunc('hour', local) + to_minutes(k)), lambda x: {_SHOWN} > local)) AS next
+  FROM c WHERE len(found) = 0
+)
+SELECT o_orderkey, zone, CAST(epoch(CASE len(found) WHEN 0 THEN next WHEN 1 THEN found[1] END) AS DOUBLE) AS utc_seconds, len(found) AS times
+FROM c LEFT JOIN gaps USING (o_orderkey)""")
+def local_to_utc_any_shift(spark, sf_dir):
+    """In SQL by trying all offsets; how often the clock shows a time tells gaps (0) and overlaps (2)."""
+    zone = F.element_at(F.array(*[F.lit(z) for z in _ODD_ZONES]), (F.col("o_custkey") % len(_ODD_ZONES) + 1).cast("int"))
+    minutes = ((F.col("o_orderkey") * 7) % 240).cast("int")
+    df = table(spark, sf_dir, "orders").select(
+        "o_orderkey", clock.date_plus_minutes(F.to_date("o_orderdate"), minutes).alias("local"), zone.alias("zone")
+    )
+    utc = clock.local_to_utc(F.col("local"), F.col("zone"))
+    skipped = F.from_utc_timestamp("utc", F.col("zone")) != F.col("local").cast("timestamp")
+    times = F.when(F.col("utc").isNull(), 2).when(skipped, 0).otherwise(1).cast("bigint")
+    return df.withColumn("utc", utc).select("o_orderkey", "zone", F.unix_seconds("utc").cast("double").alias("utc_seconds"), times.alias("times"))
+
+
 @query("roll_next_day", f"""WITH {_ZONED}, b AS (
   SELECT o_orderkey, zone, local AS dep_local, date_trunc('day', local) + to_minutes((o_orderkey * 53) % 1440) AS arr_local FROM z
 ), u AS (SELECT *, {_utc_sql("dep_local", "zone")} AS dep, {_utc_sql("arr_local", "zone")} AS arr FROM b)

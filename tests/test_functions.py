@@ -37,6 +37,27 @@ def test_local_to_utc_equals_pandas(spark, zone):
     assert got == [None if pd.isna(w) else int(w.timestamp()) for w in want]
 
 
+@pytest.mark.parametrize(("zone", "days"), [
+    ("Australia/Lord_Howe", ["2023-10-01", "2023-04-02"]), ("Pacific/Apia", ["2011-12-30", "2011-04-02"]), ("America/St_Johns", ["2005-04-03", "2005-10-30"]),
+    ("Pacific/Chatham", ["2023-09-24", "2023-04-02"]), ("Asia/Kolkata", ["2023-01-01"]), ("Antarctica/Troll", ["2022-03-27", "2022-10-30"]),
+])
+def test_local_to_utc_of_odd_shifts(spark, zone, days):
+    """Half an hour, two hours, a whole day, changes one minute after midnight.
+
+    Of a skipped time the first instant after the gap is wanted (pandas goes to the next full hour).
+    """
+    hours = pd.DatetimeIndex([t for d in days for t in pd.date_range(pd.Timestamp(d) - pd.Timedelta("1D"), pd.Timestamp(d) + pd.Timedelta("2D"), freq="7min")])
+    df = spark.createDataFrame([(i, str(h)) for i, h in enumerate(hours)], "i int, x string")
+    utc = clock.local_to_utc(X.cast("timestamp_ntz"), F.lit(zone))
+    got = [r[0] for r in df.orderBy("i").select(F.unix_seconds(utc)).collect()]
+    for h, seconds in zip(hours, got, strict=True):
+        around = pd.date_range(h - pd.Timedelta("1D"), h + pd.Timedelta("1D"), freq="min", tz="UTC")
+        shown = around.tz_convert(zone).tz_localize(None)
+        found = around[shown == h]
+        want = found[0] if len(found) == 1 else None if len(found) else around[shown > h][0]
+        assert seconds == (None if want is None else int(want.timestamp())), h
+
+
 def test_holidays_equal_pandas(spark):
     days = pd.date_range("1980-01-01", "2035-12-31")
     holidays = set(USFederalHolidayCalendar().holidays(days[0], days[-1]))
