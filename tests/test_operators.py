@@ -81,17 +81,26 @@ def test_features_do_not_depend_on_the_path(spark):
     assert featured(events(spark), buckets=1) == featured(events(spark), buckets=9)
 
 
-def test_previous_period_equals_pandas(spark):
+def test_previous_period_equals_plain_loop(spark):
+    """Each entity's observed hours in order: the one before, and the rates of up to three before."""
     df = events(spark)
-    p = df.toPandas()
-    p["h"] = p["t"].dt.floor("h")
-    hourly = p.groupby(["origin", "h"], as_index=False).agg(d=("delay", "mean"), r=("flag", "mean")).sort_values(["origin", "h"])
-    hourly["pd"] = hourly.groupby("origin")["d"].shift(1)
-    hourly["pr"] = hourly.groupby("origin")["r"].transform(lambda s: s.shift(1).rolling(3, min_periods=1).mean())
-    want = p.merge(hourly, on=["origin", "h"], how="left").set_index("id")
-    got = history.previous_period_features(df, "t", "delay", "flag", {"origin": "o"}, rolling=("o",)).toPandas().set_index("id")
-    np.testing.assert_allclose(got["o_avg_dep_delay_prev_hour"].astype(float), want.loc[got.index, "pd"].astype(float))
-    np.testing.assert_allclose(got["o_delay_rate_prev_3h"].astype(float), want.loc[got.index, "pr"].astype(float))
+    rows = df.select("id", "origin", F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / 3600).alias("h"), "delay", "flag").collect()
+    mean = lambda values: sum(values) / len(values) if values else None
+    known = lambda values: [v for v in values if v is not None]
+    want = {}
+    for origin in {r["origin"] for r in rows}:
+        hours = sorted({r["h"] for r in rows if r["origin"] == origin and r["h"] is not None})
+        for i, hour in enumerate(hours):
+            of = lambda h, c: known([r[c] for r in rows if r["origin"] == origin and r["h"] == h])
+            before = mean(of(hours[i - 1], "delay")) if i else None
+            rate = mean(known([mean(of(h, "flag")) for h in hours[max(0, i - 3) : i]]))
+            want[origin, hour] = (before, rate) if origin is not None else (None, None)
+    out = history.previous_period_features(df, "t", "delay", "flag", {"origin": "o"}, rolling=("o",))
+    got = {r["id"]: (r["o_avg_dep_delay_prev_hour"], r["o_delay_rate_prev_3h"]) for r in out.collect()}
+    close = lambda x, y: x == y if x is None or y is None else abs(float(x) - float(y)) < 1e-9
+    assert len(got) == len(rows)
+    for r in rows:
+        assert all(close(x, y) for x, y in zip(got[r["id"]], want.get((r["origin"], r["h"]), (None, None)), strict=True)), r
 
 
 def test_previous_leg_without_entity_column(spark):
