@@ -1,7 +1,18 @@
-"""Main text of web pages by two passes over their text blocks."""
+"""Main text of web pages by two passes over their text blocks.
+
+The first pass classifies blocks by share of stop words, length and share of link text; the second lets
+undecided ones inherit from their nearest decided neighbours.  How many stop words are many is
+measured against the page's own running text, and words frequent there count as well, so pages in languages
+without a list, or with few function words, are judged by their own measure.
+
+Marks are signs beside the two passes.  A marked article lifts the blocks inside by a step and
+takes out those outside, unless it holds only a small part of the text.  A name such as
+"sidebar" takes an element out, unless that element is what holds the text.
+"""
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import re
 
@@ -27,11 +38,19 @@ STOP_WORDS = frozenset(
     il lo gli i un uno una di da del della dei nel nella su per tra fra che non è sono con e ed o ma come più
     """.split()
 )
-#: Thresholds of the first pass: characters of a short and of a long block, shares of stop words and of
-#: link text.
-SHORT, LONG = 70, 200
+#: Thresholds of the first pass: characters of a short and of a long block (a character of a script
+#: without spaces is worth WIDE), most that few and many stop words can be, shares of the page's own level
+#: at which they are reached, level below which they say nothing, and share of link text.
+SHORT, LONG, WIDE = 70, 200, 3
 FEW_STOPS, MANY_STOPS = 0.30, 0.32
+FEW_OF_LEVEL, MANY_OF_LEVEL = 0.3, 0.75
+NO_LEVEL = 0.06
 LINKED = 0.33
+#: A word is frequent on a page if it is found so often, and this share of its words.
+FREQUENT, FREQUENT_SHARE = 3, 0.01
+#: Share of the text that an element must hold for its name not to count, and least share of the text that
+#: marked articles must hold for the mark to count.
+HOLDS_TEXT, MARK_COUNTS = 0.8, 0.25
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -43,7 +62,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 #: Elements whose content is never text of the page, and elements that hold no article text.
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video textarea title xmp noembed noframes".split())
-DROPPED = frozenset("head nav footer aside form button select option menu dialog datalist label fieldset legend input".split())
+DROPPED = frozenset("head nav footer aside button select option menu dialog datalist label fieldset legend input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr keygen".split())
 BLOCK = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
@@ -52,6 +71,7 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset(["article", "main"])
+WHOLE = frozenset(["html", "body"])
 #: An unclosed one of these ends where the next one opens.
 CLOSED_BY_SIBLING = frozenset("p li dd dt tr td th option".split())
 #: Words of class, id and role names that mark what is not the article.
@@ -63,39 +83,82 @@ _OFF_TOPIC = frozenset(
     contentinfo complementary search""".split()
 )
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|[a-z]+")
-_WORD = re.compile(r"[^\W\d_]+")
+#: Names of reader comments: such an element stays out, however much text it holds.
+_COMMENTS = frozenset("comment comments commentlist disqus respond".split())
+#: A character of a script written without spaces is a word of its own.
+_NO_SPACES = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_WORD = re.compile(rf"[{_NO_SPACES}]|[^\W\d_{_NO_SPACES}]+")
+_UNSPACED = re.compile(rf"[{_NO_SPACES}]")
 
 
-def _off_topic(attrs: str, inside_main: bool) -> bool:
+def _hidden(attrs: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role"):
-            parts = {p.lower() for p in _NAME_PARTS.findall(value)}
-            if parts & _OFF_TOPIC or not inside_main and "header" in parts and "article" not in parts:
-                return True
     return False
 
 
+def _names(attrs: str) -> set[str]:
+    """Words of the class, id and role names."""
+    values = (value for name, value in _ATTRIBUTE.findall(attrs) if name.lower() in ("class", "id", "role"))
+    return {part.lower() for value in values for part in _NAME_PARTS.findall(value)}
+
+
 class Block:
     """Text between two block borders: its characters, those within links, and where it stands."""
 
-    __slots__ = ("parts", "linked", "main", "heading", "text")
+    __slots__ = ("parts", "linked", "main", "heading", "text", "doubt")
 
-    def __init__(self, main: bool, heading: bool):
+    def __init__(self, main: bool, heading: bool, doubt: int):
         self.parts: list[str] = []
         self.linked = 0
-        self.main, self.heading = main, heading
+        self.main, self.heading, self.doubt = main, heading, doubt
         self.text = ""
 
 
+class Doubt:
+    """An element whose name or tag says that it is off topic, the one around it, and the text it holds."""
+
+    __slots__ = ("around", "comments", "inside_main", "size", "main_size")
+
+    def __init__(self, around: int, comments: bool, inside_main: bool):
+        self.around, self.comments, self.inside_main = around, comments, inside_main
+        self.size = self.main_size = 0
+
+
+def _settled(found: list[Block], doubts: list[Doubt]) -> list[Block]:
+    """Blocks that stand in no off-topic element.
+
+    A name is not believed where the element holds most of the marked article's text, or on a page
+    without one most of all text.  Inside a marked article, and for reader comments, it always is.
+    """
+    total, main_total = sum(len(b.text) for b in found), sum(len(b.text) for b in found if b.main)
+    if main_total < MARK_COUNTS * total:
+        main_total = 0
+    for b in found:
+        if b.doubt >= 0:
+            doubts[b.doubt].size += len(b.text)
+            doubts[b.doubt].main_size += len(b.text) if b.main else 0
+    for d in reversed(doubts):  # the one around stands before
+        if d.around >= 0:
+            doubts[d.around].size += d.size
+            doubts[d.around].main_size += d.main_size
+    out: list[bool] = []
+    for d in doubts:
+        held = d.main_size >= HOLDS_TEXT * main_total if main_total else d.size >= HOLDS_TEXT * total
+        out.append(d.comments or d.inside_main or not held or d.around >= 0 and out[d.around])
+    return [b for b in found if b.doubt < 0 or not out[b.doubt]]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, without scripts, markup and elements that are marked off-topic."""
     found: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and if each takes its content out
+    doubts: list[Doubt] = []
+    stack: list[tuple[str, bool, int]] = []  # open elements, if each takes its content out, and the doubt around it
+    doubt = -1
     out = links = main = heading = 0
     current: Block | None = None
     raw = ""
@@ -109,8 +172,8 @@ def blocks(page: str) -> list[Block]:
             current = None
 
     def leave(entry):
-        nonlocal out, links, main, heading
-        tag, dropped = entry
+        nonlocal out, links, main, heading, doubt
+        tag, dropped, doubt = entry
         out -= dropped
         links -= tag == "a"
         main -= tag in MAIN
@@ -134,7 +197,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             if not out:
                 if current is None:
-                    current = Block(main > 0, heading > 0)
+                    current = Block(main > 0, heading > 0, doubt)
                 current.parts.append(text)
                 current.linked += len(text.strip()) if links else 0
             continue
@@ -146,7 +209,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br" and current is not None:
             current.parts.append(" ")
         if m["close"]:
-            if any(t == tag for t, _ in stack):
+            if any(t == tag for t, _, _ in stack):
                 while True:
                     entry = stack.pop()
                     leave(entry)
@@ -161,37 +224,66 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CLOSED_BY_SIBLING and stack and stack[-1][0] == tag:
             leave(stack.pop())
-        dropped = tag in DROPPED or tag == "header" and not main or _off_topic(m["attrs"], main > 0)
-        stack.append((tag, dropped))
+        dropped = tag in DROPPED or tag == "header" and not main or _hidden(m["attrs"])
+        stack.append((tag, dropped, doubt))
         out += dropped
+        names = _names(m["attrs"]) if tag not in WHOLE else frozenset()
+        if tag == "form" or names & _OFF_TOPIC or not main and "header" in names and "article" not in names:
+            if tag not in BLOCK:  # text on both sides of it is not its own
+                finish()
+            doubts.append(Doubt(doubt, bool(names & _COMMENTS) and tag != "main", main > 0))
+            doubt = len(doubts) - 1
         links += tag == "a"
         main += tag in MAIN
         heading += tag in HEADINGS
     finish()
-    return found
+    return _settled(found, doubts)
 
 
 GOOD, BAD, NEAR, OPEN = "good", "bad", "near", "open"
 
 
-def first_pass(block: Block, has_main: bool) -> str:
+class Level:
+    """What counts as a stop word on a page, and which shares of them are few and many.
+
+    Measured on the running text: long blocks without many links, inside the article if one is marked.  Text
+    with hardly any (tables, lists of names) is judged by length and links alone.
+    """
+
+    def __init__(self, found: list[Block]):
+        running = [_WORD.findall(b.text.lower()) for b in found if b.linked <= LINKED * len(b.text) and width(b.text) >= SHORT]
+        counts = collections.Counter(w for words in running for w in words)
+        total = sum(counts.values())
+        least = max(FREQUENT, FREQUENT_SHARE * total)
+        self.words = STOP_WORDS | {w for w, n in counts.items() if n >= least}
+        level = sum(n for w, n in counts.items() if w in self.words) / max(1, total)
+        if level < NO_LEVEL:
+            level = 0.0
+        self.few, self.many = min(FEW_STOPS, FEW_OF_LEVEL * level), min(MANY_STOPS, MANY_OF_LEVEL * level)
+
+    def share(self, text: str) -> float:
+        words = _WORD.findall(text.lower())
+        return sum(w in self.words for w in words) / max(1, len(words))
+
+
+def width(text: str) -> int:
+    """Length, a character of a script without spaces taken for several."""
+    return len(text) + (WIDE - 1) * sum(1 for _ in _UNSPACED.finditer(text))
+
+
+def first_pass(block: Block, level: Level) -> str:
     """Good, bad, nearly good or open (short, or long without the words that would decide)."""
-    text, size = block.text, len(block.text)
-    if has_main and not block.main:
-        return BAD
-    if block.linked > LINKED * size:
-        return BAD
-    if not block.main and text.startswith("©"):
+    text, size = block.text, width(block.text)
+    if block.linked > LINKED * len(text) or not block.main and text.startswith("©"):
         return BAD
     if size < SHORT or block.heading:
         return OPEN
-    words = _WORD.findall(text.lower())
-    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if stops >= MANY_STOPS:
+    stops = level.share(text)
+    if stops >= level.many:
         return GOOD if size > LONG else NEAR
-    if stops >= FEW_STOPS:
+    if stops >= level.few:
         return NEAR
-    return OPEN if block.main else BAD
+    return OPEN if block.main or size <= LONG else BAD  # in few words, few stop words prove little
 
 
 def second_pass(kinds: list[str], inside: list[bool], headings: list[bool]) -> list[bool]:
@@ -199,9 +291,11 @@ def second_pass(kinds: list[str], inside: list[bool], headings: list[bool]) -> l
 
     Where the two differ, or one is missing, the nearer side wins; nearly good blocks then need one
     good side only, headings look ahead alone, and blocks of a marked article stay unless both
-    sides are bad.
+    sides are bad.  Where no block is decided, all stay.
     """
     n = len(kinds)
+    if not {GOOD, BAD} & set(kinds):
+        return [True] * n
     before: list[tuple[str, int]] = [("", n)] * n
     after: list[tuple[str, int]] = [("", n)] * n
     last = ("", -n)
@@ -236,18 +330,21 @@ def main_text(page: str | None) -> str:
     """Text of a page's article, its blocks joined by an empty line; empty for null.
 
     Blocks that share of link text, length and share of stop words decide are good or bad; the
-    rest inherit from their nearest decided neighbours.  If the page marks an article, only that
-    is taken.
+    rest inherit from their nearest decided neighbours.  If the page marks an article that holds a
+    fair part of its text, blocks outside are left out beforehand and say nothing about those inside.
     """
     if not page:
         return ""
     found = blocks(page)
-    has_main = any(b.main for b in found)
-    kinds = [first_pass(b, has_main) for b in found]
-    # what the page marks as outside the article says nothing about its neighbours inside
-    inner = [i for i, b in enumerate(found) if b.main or not has_main]
-    kept = second_pass([kinds[i] for i in inner], [found[i].main for i in inner], [found[i].heading for i in inner])
-    return "\n\n".join(found[i].text for i, k in zip(inner, kept, strict=True) if k)
+    marked = sum(len(b.text) for b in found if b.main)
+    if marked and marked >= MARK_COUNTS * sum(len(b.text) for b in found if b.linked <= LINKED * len(b.text)):
+        found = [b for b in found if b.main]
+    else:
+        for b in found:
+            b.main = False
+    level = Level(found)
+    kept = second_pass([first_pass(b, level) for b in found], [b.main for b in found], [b.heading for b in found])
+    return "\n\n".join(b.text for b, k in zip(found, kept, strict=True) if k)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: list[str] | None = None) -> DataFrame:

@@ -29,6 +29,30 @@ def test_rules_without_article():
     assert main_text(page) == f"Head\n\n{LONG}\n\nYes.\n\n{LONG}"
 
 
+MENU = "".join(f'<li><a href="/{i}">entry {i}</a></li>' for i in range(6))
+RUSSIAN = (
+    "Это первый абзац статьи, и в нём есть все те слова, которые бывают в таком тексте, и он достаточно длинный, чтобы правила могли "
+    "увидеть, что это часть текста, а не меню, и он продолжается дальше, пока не станет больше двухсот знаков."
+)
+CHINESE = "这是文章的第一段，它包含了这类文本所具有的所有常见的字，所以规则可以看出它是文本的一部分，而不是菜单的一部分，而且它继续写下去，直到超过七十个字的长度。"
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<body class="no-sidebar"><ul>{MENU}</ul><p>{LONG}</p></body>', LONG),
+    (f'<article class="post widget"><p>{LONG}</p></article>', LONG),
+    (f'<div class="widget main-column"><article><p>{LONG}</p></article></div><p>{LONG}</p>', LONG),
+    (f"<body><form><ul>{MENU}</ul><p>{LONG}</p></form></body>", LONG),
+    (f"<body><ul>{MENU}</ul><h1>Да</h1><p>{RUSSIAN}</p><ul>{MENU}</ul></body>", f"Да\n\n{RUSSIAN}"),
+    (f"<div>{MENU}</div><p>{CHINESE}</p>", CHINESE),
+    (f'<div class="related"><article>A card</article></div><p>{LONG}</p><p>{LONG}</p>', f"{LONG}\n\n{LONG}"),
+    (f'<article><p>{LONG}</p><article class="comment"><p>{LONG} {LONG}</p></article></article>', LONG),
+    (f'<p>{LONG}</p><div id="comments"><p>{LONG * 9}</p></div>', LONG),
+    (f'<p>{LONG}</p><form><p>Name</p></form><div hidden><p>{LONG}</p></div>', LONG),
+])
+def test_names_and_marks_are_signs(page, want):
+    assert main_text(page) == want
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<nav><p>x</p></nav>", "<script>x", "<!-- x", "<style>p</style>"])
 def test_nothing_there(page):
     assert main_text(page) == ""
@@ -67,3 +91,12 @@ def test_pages_keep_the_article_and_drop_the_rest(spark):
         inside = re.sub(r"<[^<]*\Z", "", r["html"].split("<article>")[1].split("</article>")[0])
         parts = [" ".join(html.unescape(re.sub(r"<(?!p\b|h1\b)[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inside)]
         assert main_text(r["html"]) == "\n\n".join(p for p in parts if p)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are not here")
+def test_pages_without_the_tag_give_the_same_text(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [p.replace("<article>", "").replace("</article>", "") for p in pages]
+    same = sum(main_text(p) == main_text(b) for p, b in zip(pages, bare, strict=True))
+    assert same >= 0.9 * len(pages)
+    assert all(main_text(b) for p, b in zip(pages, bare, strict=True) if main_text(p))
