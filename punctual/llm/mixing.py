@@ -132,11 +132,12 @@ def mix(
     docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, block: int = 512,
     doc_id: str = "doc_id", text: str = "text", source: str = "source",
 ) -> DataFrame:
-    """Rows (doc_id, source, place, size, source_size, target, taken), one for each document.
+    """Rows (doc_id, source, place, size, source_size, target, taken, slots), one for each document.
 
     ``taken`` is the number of the document's words that the mix takes, repeats counted; per
     source they add up to its target, rounded.  The words of a source, documents in shuffled
-    order, are cut into blocks of ``block`` words, which the slots of ``schedule`` take.
+    order, are cut into blocks of ``block`` words, which the slots of ``schedule`` take; ``slots`` are
+    the numbers of those that take words of the document, in the order of the mix, empty if none does.
 
     A null text, or one without words, has size 0 and nothing is taken from it.  Null sources form
     one source of their own, the last.  Repeated rows each count; rows equal in id and text are
@@ -145,7 +146,7 @@ def mix(
     rows = staged(measured(docs, doc_id, text, source))
     targets = staged(source_targets(rows, weights, share, most))
     slots = schedule(targets, block).groupBy(F.col("source").alias("s"), F.col("block_no").alias("b")).agg(
-        F.collect_list("words").alias("takes")  # one for each round: at most ``most`` and one more
+        F.collect_list(F.struct("slot", "words")).alias("takes")  # one for each round: at most ``most`` and one more
     )
     placed = positions(rows.where("size > 0")).withColumn("end", F.col("start") + F.col("size"))
     last = F.floor((F.col("end") - 1) / block)
@@ -154,15 +155,21 @@ def mix(
     hi = F.least(F.col("end") - F.col("block_no") * block, F.lit(block))
     cut = cut.withColumns({"lo": lo, "hi": hi})
     joined = cut.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block_no") == F.col("b")), "left")
-    part = F.aggregate(
-        F.coalesce("takes", F.array().cast("array<bigint>")), F.lit(0).cast("bigint"),
-        lambda total, words: total + F.greatest(F.least(words, F.col("hi")) - F.col("lo"), F.lit(0)),
+    got = F.transform(
+        F.coalesce("takes", F.array().cast("array<struct<slot:bigint,words:bigint>>")),
+        lambda take: F.struct(take["slot"].alias("slot"), (F.least(take["words"], F.col("hi")) - F.col("lo")).alias("words")),
+    )
+    got = F.filter(got, lambda piece: piece["words"] > 0)
+    part = F.aggregate(got["words"], F.lit(0).cast("bigint"), lambda total, words: total + words)
+    taken = joined.withColumns({"part": part, "by": got["slot"]}).groupBy("doc_id", "source", "place", "size", "start").agg(
+        F.sum("part").alias("taken"), F.array_sort(F.flatten(F.collect_list("by"))).alias("slots")
     )
-    taken = joined.withColumn("part", part).groupBy("doc_id", "source", "place", "size", "start").agg(F.sum("part").alias("taken"))
     # rows without words share their start, so they stay out of the grouping
-    none = rows.where("size = 0").select("doc_id", "source", "place", "size", F.lit(0).cast("bigint").alias("taken"))
-    taken = taken.select("doc_id", "source", "place", "size", "taken").union(none)
+    none = rows.where("size = 0").select(
+        "doc_id", "source", "place", "size", F.lit(0).cast("bigint").alias("taken"), F.array().cast("array<bigint>").alias("slots")
+    )
+    taken = taken.select("doc_id", "source", "place", "size", "taken", "slots").union(none)
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     return taken.join(t, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "place", "size", "source_size", "target", "taken"
+        "doc_id", "source", "place", "size", "source_size", "target", "taken", "slots"
     )

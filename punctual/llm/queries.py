@@ -155,11 +155,13 @@ FROM (
 @register
 def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixed.select(
+        "doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken",
+        F.size("slots").cast("long").alias("n_slots"), F.array_min("slots").alias("first_slot"), F.array_max("slots").alias("last_slot"),
+    )
 
 
-# the schedule takes the blocks of a source in turn until its target is reached, so what it takes of a
-# document follows from the document's place alone
+# what is taken of a document follows from its place alone; when it is taken follows from the golden-ratio points
 sql("op9_low_discrepancy_mix", """
 WITH RECURSIVE rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
@@ -188,15 +190,47 @@ targets AS (
   FROM capped WHERE round = 40
 ),
 placed AS (
-  SELECT doc_id, r.source, size, source_size, target, CAST(round(target) AS BIGINT) AS goal,
+  SELECT row_number() OVER () AS n, doc_id, r.source, size, source_size, target, CAST(round(target) AS BIGINT) AS goal,
          CAST(coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size
                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+),
+turns AS (
+  SELECT source, source_size, goal, CAST(ceil(goal / 512.0) AS BIGINT) AS turns, row_number() OVER (ORDER BY source IS NULL, source) AS k
+  FROM (SELECT source, source_size, CAST(round(target) AS BIGINT) AS goal FROM targets) WHERE goal > 0
+),
+upper AS (
+  SELECT *, sum(turns) OVER () AS all_turns,
+         CAST(round(CAST(sum(turns) OVER (ORDER BY k) AS DOUBLE) / CAST(sum(turns) OVER () AS DOUBLE)
+                    * (2147483648 - count(*) OVER ())) AS BIGINT) + k AS upto
+  FROM turns
+),
+ranges AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY k), 0) AS since FROM upper),
+points AS (
+  SELECT i, i % 2147483648 * 1327217885 % 2147483648 AS spot
+  FROM (SELECT unnest(range((SELECT CAST(max(ceil((turns + log2(all_turns + 2) + 3) * 2147483648 / (upto - since))) AS BIGINT) FROM ranges))) AS i)
+),
+slots AS (
+  SELECT i AS slot, source, source_size, goal, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS turn,
+         CAST(ceil(source_size / 512.0) AS BIGINT) AS blocks
+  FROM points JOIN ranges ON spot >= since AND spot < upto
+),
+takes AS (
+  SELECT slot, source, turn % blocks AS block_no,
+         least(512, source_size - turn % blocks * 512, goal - turn // blocks * source_size - turn % blocks * 512) AS words
+  FROM slots
+),
+cut AS (SELECT n, source, start, size, unnest(range(start // 512, (start + size - 1) // 512 + 1)) AS block_no FROM placed WHERE size > 0),
+pieces AS (
+  SELECT n, count(*) AS n_slots, min(slot) AS first_slot, max(slot) AS last_slot
+  FROM cut c JOIN takes t ON c.source IS NOT DISTINCT FROM t.source AND c.block_no = t.block_no
+  WHERE least(words, start + size - c.block_no * 512) > greatest(start - c.block_no * 512, 0) GROUP BY n
 )
 SELECT doc_id, source, size, source_size, round(target, 6) AS target,
        CASE WHEN size = 0 THEN 0 ELSE
-         goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken
-FROM placed
+         goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken,
+       coalesce(n_slots, 0) AS n_slots, first_slot, last_slot
+FROM placed LEFT JOIN pieces USING (n)
 """)
 
 

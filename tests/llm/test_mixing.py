@@ -84,6 +84,32 @@ def test_a_source_below_a_unit_of_the_range_is_scheduled(spark, monkeypatch):
     assert got == {"a": 5000, "b": 1, "c": 2}
 
 
+def test_slots_of_a_document_follow_the_schedule(docs_of, spark, corpus):
+    """Every piece of a document by plain loops over the points of the sequence."""
+    df, block = docs_of(corpus), 16
+    got = mixed(df, block=block)
+    sizes = defaultdict(int)
+    for _, text, source in corpus:
+        sizes[source] += words(text)
+    targets = spark.createDataFrame([(s, n, float(plain_targets(sizes)[s])) for s, n in sizes.items()], "source string, source_size long, target double")
+    slots = defaultdict(list)
+    for r in mixing.schedule(targets, block).collect():
+        slots[r["source"], r["block_no"]].append((r["slot"], r["words"]))
+    for source in sizes:
+        at = 0
+        for r in sorted((r for r in got if r["source"] == source and r["size"]), key=lambda r: (r["place"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"])):
+            end, want, taken = at + r["size"], [], 0
+            for b in range(at // block, (end - 1) // block + 1):
+                for slot, n in slots[source, b]:
+                    part = min(b * block + n, end) - max(at, b * block)
+                    if part > 0:
+                        want.append(slot)
+                        taken += part
+            assert (r["slots"], r["taken"]) == (sorted(want), taken)
+            at = end
+    assert all(r["slots"] == [] for r in got if not r["size"])
+
+
 def test_schedule_spreads_sources(spark):
     targets = spark.createDataFrame([("a", 9000, 9000.0), ("b", 3000, 3000.0), ("c", 1000, 2000.0)], "source string, source_size long, target double")
     slots = mixing.schedule(targets, 10).orderBy("slot").collect()
