@@ -157,7 +157,8 @@ def op9_low_discrepancy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(
         "doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken",
-        F.size("slots").cast("long").alias("n_slots"), F.array_min("slots").alias("first_slot"), F.array_max("slots").alias("last_slot"),
+        F.size("slots").cast("long").alias("n_slots"), F.coalesce(F.array_min("slots"), F.lit(-1)).alias("first_slot"),
+        F.coalesce(F.array_max("slots"), F.lit(-1)).alias("last_slot"),
     )
 
 
@@ -229,7 +230,7 @@ pieces AS (
 SELECT doc_id, source, size, source_size, round(target, 6) AS target,
        CASE WHEN size = 0 THEN 0 ELSE
          goal // source_size * size + greatest(least(start + size, goal % source_size) - start, 0) END AS taken,
-       coalesce(n_slots, 0) AS n_slots, first_slot, last_slot
+       coalesce(n_slots, 0) AS n_slots, coalesce(first_slot, -1) AS first_slot, coalesce(last_slot, -1) AS last_slot
 FROM placed LEFT JOIN pieces USING (n)
 """)
 
