@@ -252,6 +252,29 @@ def test_classifiers_learn(spark):
     assert moved[0]["feature"] == "x" and {r["feature"] for r in moved} == {"c", "x", "z"}
 
 
+def test_net_stops_early_and_takes_its_best_round(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from punctual.learn import net
+
+    # separable by a wide margin: all rows kept aside are right after the first rounds
+    rows = spark.range(400).selectExpr("cast(id % 2 as double) y", "(id % 2) * 8 - 4 + (id % 37) / 37.0 a", "(id % 11) / 11.0 b")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("y", "features").persist()
+    model, rounds = net.fit_net(rows, "y", [2, 4, 2], 200, 3)
+    taken = [r for r in rounds if r[4]]
+    assert len(taken) == 1 and taken[0][3] == max(r[3] for r in rounds) == 1.0
+    assert rounds[-1][1] < 200 and rounds[-1][1] - taken[0][1] >= net.PATIENCE
+    assert [r[1] for r in rounds] == [net.ROUND * (i + 1) for i in range(len(rounds))]
+    aside = rows.where(net.kept_aside(3))
+    assert 0 < aside.count() < 200 and aside.count() == model.transform(aside).where("prediction = y").count()
+    assert net.round_table(spark, rounds).where("best").count() == 1
+    # no more iterations than asked for, and all rows at once if none can be kept aside
+    assert [r[1] for r in net.fit_net(rows, "y", [2, 4, 2], 7, 3)[1]] in ([5, 7], [5])
+    assert net.fit_net(rows, "y", [2, 4, 2], 7, 3, early_stop=False)[1] == []
+    assert net.fit_net(rows.limit(1), "y", [2, 4, 2], 2, 3)[1] == []
+    rows.unpersist()
+
+
 def test_regressors_learn(spark):
     df = training(spark)
     metrics, _ = models.run_regression(df.where("id < 450"), df.where("id >= 450"), [], ["x", "z"], "t", ["id"], settings=LIGHT)
