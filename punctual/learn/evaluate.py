@@ -163,6 +163,22 @@ def valid_prediction_metrics(df: DataFrame, keys: Sequence[str] = (), pred: str
     )
 
 
+def best_models(classes: DataFrame, regressions: DataFrame) -> DataFrame:
+    """Rows (task, model, metric, value) of the best classifier and of the best regressor.
+
+    Classifiers stand by average precision, F1, recall; regressors by mean and root mean square
+    error and by R2; ties go to the smaller name.
+    """
+    first = classes.orderBy(F.desc("pr_auc"), F.desc("f1"), F.desc("recall"), "model").limit(1)
+    second = regressions.orderBy("mae", "rmse", F.desc("r2"), "model").limit(1)
+
+    def rows(df: DataFrame, task: str, names: Sequence[str]) -> DataFrame:
+        named = df.select(F.lit(task).alias("task"), "model", *names)
+        return named.unpivot(["task", "model"], list(names), "metric", "value")
+
+    return rows(first, "classification", ["pr_auc", "roc_auc", "f1"]).unionByName(rows(second, "regression", ["mae", "rmse", "r2"]))
+
+
 def all_class_metrics(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Threshold and rank metrics side by side, best first."""
     return class_metrics(df, keys).join(rank_metrics(df, keys), list(keys)).orderBy(

@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from punctual.contracts import HEATMAP_COLUMNS, PROMPT_FIELDS
+from punctual.contracts import FLIGHT_SORT, HEATMAP_COLUMNS, PROMPT_FIELDS
 from punctual.functions.values import slugify
 from punctual.learn import evaluate, importance, models, prep, smote, stats
 from punctual.operators import aggregate, join, project, resolve, split
@@ -65,7 +65,7 @@ def build_dataset(
     prepare(spark)
     flights = flight_files.read_flights(spark, flights_path, airlines, origins, start, end)
     flight_table = f"{out.rstrip('/')}/flights"
-    tables.write_table(flights, flight_table, ["data_year", "data_month"], ["FlightDate"])
+    tables.write_table(flights, flight_table, ["data_year", "data_month"], FLIGHT_SORT)
     flights = spark.read.parquet(flight_table)
 
     reports = weather.clean_weather(weather.read_weather_json(spark, weather_path, multi_line), reference_compat)
@@ -125,16 +125,20 @@ def final_models(
     best = run.predictions.where(F.col("model") == run.best)
     regression, _ = models.run_regression(train, test, cats, nums, LATE, IDENTITY, settings=settings, book=book)
     grow = lambda df: smote.smote_nc(df, [f"__n_{c}" for c in nums], [f"__o_{c}" for c in cats], LABEL, IDENTITY)
+    known = {n: f for n, f in run.fitted.items() if n == "logistic_regression_balanced"}
     curve, loadings = prep.pca_report(train, nums, book)
     summary = quality.preprocessing_summary(train, test, got.features.features, nums)
     parts = {
         "model_metrics": run.metrics,
         "threshold_metrics": run.thresholds,
         "regression_metrics": regression,
-        "pca_comparison": models.run_pca_comparison(train, test, cats, nums, LABEL, IDENTITY, book),
+        "best_models": evaluate.best_models(run.metrics, regression),
+        "pca_comparison": models.run_pca_comparison(train, test, cats, nums, LABEL, IDENTITY, book, known),
         "pca_curve": curve,
         "pca_loadings": loadings,
-        "imbalance_metrics": models.run_imbalance(train, test, cats, nums, LABEL, IDENTITY, grow, book),
+        "imbalance_metrics": models.run_imbalance(
+            train, test, cats, nums, LABEL, IDENTITY, grow, book, known.get("logistic_regression_balanced")
+        ),
         "feature_ranking": prep.feature_ranking(train, cats, nums, LABEL, MINUTES, book),
         "delay_histogram": aggregate.histogram(train, LATE),
         "correlations": aggregate.pearson_matrix(train, HEATMAP_COLUMNS),
@@ -245,10 +249,18 @@ def row_prompts(
 
 
 def score_row_answers(
-    spark: SparkSession, answers: DataFrame, model: str, out: str, comparison: DataFrame | None = None
+    spark: SparkSession, answers: DataFrame, model: str, out: str, comparison: DataFrame | None = None,
+    dataset_path: str | None = None, top_origins: int = 0, sample: int = 80, few_shot: int = 8,
 ) -> dict[str, DataFrame]:
-    """Score answered prompts (column ``answer``) and put the model into the comparison table."""
+    """Score answered prompts (column ``answer``) and put the model into the comparison table.
+
+    The last four say how the prompts were made (as in ``row_prompts``) and stand beside the metrics.
+    """
     parsed, metrics, confusion = prompts.score_answers(answers, "answer", LABEL)
-    row = metrics.select(F.lit(model).alias("model"), slugify(F.lit(model)).alias("slug"), "*")
+    row = metrics.select(
+        F.lit(model).alias("model"), slugify(F.lit(model)).alias("slug"),
+        F.lit(dataset_path).cast("string").alias("dataset_path"), F.lit(top_origins).alias("top_origins"),
+        F.lit(sample).alias("evaluation_rows_requested"), F.lit(few_shot).alias("few_shot_examples"), "*",
+    )
     table = row if comparison is None else join.upsert_metrics(comparison, row)
     return _write({"answers": parsed, "answer_metrics": row, "answer_confusion": confusion, "answer_comparison": table}, out)

@@ -122,6 +122,30 @@ def regression_errors(spark, sf_dir):
     return _round(_round(evaluate.regression_metrics(df, ["model"]), "mae", "rmse", digits=4), "r2")
 
 
+@query("best_models", with_views(TRIPS, PREDICTIONS) + f""",{_RANKED},
+ranked AS (
+  SELECT model, sum(CAST(neg AS DOUBLE) * (tp + pos / 2.0)) / (max(p) * max(n)) AS roc_auc,
+         sum(CAST(pos AS DOUBLE) * (tp + pos) / (tp + pos + fp + neg)) / max(p) AS pr_auc FROM r GROUP BY 1
+),
+hits AS (SELECT model, {_prf_sql()} FROM (SELECT model, {_counts_sql("score >= 0.5")} FROM predictions GROUP BY 1)),
+best AS (SELECT * FROM ranked JOIN hits USING (model) ORDER BY pr_auc DESC, f1 DESC, recall DESC, model LIMIT 1),
+errors AS (
+  SELECT l_returnflag AS model, avg(abs(l_extendedprice - l_quantity * 1500)) AS mae, sqrt(avg((l_extendedprice - l_quantity * 1500) ** 2)) AS rmse,
+         1 - sum((l_extendedprice - l_quantity * 1500) ** 2) / (var_pop(l_extendedprice) * count(*)) AS r2 FROM lineitem GROUP BY 1
+),
+least AS (SELECT * FROM errors ORDER BY mae, rmse, r2 DESC, model LIMIT 1)
+SELECT 'classification' AS task, model, metric, round(value, 4) AS value FROM best UNPIVOT (value FOR metric IN (pr_auc, roc_auc, f1))
+UNION ALL
+SELECT 'regression', model, metric, round(value, 4) FROM least UNPIVOT (value FOR metric IN (mae, rmse, r2))""")
+def best_models(spark, sf_dir):
+    """Best classifier and best regressor with their metrics, from tables of predictions."""
+    df = table(spark, sf_dir, "lineitem").select(
+        F.col("l_returnflag").alias("model"), F.col("l_extendedprice").alias("y"), (F.col("l_quantity") * 1500).alias("pred")
+    )
+    classes = evaluate.all_class_metrics(predictions(spark, sf_dir), ["model"])
+    return _round(evaluate.best_models(classes, evaluate.regression_metrics(df, ["model"])), "value", digits=4)
+
+
 @query("confusion", with_views(TRIPS, PREDICTIONS) + """
 SELECT model, component, CAST(count AS BIGINT) AS count FROM (
   SELECT model, count(*) FILTER (y = 0 AND pred = 0) AS TN, count(*) FILTER (y = 0 AND pred = 1) AS FP,

@@ -69,6 +69,13 @@ def test_final_models(spark, built):
         "dummy_most_frequent", "logistic_regression_balanced", "random_forest_balanced", "boosted_trees_classifier"
     }
     assert out["imbalance_metrics"].count() == 3 and out["pca_comparison"].count() == 2 and out["regression_metrics"].count() == 3
+    best = {(r["task"], r["metric"]): (r["model"], r["value"]) for r in out["best_models"].collect()}
+    top = out["model_metrics"].orderBy(F.desc("pr_auc"), F.desc("f1"), F.desc("recall"), "model").first()
+    assert len(best) == 6 and best["classification", "pr_auc"] == (top["model"], top["pr_auc"])
+    assert best["regression", "mae"][1] == out["regression_metrics"].agg(F.min("mae")).first()[0]
+    same = {r["experiment"] if "experiment" in r else r["model"]: r["f1"] for r in out["imbalance_metrics"].collect()}
+    plain = {r["model"]: r["f1"] for r in out["model_metrics"].collect()}
+    assert same["logistic_class_weight_balanced"] == plain["logistic_regression_balanced"]
     assert out["threshold_metrics"].count() == 20 and out["reduction"].count() == 3
     assert out["feature_ranking"].count() > 20
 
@@ -87,6 +94,7 @@ def test_prompts(spark, built):
     rows = prompts.collect()
     assert len(rows) == 20 and all(r["prompt"].count("Example: ") == 4 for r in rows)
     answers = prompts.withColumn("answer", F.when(F.col("dep_delayed_15") == 1, "DELAY").otherwise("hm"))
-    scored = runs.score_row_answers(spark, answers, "Some/Model", str(root / "answers"))
+    scored = runs.score_row_answers(spark, answers, "Some/Model", str(root / "answers"), sample=20, few_shot=4)
     metrics = scored["answer_metrics"].first()
+    assert (metrics["evaluation_rows_requested"], metrics["few_shot_examples"], metrics["top_origins"]) == (20, 4, 0)
     assert metrics["accuracy"] == 1.0 and metrics["slug"] == "some_model" and metrics["valid_prediction_rate"] == 0.5
