@@ -9,21 +9,25 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from punctual.llm.arrow import per_row
 from punctual.llm.hashing import as_bytes
+from punctual.session import staged
 
-#: Bounds of the sample: documents of each language, and characters (from a hashed place) of each.
+#: Bound of the sample: documents of each language.
 SAMPLE_ROWS = 1500
-SLICE = 3000
-#: Most languages a model can hold; the most frequent ones are learned.
-MAX_LANGUAGES = 400
+#: A sampled text counts for as many n-grams as it has, but for no more than this; counts are kept in
+#: parts of PARTS, as whole numbers.
+TEXT_GRAMS = 9000
+PARTS = 1024
 GRAMS = (2, 3, 4)
 TABLE_BITS = 16
 
@@ -90,47 +94,76 @@ def _margins(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return sum(weights[ids[i : i + step]].sum(axis=0, dtype=np.float64) for i in range(0, len(ids), step)) / len(ids)
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """Rows (lang, place, n): weighted n-grams of the sampled texts of a language in a place of the table.
+
+    Each task adds up what it reads, so at most a row a language and place leaves it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = gram_ids(as_bytes(text))
+                if len(ids):
+                    counts = np.bincount(ids, minlength=1 << TABLE_BITS)
+                    weighted = np.rint(counts * (PARTS * min(1.0, TEXT_GRAMS / len(ids)))).astype(np.int64)
+                    sums[lang] = sums[lang] + weighted if lang in sums else weighted
+        for lang, counts in sums.items():
+            places = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(places), pa.string()), "place": places, "n": counts[places]})
+
+    return sample.select("lang", "text").mapInArrow(run, "lang string, place bigint, n bigint").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id") -> Model:
-    """Fit on a bounded sample: SAMPLE_ROWS documents a language, SLICE characters of each.
+    """Fit on a bounded sample of SAMPLE_ROWS whole documents a language, those of the smallest hashes of their id.
 
-    Documents whose text or language is null take no part.  The slices reach the driver, at most
-    MAX_LANGUAGES * SAMPLE_ROWS of them.
+    Every language is learned.  Documents whose text or language is null take no part; a language without
+    any n-gram is none.  No text reaches the driver: of each language at most a count for each place of
+    the table, and of every fifth sampled document, kept aside, a number for each bit.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    top = [r["lang"] for r in known.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not top:
-        return Model()
     order = F.xxhash64(F.col(doc_id), F.lit("sample"))
-    at = F.pmod(F.xxhash64(F.col(doc_id)), F.greatest(F.length(text) - SLICE, F.lit(0)) + 1).cast("int")
-    known = known.where(F.col(lang).isin(top)).select(
-        F.col(lang).alias("lang"), order.alias("place"), F.substring(F.col(text), at + 1, F.lit(SLICE)).alias("part")
+    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), order.alias("place"), F.col(text).alias("text")
     )
-    # rows thinned by their hash before they are ranked, so that no language gathers in one task
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    share = F.create_map(*[x for k in top for x in (F.lit(k), F.lit(min(1.0, 2.0 * SAMPLE_ROWS / counts[k])))])[F.col("lang")]
+    if not counts:
+        return Model()
+    # rows thinned by their hash before they are ranked, so that no language gathers in one task
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2.0 * SAMPLE_ROWS / n)))])[F.col("lang")]
     known = known.where(F.pmod("place", F.lit(1_000_000)) < share * 1_000_000)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "part"))
-    rows = known.withColumn("n", rank).where(F.col("n") <= SAMPLE_ROWS).collect()
-    languages = sorted({r["lang"] for r in rows})
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    sample = staged(known.withColumn("n", rank).where(F.col("n") <= SAMPLE_ROWS).select("lang", "n", "text"))
+    got = _counted(sample.where("n % 5 <> 0")).toArrow()
+    if not got.num_rows:
+        return Model()
+    names, places, numbers = got.column("lang").to_pylist(), got.column("place").to_numpy(), got.column("n").to_numpy()
+    languages = sorted(set(names))
     index = {k: i for i, k in enumerate(languages)}
     codes = codewords(len(languages))
-    texts = [(index[r["lang"]], gram_ids(as_bytes(r["part"]))) for r in sorted(rows, key=lambda r: (r["lang"], r["n"]))]
-    texts = [x for x in texts if len(x[1])]
-    if not texts:
-        return Model()
     size = 1 << TABLE_BITS
     counted = np.zeros((len(languages), size))
-    for k, (c, ids) in enumerate(texts):
-        if k % 5:
-            counted[c] += np.bincount(ids, minlength=size)
+    counted[[index[k] for k in names], places] = numbers / PARTS
     share_of = (counted + 0.5 / size) / (counted.sum(axis=1, keepdims=True) + 0.5)
     weights = np.zeros((size, codes.shape[1]), np.float32)
     for b in range(codes.shape[1]):
         plus, minus = codes[:, b] > 0, codes[:, b] < 0
         if plus.any() and minus.any():
             weights[:, b] = np.clip(np.log(share_of[plus].mean(axis=0) + 1e-9) - np.log(share_of[minus].mean(axis=0) + 1e-9), -6, 6)
-    aside = [(c, _margins(ids, weights)) for k, (c, ids) in enumerate(texts) if k % 5 == 0]
-    x, truth = np.array([m for _, m in aside]), codes[[c for c, _ in aside]]
+
+    def margins(value):
+        ids = gram_ids(as_bytes(value))
+        return (_margins(ids, weights).tolist() if len(ids) else None,)
+
+    fields = T.StructType([T.StructField("margins", T.ArrayType(T.DoubleType()))])
+    # where no language has five documents, those learned from are measured
+    for fold in ("n % 5 = 0", "n % 5 <> 0"):
+        rows = per_row(sample.where(fold), ["text"], fields, margins, ["lang", "n"]).where("margins is not null")
+        aside = [r for r in rows.orderBy("lang", "n").collect() if r["lang"] in index]
+        if aside:
+            break
+    x, truth = np.array([r["margins"] for r in aside]), codes[[index[r["lang"]] for r in aside]]
     scale, offset, trust = np.ones(codes.shape[1]), np.zeros(codes.shape[1]), np.ones(codes.shape[1])
     for b in range(codes.shape[1]):
         scale[b], offset[b] = _curve(x[:, b], (truth[:, b] > 0).astype(float))

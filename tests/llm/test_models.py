@@ -100,6 +100,22 @@ def test_language_on_texts_not_seen(spark, prose, n):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_counts_whole_texts_and_every_language(spark, prose):
+    """The table of counts against a plain loop; one document a language is enough."""
+    rows = [(i, f"w{i} " + prose(3000 if i == 3 else 20, i), f"l{i:03d}") for i in range(70)] + [(3, "qq", "l003")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r["lang"], r["place"]): r["n"] for r in language._counted(df.repartition(5)).collect()}
+    want: dict = {}
+    for _, text, lang in rows:
+        ids = language.gram_ids(np.frombuffer(text.encode(), np.uint8))
+        for place, n in zip(*np.unique(ids, return_counts=True), strict=True):
+            want[lang, place] = want.get((lang, place), 0) + int(np.rint(n * (language.PARTS * min(1.0, language.TEXT_GRAMS / len(ids)))))
+    assert got == {k: n for k, n in want.items() if n}
+    model = language.fit(df)
+    assert model.languages == [f"l{i:03d}" for i in range(70)]
+    assert language.fit(df).weights.tobytes() == model.weights.tobytes()
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 5, 12, 60):
         m = language.codewords(n)
