@@ -12,10 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from punctual.session import staged
@@ -55,13 +53,16 @@ def _edges(table: DataFrame) -> Edges:
 def _in_cells(long: DataFrame, edges: Edges, group: Sequence[str]) -> DataFrame:
     """Add ``cell``: twice the number of edges below the value, and one more if it lies on an edge."""
     value = F.col("value")
-    if edges.longest <= 64:
-        below = reduce(add, [F.when(F.get("edges", F.lit(i)) < value, 1).otherwise(0) for i in range(edges.longest)], F.lit(0))
-    else:
-        below = F.size(F.filter("edges", lambda e: e < value))
-    on = F.when(F.get("edges", F.col("__below")) == value, 1).otherwise(0)
-    rows = _matching(long, edges.table, group, few=edges.few).withColumn("__below", below)
-    return rows.withColumn("cell", F.col("__below") * 2 + on).drop("__below", "edges")
+    rows = _matching(long, edges.table, group, few=edges.few)
+    # a binary search with one column per step, all of it generated code; beyond the end a step reads null and stays
+    below: Column = F.lit(0)
+    steps = list(reversed(range(edges.longest.bit_length())))
+    for i, s in enumerate(steps):
+        step = 1 << s
+        rows = rows.withColumn(f"__step{i}", below + F.when(F.get("edges", below + (step - 1)) < value, step).otherwise(0))
+        below = F.col(f"__step{i}")
+    on = F.when(F.get("edges", below) == value, 1).otherwise(0)
+    return rows.withColumn("cell", below * 2 + on).drop("edges", *[f"__step{i}" for i in range(len(steps))])
 
 
 def exact_quantiles(

@@ -242,3 +242,17 @@ def test_upsert_and_compare(spark):
     old = spark.createDataFrame([("m", 1.0), ("n", 2.0)], "model string, f1 double")
     new = spark.createDataFrame([("m", 3.0)], "model string, f1 double")
     assert {(r["model"], r["f1"]) for r in join.upsert_metrics(old, new).collect()} == {("m", 3.0), ("n", 2.0)}
+
+
+def test_cells_of_many_edges_are_generated_code(spark, capsys):
+    """Values are placed among any number of edges by a binary search, not by a lambda over all of them."""
+    edges = [float(x) for x in range(0, 600, 2)]
+    table = quantile._edges(spark.createDataFrame([("v", edges), (None, edges[:70])], "feature string, edges array<double>"))
+    values = [-1.0, 0.0, 0.5, 137.0, 138.0, 139.0, 598.0, 700.0]
+    long = spark.createDataFrame([(f, v) for f in ("v", None) for v in values], "feature string, value double")
+    placed = quantile._in_cells(long, table, ["feature"])
+    placed.explain()
+    assert "lambdafunction" not in capsys.readouterr().out
+    for r in placed.collect():
+        own = edges if r["feature"] else edges[:70]
+        assert r["cell"] == 2 * sum(e < r["value"] for e in own) + (r["value"] in own)
