@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from punctual import session
 from punctual.learn import evaluate, importance, information, models, nearest, prep, smote, stats
 from punctual.plans import prompts
 
@@ -373,3 +374,24 @@ def test_score_answers(spark):
     assert [r["pred"] for r in parsed.collect()] == [1, 0, None, 0]
     assert metrics.first()["evaluation_rows_valid"] == 3
     assert {r["component"]: r["count"] for r in confusion.collect()}["TP"] == 1
+
+
+def test_training_rows_are_spread_over_the_cores(spark, monkeypatch):
+    """One file makes one partition; training must not run in one task for that."""
+    rows = spark.range(400).selectExpr("id", "concat('c', id % 3) AS c", "double(id % 17) AS x", "int(id % 5 = 0) AS y", "double(id % 7) AS z").coalesce(1)
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    wanted, seen = min(4, spark.sparkContext.defaultParallelism), []
+    kept = lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count()))
+    for kind in (models.RandomForestClassifier, models.GBTClassifier, models.RandomForestRegressor, models.GBTRegressor, models.LogisticRegression):
+        monkeypatch.setattr(kind, "fit", kept)
+    for name in ("random_forest_balanced", "boosted_trees_classifier", "logistic_regression_balanced"):
+        models.fit_classifier(name, rows, ["c"], ["x"], "y")
+    for name in ("random_forest_regressor", "boosted_trees_regressor"):
+        models.fit_regressor(name, rows, ["c"], ["x"], "z")
+    assert seen == [(wanted, 400)] * 5
+
+
+def test_forest_keeps_nodes_between_passes(spark):
+    rows = spark.range(300).selectExpr("concat('c', id % 3) AS c", "double(id % 17) AS x", "int(id % 5 = 0) AS y")
+    fitted = models.fit_classifier("random_forest_balanced", rows, ["c"], ["x"], "y", models.Settings(trees=3, tree_depth=4))
+    assert fitted.model.getCacheNodeIds()
