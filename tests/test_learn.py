@@ -391,6 +391,15 @@ def test_training_rows_are_spread_over_the_cores(spark, monkeypatch):
     assert seen == [(wanted, 400)] * 5
 
 
+def test_oversampled_rows_are_spread(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id", "concat('c', id % 3) AS c", "double(id % 17) AS x", "int(id % 5 = 0) AS y").coalesce(1)
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(smote.LogisticRegression, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    smote.fit_oversampled_logistic(rows, "y", lambda df: df.unionByName(df).coalesce(1), prep.PrepBook(rows, ["c"], ["x"]))
+    assert seen == [(min(8, spark.sparkContext.defaultParallelism), 800)]
+
+
 def test_forest_keeps_nodes_between_passes(spark):
     rows = spark.range(300).selectExpr("concat('c', id % 3) AS c", "double(id % 17) AS x", "int(id % 5 = 0) AS y")
     fitted = models.fit_classifier("random_forest_balanced", rows, ["c"], ["x"], "y", models.Settings(trees=3, tree_depth=4))
