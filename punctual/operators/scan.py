@@ -229,6 +229,9 @@ class OrderedScan:
         # only these rows can have something to hand on
         self.source = with_range_bucket(reaching_over(source, borders, self.keys), borders)
         self.few = borders.few
+        self.listed = borders.fine is None and not any(
+            isinstance(source.schema[k].dataType, T.DecimalType) for k in self.keys
+        )
         self.group = [*self.keys, _BUCKET]
 
     # -- helpers ---------------------------------------------------------------------
@@ -252,6 +255,8 @@ class OrderedScan:
         return carried.where("__pos > 1").drop("__pos")
 
     def _attach(self, carry: DataFrame) -> DataFrame:
+        if self.listed:
+            return self._looked_up(carry)
         match = F.col(_BUCKET) == F.col("__kb")
         for i, k in enumerate(self.keys):
             match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
@@ -259,6 +264,25 @@ class OrderedScan:
         joined = self.df.join(F.broadcast(carry) if self.few else carry, match, "left")
         return joined.drop("__kb", *[f"__k{i}" for i in range(len(self.keys))])
 
+    def _looked_up(self, carry: DataFrame) -> DataFrame:
+        """The same without a join: the ranges of the first level are numbered from 0, and only the key that
+        a bucket begins with can have rows in an earlier one, so the carried values are an array with at most one
+        entry per bucket.  A column that nobody reads is left out of the plan with all it hangs on.
+
+        Keys that are compared in a coarser form (decimals) are joined.
+        """
+        kept = [c for c in carry.columns if c != "__kb"]
+        entries = carry.agg(F.collect_list(F.struct("__kb", *kept)).alias("e"))
+        by_bucket = F.map_from_entries(F.transform("e", lambda s: F.struct(s["__kb"], s)))
+        last = F.array_max(F.transform("e", lambda s: s["__kb"]))
+        listed = entries.select(F.transform(F.sequence(F.lit(0), last), lambda b: F.try_element_at(by_bucket, b)).alias("listed"))
+        out = self.df.withColumn("__entry", F.get(listed.scalar(), F.col(_BUCKET)))
+        match = F.col("__entry").isNotNull()
+        for i, k in enumerate(self.keys):
+            match = match & F.col(k).eqNullSafe(F.col(f"__entry.__k{i}"))
+        values = [c for c in kept if not c.startswith("__k")]
+        return out.withColumns({c: F.when(match, F.col(f"__entry.{c}")) for c in values}).drop("__entry")
+
     # -- calculations ----------------------------------------------------------------
     def prior_sums(self, sums: dict[str, Column]) -> OrderedScan:
         """Add the sum of each expression over earlier rows; null where there are none."""

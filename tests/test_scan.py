@@ -144,3 +144,22 @@ def test_only_keys_of_borders_are_carried(frame):
     assert s.source.count() < 900
     carried = s._carry([F.count(F.lit(1)).alias("n")], lambda w: [F.col("n")])
     assert carried.count() <= 4
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_unread_results_of_a_scan_cost_nothing(frame, keys):
+    """What buckets hand on is no join, so a scan leaves the plan with the columns nobody reads."""
+    s = OrderedScan(frame, keys, ["t", "id"], 7)
+    out = s.prior_sums({"s": F.col("v")}).previous({"p": F.col("v")}).last_known("l", F.col("v")).result()
+    unread = out.agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in unread and "Window" not in unread
+    assert "Window" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decimal_keys_that_look_alike_as_doubles(spark):
+    """Such keys share a range, so one bucket may begin with several keys of earlier ones."""
+    keys = ["100000000000000000001", "100000000000000000002"]
+    data = [(i, keys[i % 2], i // 2) for i in range(80)]
+    df = spark.createDataFrame(data, "id int, k string, t int").withColumn("k", F.col("k").cast("decimal(38,0)"))
+    got = OrderedScan(df, ["k"], ["t"], 5).prior_count("n").result().collect()
+    assert {r["id"]: r["n"] for r in got} == {i: i // 2 for i in range(80)}
