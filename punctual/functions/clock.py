@@ -38,19 +38,31 @@ def local_to_utc(local: Column, zone: Column) -> Column:
     the first valid instant after the gap, which is the change itself, found by halving to the second.
     Changes of a zone must be over two days apart.  The session zone must be UTC.
     """
+    return instant_of(local, zone, *offsets_around(local, zone))
+
+
+def offsets_around(local: Column, zone: Column) -> tuple[Column, Column]:
+    """Seconds that the zone is ahead of UTC a day before and a day after a local time."""
+    wall, day = local.cast("timestamp"), F.expr("INTERVAL 1 DAY")
+    return _offset(wall - day, zone), _offset(wall + day, zone)
+
+
+def _offset(t: Column, zone: Column) -> Column:
+    return F.unix_seconds(F.from_utc_timestamp(t, zone)) - F.unix_seconds(t)
+
+
+def instant_of(local: Column, zone: Column, before: Column, after: Column) -> Column:
+    """``local_to_utc`` with the offsets around the time, which it uses many times: as columns they are looked up once."""
     wall = local.cast("timestamp")
     seconds = F.unix_seconds(wall)
-    day = F.expr("INTERVAL 1 DAY")
     shown = lambda t: F.from_utc_timestamp(t, zone)
-    offset = lambda t: F.unix_seconds(shown(t)) - F.unix_seconds(t)
-    before, after = offset(wall - day), offset(wall + day)
     less = lambda n: F.timestamp_micros(F.unix_micros(wall) - n * 1_000_000)
     first, second = less(before), less(after)
     fits = lambda t: shown(t) == wall
 
     def halved(s: Column, _: Column) -> Column:
         middle = F.floor((s["low"] + s["high"]) / 2).cast("bigint")
-        early = offset(F.timestamp_seconds(middle)) == before
+        early = _offset(F.timestamp_seconds(middle), zone) == before
         return F.struct(F.when(early, middle).otherwise(s["low"]).alias("low"), F.when(early, s["high"]).otherwise(middle).alias("high"))
 
     # a change of up to a day is between them: 17 halvings

@@ -37,6 +37,7 @@ def asof_join(
     tie_order: Sequence[str] = (),
     buckets: int | None = None,
     source: DataFrame | None = None,
+    mix: str | None = None,
 ) -> DataFrame:
     """Attach to each left row the latest right row of its key at or before its time.
 
@@ -47,7 +48,8 @@ def asof_join(
 
     Both sides are stacked and scanned once in time order per key, so no pair of rows is ever
     built; ``OrderedScan`` splits hot keys.  ``source`` is an earlier frame with the rows of
-    ``left`` (see there).
+    ``left`` (see there).  Left rows of one key and time are dealt out by a hash of the whole row, or by
+    ``mix``, a bigint column that has such a hash already: then only key, time and it are read to find the borders.
     """
     wanted = [F.col(s).alias(n) for n, s in payload.items()]
     right_rows = right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull()).select(
@@ -64,7 +66,7 @@ def asof_join(
         right_rows = right_rows.groupBy("__key", "__time").agg(F.max("__right").alias("__right"))
 
     right_type = right_rows.schema["__right"].dataType.simpleString()
-    identity = (left if source is None else source).columns
+    hashed = F.xxhash64(*(left if source is None else source).columns) if mix is None else F.col(mix)
 
     def stack(side: DataFrame) -> DataFrame:
         rows = side.select(
@@ -72,7 +74,7 @@ def asof_join(
             F.col(left_key).alias("__key"),
             F.col(left_time).cast("timestamp").alias("__time"),
             F.lit(1).alias("__side"),
-            F.xxhash64(*identity).alias("__mix"),
+            hashed.alias("__mix"),
             F.lit(None).cast(right_type).alias("__right"),
         )
         absent = [F.lit(None).cast(f.dataType.simpleString()).alias(f.name) for f in side.schema]
@@ -89,7 +91,7 @@ def asof_join(
     own = left if source is None else source
     places = own.select(
         F.col(left_key).alias("__key"), F.col(left_time).cast("timestamp").alias("__time"), F.lit(1).alias("__side"),
-        F.xxhash64(*identity).alias("__mix"),
+        hashed.alias("__mix"),
     ).unionAll(right.select(
         F.col(right_key), F.col(right_time).cast("timestamp"), F.lit(0), F.lit(0).cast("bigint"),
     ))

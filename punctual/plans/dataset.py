@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from punctual.contracts import MODEL_COLUMNS, STRICT_REPORT_TYPE, WEATHER_PAYLOAD
 from punctual.functions.clock import (
-    date_plus_minutes, hhmm_to_minutes, hour_of_minutes, local_to_utc, rolled_arrival, route_key, weekday_number,
+    date_plus_minutes, hhmm_to_minutes, hour_of_minutes, instant_of, offsets_around, rolled_arrival, route_key, weekday_number,
 )
 from punctual.functions.values import threshold_label, to_number
 from punctual.operators.history import previous_leg, prior_count_in_hour, prior_means
@@ -37,10 +37,12 @@ def prepare_timestamps(flights: DataFrame, mapping: DataFrame) -> DataFrame:
         "sched_dep_local_naive": date_plus_minutes(F.col("FlightDate"), F.col("crs_dep_minutes")),
         "sched_arr_local_naive": date_plus_minutes(F.col("FlightDate"), F.col("crs_arr_minutes")),
     })
+    ends = {"dep": (F.col("sched_dep_local_naive"), F.col("origin_timezone")), "arr": (F.col("sched_arr_local_naive"), F.col("dest_timezone"))}
+    around = {end: offsets_around(local, zone) for end, (local, zone) in ends.items()}
+    df = df.withColumns({f"__{end}_{i}": c for end, pair in around.items() for i, c in enumerate(pair)})
     df = df.withColumns({
-        "sched_dep_utc": local_to_utc(F.col("sched_dep_local_naive"), F.col("origin_timezone")),
-        "sched_arr_utc": local_to_utc(F.col("sched_arr_local_naive"), F.col("dest_timezone")),
-    })
+        f"sched_{end}_utc": instant_of(local, zone, F.col(f"__{end}_0"), F.col(f"__{end}_1")) for end, (local, zone) in ends.items()
+    }).drop(*[f"__{end}_{i}" for end in ends for i in (0, 1)])
     local, utc = rolled_arrival(
         F.col("sched_dep_utc"), F.col("sched_arr_utc"), F.col("sched_arr_local_naive"), F.col("dest_timezone")
     )
@@ -62,15 +64,18 @@ def add_labels(df: DataFrame) -> DataFrame:
 
 
 def attach_weather(
-    df: DataFrame, weather: DataFrame, tolerance: str = TOLERANCE, buckets: int | None = None
+    df: DataFrame, weather: DataFrame, tolerance: str = TOLERANCE, buckets: int | None = None, mix: str | None = None
 ) -> DataFrame:
-    """Latest observation at the origin before departure and at the destination before arrival."""
+    """Latest observation at the origin before departure and at the destination before arrival.
+
+    ``mix`` is a column of ``df`` with a hash of its rows (see ``asof_join``).
+    """
     source = df
     for side, time in (("origin", "sched_dep_utc"), ("dest", "sched_arr_utc")):
         payload = {f"{side}_{suffix}": source for suffix, source in WEATHER_PAYLOAD.items()}
         df = asof_join(
             df, weather, f"{side}_station_id", "station_id", time, "timestamp_utc", payload, tolerance,
-            buckets=buckets, source=source,
+            buckets=buckets, source=source, mix=mix,
         )
     return df
 
@@ -115,13 +120,17 @@ def build_modeling_table(
     """Flights with labels, observations and history in the 52-column contract.
 
     ``strict`` matches only observations of the routine report type and keeps flights that
-    have one.  Every ordered scan reads the prepared flights twice, so they are written once to
-    the shared folder and scanned there.
+    have one.  Every ordered scan reads the prepared flights twice and both ends read the observations, so
+    they are written once to the shared folder and scanned there, the flights with a hash of each row.  So is the
+    mapping: joins then know its size beforehand and do not shuffle the flights to a small one.
     """
     if strict:
         weather = weather.where(F.trim("report_type") == STRICT_REPORT_TYPE)
-    prepared = staged(add_labels(prepare_timestamps(flights, mapping)))
-    df = attach_weather(prepared, weather, buckets=buckets)
+    weather = staged(weather.select("station_id", *WEATHER_PAYLOAD.values()))
+    mapping = staged(mapping.select("airport", "station_id", "timezone"))
+    prepared = add_labels(prepare_timestamps(flights, mapping))
+    prepared = staged(prepared.withColumn("__row_hash", F.xxhash64(*prepared.columns)))
+    df = attach_weather(prepared, weather, buckets=buckets, mix="__row_hash").drop("__row_hash")
     df = operational_features(df, tie_order, reference_compat, buckets=buckets, source=prepared)
     if strict:
         df = require_weather_coverage(df)
